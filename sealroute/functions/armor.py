@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sealroute.functions.checksum import crc24, crc24_line
+from sealroute.functions.checksum import crc24_line
 from sealroute.functions.text import strip
 
 # Frame lines and line width of the armor format.
@@ -21,79 +21,86 @@ def wrap(body: Column, width: int = WIDTH) -> Column:
     return F.regexp_replace(body, rf"(?s)(.{{{width}}})(?!\z)", "$1\n")
 
 
-def lenient_base64(body: Column) -> Column:
+def decode_base64(rows: DataFrame, column: str, output: str) -> DataFrame:
     """Decode base64 that may hold foreign characters; null when it does not decode.
 
     Foreign ASCII characters are ignored and non-ASCII ones refused. Decoding stops at padding
     that completes a group of four, padding elsewhere is ignored, and what is left over must fill
     whole groups.
     """
-    cleaned = F.regexp_replace(body, "[^A-Za-z0-9+/=]", "")
-    pieces = F.split(cleaned, "=")
-    sizes = F.transform(pieces, lambda piece, i: F.struct(
-        F.length(piece).alias("size"), (i < F.size(pieces) - 1).alias("padded")))
+    pieces, scan, data = F.col("_pieces"), F.col("_scan"), F.col("_data")
     start = F.struct(
         F.lit(0).alias("chars"), F.lit(0).alias("pads"), F.lit(0).alias("used"), F.lit(False).alias("done"))
 
-    def step(seen: Column, piece: Column) -> Column:
-        chars = seen["chars"] + piece["size"]
-        earlier = F.when(piece["size"] > 0, 0).otherwise(seen["pads"])
-        pads = earlier + F.when(piece["padded"] & (chars % 4 >= 2), 1).otherwise(0)
+    def step(seen: Column, size: Column) -> Column:
+        chars = seen["chars"] + size
+        pads = F.when(size > 0, 0).otherwise(seen["pads"]) + F.when(chars % 4 >= 2, 1).otherwise(0)
         return F.when(seen["done"], seen).otherwise(F.struct(
             chars.alias("chars"), pads.alias("pads"), (seen["used"] + 1).alias("used"),
-            (piece["padded"] & (chars % 4 >= 2) & (chars % 4 + pads >= 4)).alias("done")))
+            ((chars % 4 >= 2) & (chars % 4 + pads >= 4)).alias("done")))
 
-    scan = F.aggregate(sizes, start, step)
-    data = F.array_join(F.slice(pieces, F.lit(1), scan["used"]), "")
-    whole = scan["done"] | (scan["chars"] % 4 == 0)
+    before_last = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.length)
+    tail = F.length(F.element_at(pieces, -1))
+    whole = scan["done"] | ((scan["chars"] + tail) % 4 == 0)
+    used = F.when(scan["done"], scan["used"]).otherwise(F.size(pieces))
     padded = F.rpad(data, (F.ceil(F.length(data) / 4) * 4).cast("int"), F.lit("="))
-    return F.when(whole & ~body.rlike(r"[^\x00-\x7f]"), F.unbase64(padded))
+    return (
+        rows
+        .withColumn("_clean", F.regexp_replace(column, "[^A-Za-z0-9+/=]+", ""))
+        .withColumn("_pieces", F.split("_clean", "="))
+        .withColumn("_scan", F.aggregate(before_last, start, step))
+        .withColumn("_data", F.when(
+            whole & ~F.col(column).rlike(r"[^\x00-\x7f]"), F.array_join(F.slice(pieces, F.lit(1), used), "")))
+        .withColumn(output, F.unbase64(padded))
+        .drop("_clean", "_pieces", "_scan", "_data")
+    )
 
 
 def parse_armor(blocks: DataFrame, column: str) -> DataFrame:
-    """Add the struct ``armor``: frame lines, headers, body, decoded payload and stored checksum."""
-    text = strip(F.replace(F.col(column), F.lit("\r\n"), F.lit("\n")))
-    lines = F.split(text, "\n")
-    begins = F.transform(lines, lambda line: line.startswith(BEGIN))
-    ends = F.transform(lines, lambda line: line.startswith(END))
-    first = F.array_position(begins, True).cast("int")
-    last = F.array_position(ends, True).cast("int")
-    inside = F.slice(F.col("_lines"), F.col("_first") + 1, F.greatest(F.col("_last") - F.col("_first") - 1, F.lit(0)))
-    inside = F.filter(inside, lambda line: ~line.startswith(BEGIN))
-    blank = F.array_position(F.col("_inside"), "").cast("int")
-    after = F.slice(F.col("_inside"), F.col("_blank") + 1, F.size("_inside"))
+    """Add the parts of each block as the columns named in ``PARTS``.
+
+    The parts are plain columns, each used by the next step, rather than one struct: Catalyst
+    then keeps a step it would otherwise repeat inside every expression that reads from it.
+    """
+    first, last, blank = F.col("_first"), F.col("_last"), F.col("_blank")
+    framed = F.col("_framed")
 
     def is_checksum(line: Column) -> Column:
         return line.startswith("=") & (F.length(line) == 5)
 
-    framed = F.col("_framed")
-    squeezed = F.translate(F.col("_text"), "\n\r ", "")
-    return (
+    def position(prefix: str) -> Column:
+        return F.array_position(F.transform("_lines", lambda line: line.startswith(prefix)), True).cast("int")
+
+    def line_at(number: Column) -> Column:
+        return F.when(number > 0, F.element_at("_lines", number))
+
+    inside = F.filter(
+        F.slice(F.col("_lines"), first + 1, F.greatest(last - first - 1, F.lit(0))),
+        lambda line: ~line.startswith(BEGIN))
+    after = F.slice(F.col("_inside"), blank + 1, F.size("_inside"))
+    body = F.array_join(F.filter("_after", lambda line: ~is_checksum(line)), "")
+    lines = (
         blocks
-        .withColumn("_text", text)
-        .withColumn("_lines", lines)
-        .withColumns({"_first": first, "_last": last})
-        .withColumn("_framed", (F.col("_first") > 0) & (F.col("_last") > 0))
-        .withColumn("_inside", F.when(framed, inside))
-        .withColumn("_blank", blank)
-        .withColumn("_after", F.when(F.col("_blank") > 0, after).otherwise(F.array().cast("array<string>")))
-        .withColumn("_body", F.when(
-            framed, F.array_join(F.filter("_after", lambda line: ~is_checksum(line)), "")).otherwise(squeezed))
-        .withColumn("armor", F.when(F.col(column).isNotNull(), F.struct(
-            framed.alias("framed"),
-            (F.col("_first") > 0).alias("has_begin"),
-            (F.col("_last") > 0).alias("has_end"),
-            F.when(F.col("_first") > 0, F.element_at("_lines", F.col("_first"))).alias("begin"),
-            F.when(F.col("_last") > 0, F.element_at("_lines", F.col("_last"))).alias("end"),
-            F.when(F.col("_blank") > 0, F.slice(F.col("_inside"), F.lit(1), F.col("_blank") - 1))
-            .otherwise(F.col("_inside")).alias("headers"),
-            (framed & (F.col("_blank") == 0)).alias("no_blank_line"),
-            F.col("_body").alias("body"),
-            F.get(F.filter("_after", is_checksum), F.lit(0)).alias("stored_crc"),
-            lenient_base64(F.col("_body")).alias("payload"),
-        )))
-        .drop("_text", "_lines", "_first", "_last", "_framed", "_inside", "_blank", "_after", "_body")
+        .withColumn("_text", strip(F.replace(F.col(column), F.lit("\r\n"), F.lit("\n"))))
+        .withColumn("_lines", F.split("_text", "\n"))
+        .withColumns({"_first": position(BEGIN), "_last": position(END)})
+        .withColumn("_framed", (first > 0) & (last > 0))
+        .withColumns({"_inside": F.when(framed, inside), "_begin": line_at(first), "_end": line_at(last)})
+        .withColumn("_blank", F.array_position("_inside", "").cast("int"))
+        .withColumns({
+            "_after": F.when(blank > 0, after).otherwise(F.array().cast("array<string>")),
+            "_headers": F.when(blank > 0, F.slice(F.col("_inside"), F.lit(1), blank - 1)).otherwise(F.col("_inside")),
+        })
+        .withColumns({
+            "_body": F.when(framed, body).otherwise(F.translate("_text", "\n\r ", "")),
+            "_stored": F.get(F.filter("_after", is_checksum), F.lit(0)),
+        })
     )
+    return decode_base64(lines, "_body", "_payload").withColumn("_checksum", crc24_line(F.col("_payload")))
+
+
+PARTS = ["_text", "_lines", "_first", "_last", "_framed", "_inside", "_begin", "_end", "_blank", "_after", "_headers",
+         "_body", "_stored", "_payload", "_checksum"]
 
 
 def normalise_armor(blocks: DataFrame, column: str, output: str = "normalised") -> DataFrame:
@@ -102,47 +109,37 @@ def normalise_armor(blocks: DataFrame, column: str, output: str = "normalised")
     A bare base64 text is framed as a private key, a text that is neither framed nor base64 comes
     back without line breaks and spaces, and a framed block whose body does not decode gives null.
     """
-    armor = F.col("armor")
-    checksum = F.col("_checksum")
-    framed = F.concat(
-        F.array_join(F.concat(F.array(armor["begin"]), armor["headers"], F.array(
-            F.lit(""), wrap(armor["body"]), checksum, armor["end"])), "\n"), F.lit("\n"))
-    rebuilt = F.concat(F.lit(KEY_HEADER + "\n\n"), wrap(armor["body"]), F.lit("\n"), checksum,
-                       F.lit("\n" + KEY_FOOTER + "\n"))
+    wrapped = wrap(F.col("_body"))
+    framed = F.concat(F.array_join(F.concat(
+        F.array("_begin"), F.col("_headers"), F.array(F.lit(""), wrapped, F.col("_checksum"), F.col("_end"))),
+        "\n"), F.lit("\n"))
+    rebuilt = F.concat(
+        F.lit(KEY_HEADER + "\n\n"), wrapped, F.lit("\n"), F.col("_checksum"), F.lit("\n" + KEY_FOOTER + "\n"))
     repaired = (
-        F.when(armor["payload"].isNotNull(), F.when(armor["framed"], framed).otherwise(rebuilt))
-        .when(~armor["framed"], armor["body"])
-    )
-    return (
-        parse_armor(blocks, column)
-        .withColumn("_checksum", crc24_line(armor["payload"]))
-        .withColumn(output, repaired)
-        .drop("armor", "_checksum")
+        F.when(F.col("_payload").isNotNull(), F.when(F.col("_framed"), framed).otherwise(rebuilt))
+        .when(~F.col("_framed"), F.col("_body"))
     )
+    return parse_armor(blocks, column).withColumn(output, repaired).drop(*PARTS)
 
 
 def audit_armor(blocks: DataFrame, column: str) -> DataFrame:
     """One row of findings per block: frame, type, headers, body size and both checksums."""
-    armor = F.col("armor")
-    kind = F.regexp_extract(armor["begin"], "^-----BEGIN PGP (.*)-----$", 1)
-    computed = F.when(armor["payload"].isNotNull(), F.col("_checksum"))
+    payload = F.col("_payload")
+    kind = F.regexp_extract("_begin", "^-----BEGIN PGP (.*)-----$", 1)
+    computed = F.when(payload.isNotNull(), F.col("_checksum"))
     return (
         parse_armor(blocks, column)
-        .withColumn("_checksum", crc24_line(armor["payload"]))
         .withColumns({
-            "has_begin": armor["has_begin"],
-            "has_end": armor["has_end"],
+            "has_begin": F.col("_first") > 0,
+            "has_end": F.col("_last") > 0,
             "block_type": F.nullif(kind, F.lit("")),
-            "header_count": F.coalesce(F.size(armor["headers"]), F.lit(0)),
-            "no_blank_line": armor["no_blank_line"],
-            "body_bytes": F.octet_length(armor["payload"]),
-            "bad_body": armor["payload"].isNull(),
-            "stored_crc": armor["stored_crc"],
+            "header_count": F.coalesce(F.size("_headers"), F.lit(0)),
+            "no_blank_line": F.col("_framed") & (F.col("_blank") == 0),
+            "body_bytes": F.octet_length(payload),
+            "bad_body": payload.isNull(),
+            "stored_crc": F.col("_stored"),
             "computed_crc": computed,
-            "crc_matches": armor["stored_crc"] == computed,
+            "crc_matches": F.col("_stored") == computed,
         })
-        .drop("armor", "_checksum")
+        .drop(*PARTS)
     )
-
-
-__all__ = ["audit_armor", "crc24", "crc24_line", "lenient_base64", "normalise_armor", "parse_armor", "wrap"]
