@@ -12,27 +12,20 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sealroute.functions.text import unwrap_secret
-from sealroute.operators.keyed import attach_small
+from sealroute.operators.keys import KeyTable
 
 DECRYPT_FAILED = "payload could not be decrypted"
 ENCRYPT_FAILED = "payload could not be encrypted"
 
 
 class Provider(Protocol):
-    def decrypt(self, files: DataFrame, keys: DataFrame) -> DataFrame:
+    def decrypt(self, files: DataFrame, keys: DataFrame | KeyTable) -> DataFrame:
         """Add ``plaintext`` and settle the rows whose ``status`` is null to ``ok`` or ``error``."""
 
-    def encrypt(self, files: DataFrame, keys: DataFrame) -> DataFrame:
+    def encrypt(self, files: DataFrame, keys: DataFrame | KeyTable) -> DataFrame:
         """Add ``sealed`` and settle the rows whose ``status`` is null to ``ok`` or ``error``."""
 
 
-def _with_material(files: DataFrame, keys: DataFrame) -> DataFrame:
-    """Join the key table; key material only ever exists as a column, never as a plan literal."""
-    secrets = keys.select("key_id", unwrap_secret(F.col("material")).alias("_material"))
-    return attach_small(files, secrets, "key_id", "path")
-
-
 def _settle(files: DataFrame, pending: Column, output: str, failure: str) -> DataFrame:
     """Status and message of the rows that were pending, from whether ``output`` is there."""
     done = F.col(output).isNotNull()
@@ -48,20 +41,29 @@ class AesProvider:
     def _key(self) -> Column:
         return F.unhex(F.sha2(F.col("_material"), 256))
 
-    def decrypt(self, files: DataFrame, keys: DataFrame) -> DataFrame:
+    def decrypt(self, files: DataFrame, keys: DataFrame | KeyTable) -> DataFrame:
         pending = F.col("status").isNull()
         plain = F.try_aes_decrypt("content", self._key(), F.lit("GCM"))
-        opened = _with_material(files, keys).withColumn("plaintext", F.when(pending, plain))
+        opened = KeyTable.of(keys).attach(files, "_material").withColumn("plaintext", F.when(pending, plain))
         return _settle(opened, pending, "plaintext", DECRYPT_FAILED).drop("_material")
 
-    def encrypt(self, files: DataFrame, keys: DataFrame) -> DataFrame:
+    def encrypt(self, files: DataFrame, keys: DataFrame | KeyTable) -> DataFrame:
         pending = F.col("status").isNull()
         sealed = F.when(
             pending & F.col("_material").isNotNull(), F.aes_encrypt("content", self._key(), F.lit("GCM")))
-        out = _with_material(files, keys).withColumn("sealed", sealed)
+        out = KeyTable.of(keys).attach(files, "_material").withColumn("sealed", sealed)
         return _settle(out, pending, "sealed", ENCRYPT_FAILED).drop("_material")
 
 
+def fan_out(files: DataFrame, key: str) -> DataFrame:
+    """Spread rows over all cores when a scan has fewer splits than cores; else leave them in place.
+
+    For a plain scan only: a large table already has more splits than cores and is not shuffled.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files if files.rdd.getNumPartitions() >= cores else files.repartition(cores, key)
+
+
 def payload_partitions(files: DataFrame, target_bytes: int = 1 << 30) -> int:
     """How many tasks a codec job gets, from the listed bytes: at most ``target_bytes`` on average.
 

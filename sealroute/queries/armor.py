@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from sealroute.functions.armor import audit_armor, normalise_armor, wrap
 from sealroute.functions.checksum import crc24, crc24_line
+from sealroute.operators.codec import fan_out
 from sealroute.operators.keylist import NO_FINGERPRINT, first_fingerprint
-from sealroute.queries.landing import LANDING_SQL, WS_SQL, landing, read
+from sealroute.queries.landing import LANDING_SQL, WS_SQL, payload_landing, read
 
 
 # Fixed value: the checksum line of an empty payload.
@@ -37,7 +38,7 @@ def framed_cases(spark, sf):
         F.lit("\n-----END PGP "), F.col("kind"), F.lit("-----\n"))
     kinds = F.when(case < 2, "MESSAGE").when(case < 4, "PUBLIC KEY BLOCK").otherwise("PRIVATE KEY BLOCK")
     return (
-        landing(spark, sf).select("doc_id", "content", kinds.alias("kind"))
+        payload_landing(spark, sf).select("doc_id", "content", kinds.alias("kind"))
         .select("doc_id", F.when(case == 2, F.replace(block, F.lit("\n"), F.lit("\r\n"))).otherwise(block).alias("block"))
     )
 
@@ -53,7 +54,7 @@ def armor_reconstruct(spark, sf):
         F.when(case == 0, F.concat(F.lit("  "), wrap(body, 60), F.lit("\r\n")))
         .when(case == 1, F.rtrim(body, F.lit("=")))
         .otherwise(F.col("content").cast("string")))
-    cases = landing(spark, sf).select("doc_id", bare.alias("block"))
+    cases = payload_landing(spark, sf).select("doc_id", bare.alias("block"))
     return normalise_armor(cases, "block").select("doc_id", "normalised")
 
 
@@ -66,7 +67,7 @@ def armor_audit(spark, sf):
 
 def crc24_of_texts(spark, sf):
     content = F.col("text").cast("binary")
-    return read(spark, sf, "documents").select("doc_id", crc24(content).alias("crc"), crc24_line(content).alias("line"))
+    return fan_out(read(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", crc24(content).alias("crc"), crc24_line(content).alias("line"))
 
 
 def key_listing(spark, sf):

@@ -12,7 +12,7 @@ from sealroute.plans.decrypt_job import check_requests, decrypt_table, settle_re
 from sealroute.plans.encrypt_job import name_outputs, seal_payloads, settle_encrypt
 from sealroute.queries.files import joined_lists, stamp
 from sealroute.queries.landing import (
-    CODE_SQL, LANDING_SQL, RESULTS_SQL, SIZE_CAP, SUMMARY_SQL, key_of, landing, landing_of, read, run_keys, with_targets,
+    CODE_SQL, LANDING_SQL, RESULTS_SQL, SIZE_CAP, SUMMARY_SQL, key_of, landing, landing_of, payload_landing, read, run_keys, with_targets,
 )
 from sealroute.session import attach, work_folder
 from sealroute.sources.landing import read_manifest
@@ -35,7 +35,7 @@ def sealed_landing(files, keys):
 
 def crypt_roundtrip(spark, sf):
     keys = run_keys(spark)
-    opened = AesProvider().decrypt(unsettled(sealed_landing(landing(spark, sf), keys)), keys)
+    opened = AesProvider().decrypt(unsettled(sealed_landing(payload_landing(spark, sf), keys)), keys)
     return opened.select(
         "doc_id", "status", "message", F.sha2("plaintext", 256).alias("sha256"),
         F.octet_length("content").cast("bigint").alias("bytes_in"),
@@ -61,8 +61,8 @@ def decrypt_requests(spark, sf, batch: str):
 
 def decrypt_summary(spark, sf, batch: str):
     keys = run_keys(spark)
-    files = landing(spark, sf).withColumn("batch", F.col(batch))
-    totals = batch_totals(files)
+    totals = batch_totals(landing(spark, sf).withColumn("batch", F.col(batch)))
+    files = payload_landing(spark, sf).withColumn("batch", F.col(batch))
     results = decrypt_table(
         with_targets(sealed_landing(files, keys)), keys, AesProvider(), stamp(), max_bytes=SIZE_CAP)
     checked = check_requests(decrypt_requests(spark, sf, batch), keys)

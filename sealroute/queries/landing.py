@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import secrets
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealroute.functions.paths import in_folder
 from sealroute.functions.text import WHITESPACE
-from sealroute.operators.codec import DECRYPT_FAILED
+from sealroute.operators.codec import DECRYPT_FAILED, fan_out
+from sealroute.operators.keys import KeyTable
 
 SIZE_CAP = 16384
 KEY_IDS = ["key0", "key1", "key2", "key3"]
@@ -27,6 +29,11 @@ def landing(spark: SparkSession, sf: str) -> DataFrame:
     return landing_of(read(spark, sf, "documents"))
 
 
+def payload_landing(spark: SparkSession, sf: str) -> DataFrame:
+    """The view for work on the payloads themselves, spread over all cores."""
+    return landing_of(fan_out(read(spark, sf, "documents"), "doc_id"))
+
+
 def landing_of(documents: DataFrame) -> DataFrame:
     doc = F.col("doc_id")
     folder = F.concat(F.lit("inbound/"), F.col("lang"))
@@ -61,11 +68,11 @@ def by_rule(files: DataFrame) -> DataFrame:
     })
 
 
-def run_keys(spark: SparkSession) -> DataFrame:
+def run_keys(spark: SparkSession) -> KeyTable:
     """Key material made for this run; the last key comes wrapped as a key store returns it."""
     rows = [(key, secrets.token_hex(16)) for key in KEY_IDS[:-1]]
     rows.append((KEY_IDS[-1], f'{{"value": " {secrets.token_hex(16)} "}}'))
-    return spark.createDataFrame(rows, "key_id string, material string")
+    return KeyTable.of(spark.createDataFrame(pa.table(dict(zip(["key_id", "material"], zip(*rows))))))
 
 
 def key_of(column: str):

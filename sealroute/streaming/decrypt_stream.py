@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from sealroute.operators.codec import Provider
 from sealroute.operators.files import MAX_FILE_BYTES
+from sealroute.operators.keys import KeyTable
 from sealroute.plans.decrypt_job import decrypt_files, decrypt_table
 from sealroute.session import attach
 
@@ -28,7 +29,7 @@ def _start(stream: DataFrame, process, folder: str, available_now: bool, every:
 
 
 def stream_requests(
-    spark: SparkSession, inbox: str, schema: StructType | str, keys: DataFrame, provider: Provider, folder: str, *,
+    spark: SparkSession, inbox: str, schema: StructType | str, keys: DataFrame | KeyTable, provider: Provider, folder: str, *,
     available_now: bool = True, every: str = "30 seconds", max_files: int = 100, **options,
 ) -> StreamingQuery:
     """Run the decrypt job for the requests in each JSON file that arrives in ``inbox``.
@@ -36,6 +37,7 @@ def stream_requests(
     Summaries go to ``folder``/summary. ``options`` are those of ``decrypt_files``.
     """
     attach(spark)
+    keys = KeyTable.of(keys)
     requests = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(inbox)
 
     def process(batch: DataFrame, epoch: int) -> None:
@@ -46,13 +48,15 @@ def stream_requests(
 
 
 def stream_files(
-    files: DataFrame, keys: DataFrame, provider: Provider, stamp: Column, folder: str, *,
+    files: DataFrame, keys: DataFrame | KeyTable, provider: Provider, stamp: Column, folder: str, *,
     max_bytes: int | None = MAX_FILE_BYTES, available_now: bool = True, every: str = "30 seconds",
 ) -> StreamingQuery:
     """Decrypt and route a stream of payload rows; results go to ``folder``/results.
 
     The batch cap needs a batch's whole count, so it is applied when the results are summarised.
     """
+    keys = KeyTable.of(keys)
+
     def process(batch: DataFrame, epoch: int) -> None:
         results = decrypt_table(batch, keys, provider, stamp, cap=None, max_bytes=max_bytes)
         results.write.mode("overwrite").parquet(f"{folder}/results/epoch={epoch}")
