@@ -14,6 +14,9 @@ END = "-----END PGP"
 KEY_HEADER = "-----BEGIN PGP PRIVATE KEY BLOCK-----"
 KEY_FOOTER = "-----END PGP PRIVATE KEY BLOCK-----"
 WIDTH = 76
+# The ASCII characters base64 does not use. Listing them as ranges scans far faster
+# than negating the alphabet.
+NOT_BASE64 = r"[\x00-\x2a\x2c-\x2e\x3a-\x3c\x3e-\x40\x5b-\x60\x7b-\x7f]+"
 
 
 def wrap(body: Column, width: int = WIDTH) -> Column:
@@ -46,7 +49,7 @@ def decode_base64(rows: DataFrame, column: str, output: str) -> DataFrame:
     padded = F.rpad(data, (F.ceil(F.length(data) / 4) * 4).cast("int"), F.lit("="))
     return (
         rows
-        .withColumn("_clean", F.regexp_replace(column, "[^A-Za-z0-9+/=]+", ""))
+        .withColumn("_clean", F.regexp_replace(column, NOT_BASE64, ""))
         .withColumn("_pieces", F.split("_clean", "="))
         .withColumn("_scan", F.aggregate(before_last, start, step))
         .withColumn("_data", F.when(

@@ -13,8 +13,11 @@ from sealroute.operators.keyed import attach_per_key, fits_broadcast
 
 @dataclass(frozen=True)
 class KeyTable:
-    """``key_id`` and ``material`` with secrets unwrapped. ``small`` tells whether it was checked to
-    be small enough to broadcast; a larger table is joined with its hot keys salted."""
+    """``key_id``, ``material`` and ``passphrase`` (null where none is needed), secrets unwrapped.
+
+    ``small`` tells whether the table was checked to be small enough to broadcast; a larger one is
+    joined with its hot keys salted.
+    """
 
     frame: DataFrame
     small: bool
@@ -23,11 +26,14 @@ class KeyTable:
     def of(cls, keys: DataFrame | KeyTable) -> KeyTable:
         if isinstance(keys, KeyTable):
             return keys
-        return cls(keys.select("key_id", unwrap_secret(F.col("material")).alias("material")), fits_broadcast(keys))
+        passphrase = unwrap_secret(F.col("passphrase")) if "passphrase" in keys.columns else F.lit(None).cast("string")
+        unwrapped = keys.select(
+            "key_id", unwrap_secret(F.col("material")).alias("material"), passphrase.alias("passphrase"))
+        return cls(unwrapped, fits_broadcast(keys))
 
     def attach(self, rows: DataFrame, output: str, row_id: str = "path") -> DataFrame:
         """Left join the key material as ``output``. It only ever is a column, never a plan literal."""
-        secrets = self.frame.withColumnRenamed("material", output)
+        secrets = self.frame.select("key_id", F.col("material").alias(output))
         if self.small:
             return rows.join(F.broadcast(secrets), "key_id", "left")
         counted = rows.groupBy("key_id").agg(F.count(F.lit(1)).alias("_n")).join(secrets, "key_id", "left")
