@@ -8,13 +8,16 @@ after the files have been spread over the cluster.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage,
+)
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType, TimestampType
 
 from sealroute.sources.storage import locate, walk, write_file
@@ -55,6 +58,29 @@ class LandingReader(DataSourceReader):
             yield _entry(info, partition.folder.rstrip("/") + info.path[len(folder):])
 
 
+class LandingStreamReader(DataSourceStreamReader):
+    """Each trigger is one poll of the folders: a micro-batch holds what lies there now.
+
+    Offsets only number the polls. The job that consumes a batch moves its files away, so a batch
+    that is run again finds what is still unprocessed, and nothing depends on file times.
+    """
+
+    def __init__(self, folders: list[str], recursive: bool):
+        self.reader = LandingReader(folders, recursive)
+
+    def initialOffset(self) -> dict:
+        return {"poll": 0}
+
+    def latestOffset(self) -> dict:
+        return {"poll": time.time_ns() // 1_000_000}
+
+    def partitions(self, start: dict, end: dict) -> list[FolderPartition]:
+        return self.reader.partitions()
+
+    def read(self, partition: FolderPartition) -> Iterator[tuple]:
+        return self.reader.read(partition)
+
+
 class LandingWriter(DataSourceWriter):
     """One row, one named file. Each task finishes its files one by one, so the driver has
     nothing to rename and a repeated task writes the same files again."""
@@ -85,9 +111,15 @@ class LandingSource(DataSource):
     def schema(self) -> StructType:
         return MANIFEST
 
-    def reader(self, schema: StructType) -> LandingReader:
+    def _scan(self) -> tuple[list[str], bool]:
         folders = json.loads(self.options["folders"]) if "folders" in self.options else [self.options["path"]]
-        return LandingReader(folders, self.options.get("recursive", "false").lower() == "true")
+        return folders, self.options.get("recursive", "false").lower() == "true"
+
+    def reader(self, schema: StructType) -> LandingReader:
+        return LandingReader(*self._scan())
+
+    def streamReader(self, schema: StructType) -> LandingStreamReader:
+        return LandingStreamReader(*self._scan())
 
     def writer(self, schema: StructType, overwrite: bool) -> LandingWriter:
         if overwrite:

@@ -1,13 +1,17 @@
 """The decrypt job driven by a stream.
 
-``stream_requests`` takes each arriving request record as one call of the job. ``stream_files``
-takes payload rows and keeps a results table that summaries read. Both write each micro-batch to
-its own ``epoch=N`` folder, so a micro-batch that is run again replaces its rows.
+``stream_requests`` takes each arriving request record as one call of the job, ``stream_folders``
+polls the folders of standing requests, and ``stream_files`` takes payload rows and keeps a results
+table that summaries read. Each micro-batch writes to its own ``epoch=N`` folder, so a micro-batch
+that is run again replaces its rows.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -15,7 +19,7 @@ from sealroute.operators.codec import Provider
 from sealroute.operators.files import MAX_FILE_BYTES
 from sealroute.operators.keys import KeyTable
 from sealroute.plans.decrypt_job import decrypt_files, decrypt_table
-from sealroute.session import attach
+from sealroute.session import attach, keep, work_folder
 
 
 def _start(stream: DataFrame, process, folder: str, available_now: bool, every: str) -> StreamingQuery:
@@ -47,6 +51,32 @@ def stream_requests(
     return _start(requests, process, folder, available_now, every)
 
 
+def stream_folders(
+    requests: DataFrame, keys: DataFrame | KeyTable, provider: Provider, folder: str, *,
+    available_now: bool = True, every: str = "30 seconds", **options,
+) -> StreamingQuery:
+    """Poll the landing folders of standing ``requests`` and run the decrypt job for those with files.
+
+    The folder names are the only thing the driver reads. Summaries go to ``folder``/summary.
+    """
+    spark = attach(requests.sparkSession)
+    keys = KeyTable.of(keys)
+    located = requests.withColumn("_folder", F.concat(
+        F.rtrim("root", F.lit("/")), F.lit("/"), F.rtrim("source_folder", F.lit("/"))))
+    watched = [row[0] for row in located.select("_folder").distinct().collect()]
+    arrivals = spark.readStream.format("landing").option("folders", json.dumps(watched)).load().filter("NOT is_dir")
+
+    def process(batch: DataFrame, epoch: int) -> None:
+        # The poll's own listing only tells which folders hold files; the job lists them again.
+        filled = keep(
+            batch.select(F.regexp_replace("path", "/[^/]*$", "").alias("_folder")).distinct(),
+            work_folder(spark, "poll"), "folders")
+        run = decrypt_files(located.join(filled, "_folder", "left_semi").drop("_folder"), keys, provider, **options)
+        run.summary.write.mode("overwrite").parquet(f"{folder}/summary/epoch={epoch}")
+
+    return _start(arrivals, process, folder, available_now, every)
+
+
 def stream_files(
     files: DataFrame, keys: DataFrame | KeyTable, provider: Provider, stamp: Column, folder: str, *,
     max_bytes: int | None = MAX_FILE_BYTES, available_now: bool = True, every: str = "30 seconds",

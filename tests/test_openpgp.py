@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 
 from sealroute.functions.checksum import crc24_of
 from sealroute.operators.openpgp import DECRYPT_FAILED, IMPORT_FAILED, OpenPgpProvider
+from sealroute.plans.decrypt_job import decrypt_files
+from sealroute.plans.encrypt_job import encrypt_files
+from tests.test_decrypt_job import put
+from tests.test_decrypt_job import request as decrypt_request
+from tests.test_encrypt_job import request as encrypt_request
 
 pytestmark = pytest.mark.skipif(shutil.which("gpg") is None, reason="gpg is not installed")
 PROVIDER = OpenPgpProvider(start_agent=False)
@@ -130,6 +135,31 @@ def test_passphrase_messages_are_opened(spark, tmp_path):
         assert (got[path].status, got[path].message, got[path].plaintext) == ("error", DECRYPT_FAILED, None)
 
 
+def test_jobs_run_with_the_provider(spark, tmp_path):
+    armored, n, d = public_key()
+    put(tmp_path, {"keys/partner.key": armored.encode(), "staging/1/a.csv": b"rows to send"})
+    sent = encrypt_files(encrypt_request(spark, tmp_path, {1: {}}), PROVIDER).results.first()
+    assert (sent.status, sent.originalSize) == ("SUCCESS", 12)
+    sealed = (tmp_path / sent.outputPath).read_bytes()
+    assert len(sealed) == sent.encryptedSize
+    home = tmp_path / "h"
+    home.mkdir(mode=0o700)
+    opened = gpg(home, "--override-session-key", session_key(sealed, n, d), "--decrypt", data=sealed)
+    assert opened == b"rows to send"
+
+    plain = tmp_path / "in.csv"
+    plain.write_bytes(b"rows received")
+    subprocess.run(
+        ["gpg", "--homedir", str(home), "--batch", "--yes", "--no-tty", "--no-autostart", "--pinentry-mode", "loopback",
+         "--passphrase-fd", "0", "--output", str(tmp_path / "in.pgp"), "--symmetric", str(plain)],
+        input=b"sesame\n", capture_output=True, timeout=60)
+    put(tmp_path, {"inbound/a/in.csv.pgp": (tmp_path / "in.pgp").read_bytes(), "inbound/a/junk.csv.pgp": b"junk"})
+    keys = spark.createDataFrame([("alpha", "", "sesame")], "key_id string, material string, passphrase string")
+    row = decrypt_files(decrypt_request(spark, tmp_path, "a"), keys, PROVIDER).summary.first()
+    assert (row.ok, row.failed, row.code, row.error_files) == (1, 1, 207, [f"junk.csv.pgp: {DECRYPT_FAILED}"])
+    assert (tmp_path / "done/a/in.csv").read_bytes() == b"rows received"
+
+
 def test_passphrase_is_in_no_plan(spark):
     keys = spark.createDataFrame([("k", "", "very secret words")], "key_id string, material string, passphrase string")
     plan = PROVIDER.decrypt(files(spark, [("p", "k", b"x", None)]), keys)._jdf.queryExecution().toString()
