@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealroute.functions.paths import base_name, has_extension, is_system_file, plain_name
-from sealroute.operators.keyed import HOT_ROWS, attach_per_key
+from sealroute.operators.keyed import HOT_ROWS, attach_per_key, fits_broadcast
 from sealroute.operators.requests import MAX_FILES
 
 MAX_FILE_BYTES = 500 * 1024 * 1024
@@ -58,10 +58,16 @@ def batch_totals(files: DataFrame, batch: str = "batch") -> DataFrame:
 def accept_batches(
     files: DataFrame, totals: DataFrame, cap: int | None = MAX_FILES, batch: str = "batch", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Keep the files of batches within the cap; a larger batch is turned away as a whole."""
+    """Keep the files of batches within the cap; a larger batch is turned away as a whole.
+
+    The rejected batches are counted first: a short list is broadcast and the files, which may
+    carry payloads, are not shuffled.
+    """
     if cap is None:
         return files
     rejected = totals.filter(F.col("total") > cap).withColumnRenamed("total", "_total")
+    if fits_broadcast(rejected):
+        return files.join(F.broadcast(rejected), batch, "left_anti")
     return (
         attach_per_key(files, rejected, batch, "path", count="_total", hot_rows=hot_rows)
         .filter(F.col("_total").isNull())

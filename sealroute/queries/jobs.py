@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sealroute.operators.codec import DECRYPT_FAILED, AesProvider
 from sealroute.operators.files import accept_batches, batch_totals, staging_pick
+from sealroute.operators.keyed import fits_broadcast
 from sealroute.operators.requests import check_encrypt_requests
 from sealroute.operators.summary import summarise
 from sealroute.plans.decrypt_job import check_requests, decrypt_table, settle_requests
@@ -117,7 +118,9 @@ def encrypt_result(spark, sf):
         F.lit("keys/a.asc").alias("pgpKeyPath"), F.lit("sent").alias("archiveFolder"),
         F.lit("errors").alias("errorFolder"), F.concat("source", F.lit("_")).alias("filePrefix"),
         F.lit(None).cast("string").alias("runId")))
-    found = picks.filter(F.col("path").isNotNull()).join(payloads, "path")
+    picks = picks.filter(F.col("path").isNotNull())
+    # Few picks are broadcast, so that the payloads stay where they are.
+    found = payloads.join(F.broadcast(picks) if fits_broadcast(picks) else picks, "path")
     sealed = seal_payloads(unsettled(found.withColumn("key_id", key_of("doc_id"))), keys, AesProvider()).drop(
         "content", "sealed")
     rows = name_outputs(requests, stamp()).join(sealed, "request_id", "left").withColumns(

@@ -104,6 +104,8 @@ def move_file(filesystem: pafs.FileSystem, source: str, target: str, replace: bo
     try:
         _replace(filesystem, source, target)
     except OSError:
+        if not exists(filesystem, source) and exists(filesystem, target):
+            return  # another attempt of the same task was faster
         write_file(filesystem, target, read_file(filesystem, source))
         filesystem.delete_file(source)
 

@@ -67,6 +67,9 @@ def test_folders_are_decrypted_routed_and_summarised(spark, keys, tmp_path):
         "batch": "void", "total": 0, "ok": 0, "failed": 0, "skipped": 0, "processed_files": [], "skipped_files": [],
         "error_files": [], "message": "No files found in source folder: inbound/void", "code": 200}
     a = got["a"]
+    size = sum(map(len, plain.values())) + len(b"hidden")
+    assert run.metrics["files"] == 10 and run.metrics["bytes_out"] == size
+    assert all(row.elapsed_ms is not None for row in run.files.collect())
     assert (a["total"], a["ok"], a["failed"], a["skipped"], a["code"]) == (10, 5, 3, 2, 207)
     assert a["processed_files"] == [".hidden.csv.PGP", *[f"f{i}.csv.pgp" for i in range(4)]]
     assert a["skipped_files"] == ["_SUCCESS", "notes.pdf"]
