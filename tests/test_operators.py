@@ -1,0 +1,241 @@
+"""Joins under skew, limits, requests, landing source, sinks and what plans reveal."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from sealroute.operators import files as file_ops
+from sealroute.operators import keyed
+from sealroute.operators.codec import AesProvider
+from sealroute.operators.keys import KeyTable
+from sealroute.operators.requests import (
+    DECRYPT_FIELDS, check_encrypt_requests, decrypt_verdict, missing_fields, param, parse_body,
+)
+from sealroute.operators.routing import mark_collisions
+from sealroute.sources.full_load import replace_folder
+from sealroute.sources.landing import list_folders, read_manifest
+from sealroute.sources.payloads import read_payload, read_text_files
+from sealroute.sources.storage import TEMP_PREFIX, locate, move_file, write_file
+from tests.test_decrypt_job import put, tree
+
+
+def skewed(spark, rows=3000):
+    """A third of the rows under one key, some without a key, the rest spread."""
+    pick = random.Random(1)
+    data = []
+    for i in range(rows):
+        draw = pick.random()
+        key = "hot" if draw < 0.34 else None if draw < 0.4 else f"k{pick.randint(0, 200)}"
+        data.append((f"p{i}", key))
+    return data, spark.createDataFrame(data, "path string, key string")
+
+
+def test_attach_per_key_equals_a_plain_lookup_and_spreads_the_hot_key(spark):
+    data, rows = skewed(spark)
+    counts = Counter(key for _, key in data)
+    table = spark.createDataFrame(
+        [(key, n, f"v-{key}") for key, n in counts.items()], "key string, n long, value string")
+    joined = keyed.attach_per_key(rows, table, "key", "path", hot_rows=100)
+    got = {(row.path, row.key, row.value) for row in joined.collect()}
+    assert got == {(path, key, None if key is None else f"v-{key}") for path, key in data}
+    assert joined.count() == len(data)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = keyed.attach_per_key(rows, table, "key", "path", hot_rows=100).filter("key = 'hot'")
+        tasks = placed.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(tasks) > 4
+
+
+def test_a_large_key_table_is_joined_without_broadcast(spark):
+    data, rows = skewed(spark)
+    frame = spark.createDataFrame([(f"k{i}", f"m{i}") for i in range(200)] + [("hot", "m")], "key_id string, material string")
+    table = KeyTable.of(frame)
+    assert table.small
+    large = KeyTable(table.frame, small=False)
+    named = rows.withColumnRenamed("key", "key_id")
+    got = {tuple(row) for row in large.attach(named, "m").select("path", "m").collect()}
+    assert got == {tuple(row) for row in table.attach(named, "m").select("path", "m").collect()}
+
+
+@pytest.mark.parametrize("broadcast_rows", [10_000, 0])
+def test_cap_rejects_whole_batches(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(file_ops, "fits_broadcast", lambda table: keyed.fits_broadcast(table, broadcast_rows))
+    data, rows = skewed(spark)
+    files = rows.fillna("none", "key").withColumnRenamed("key", "batch")
+    counts = Counter(key or "none" for _, key in data)
+    accepted = file_ops.accept_batches(files, file_ops.batch_totals(files), cap=20, hot_rows=50)
+    assert {row.path for row in accepted.collect()} == {path for path, key in data if counts[key or "none"] <= 20}
+
+
+def test_collisions_under_skew(spark):
+    data, rows = skewed(spark)
+    routes = rows.withColumnRenamed("key", "dest_path")
+    best = defaultdict(str)
+    for path, key in data:
+        best[key] = max(best[key], path)
+    counts = Counter(key for _, key in data)
+    got = {row.path: (row.collision, row.wins_dest) for row in mark_collisions(routes, hot_rows=100).collect()}
+    assert got == {
+        path: (key is not None and counts[key] > 1, key is not None and best[key] == path) for path, key in data}
+
+
+def test_staging_pick_takes_the_last_data_file(spark):
+    rows = [("r1", "s/b.csv"), ("r1", "s/a.csv"), ("r1", "s/_z"), ("r1", "s/sub/a.csv"), ("r2", "s/_only"), ("r3", "s/x_")]
+    files = spark.createDataFrame([(r, p, 1) for r, p in rows], "request_id string, path string, length long")
+    got = {row.request_id: (row.picked and row.picked.path, row.staged, row.data_files)
+           for row in file_ops.staging_pick(files).collect()}
+    assert got == {"r1": ("s/sub/a.csv", 4, 3), "r2": (None, 1, 0), "r3": ("s/x_", 1, 1)}
+
+
+def test_size_cap_edges(spark):
+    cap = file_ops.MAX_FILE_BYTES
+    files = spark.createDataFrame(
+        [("d/a.pgp", cap), ("d/b.pgp", cap + 1), ("d/c.pgp", None), ("d/d.txt", cap + 1), ("d/.PGP", 1)],
+        "path string, length long")
+    got = {row.name: (row.status, row.message) for row in file_ops.classify(files).collect()}
+    assert got == {
+        "a.pgp": (None, None), "c.pgp": (None, None), "d.txt": ("skipped", "file does not have .pgp extension"),
+        "b.pgp": ("error", "File size 524,288,001 bytes exceeds limit of 524,288,000 bytes"),
+        ".PGP": ("error", file_ops.NO_STEM)}
+    uncapped = {row.name: row.status for row in file_ops.classify(files, max_bytes=None).collect()}
+    assert uncapped["b.pgp"] is None
+
+
+def test_request_values(spark):
+    rows = [('{"a": " x\\t", "b": 5}', " q "), ('{"a": " "}', " q\n"), ("junk", None), ("[1]", "q"), (None, "  ")]
+    frame = parse_body(spark.createDataFrame(rows, "raw string, query string"), "raw", ["a", "b"])
+    got = [tuple(row) for row in frame.select(param(F.col("body.a"), F.col("query")), "body.b").collect()]
+    assert got == [("x", "5"), ("q", None), (None, None), ("q", None), (None, None)]
+
+
+def test_missing_fields_are_named_in_order(spark):
+    rows = spark.createDataFrame([("c", None, "d", " \t", ""), ("c", "s", "d", "e", "a")], ", ".join(
+        f"{name} string" for name in DECRYPT_FIELDS))
+    got = [r[0] for r in rows.select(missing_fields({n: F.col(n) for n in DECRYPT_FIELDS})).collect()]
+    assert got == ["source_folder, error_folder, archive_folder", None]
+
+
+def test_strict_encrypt_requests_check_folders(spark):
+    columns = ["storageAccountName", "container", "tempFolder", "outputFolder", "pgpKeyPath", "archiveFolder",
+               "errorFolder", "filePrefix", "runId"]
+    rows = spark.createDataFrame([("s", "c", "t//", "o", "k", "a/%2e%2e/b", "e", None, None)], ", ".join(
+        f"{name} string" for name in columns))
+    assert check_encrypt_requests(rows).select("tempFolder", "unsafe_field", "runId").first() == ("t", None, "")
+    assert check_encrypt_requests(rows, strict=True).first().unsafe_field == "archiveFolder"
+
+
+def test_decrypt_states_come_in_order(spark):
+    names = ["missing", "store", "unsafe", "key", "storage", "unexpected", "total", "ok", "failed"]
+    # Each row is sound in one more respect than the row before it.
+    rows = [
+        ("a", False, "f", False, True, True, 0, 0, 0), (None, False, "f", False, True, True, 0, 0, 0),
+        (None, True, "f", False, True, True, 0, 0, 0), (None, True, None, False, True, True, 0, 0, 0),
+        (None, True, None, True, True, True, 0, 0, 0), (None, True, None, True, False, True, 0, 0, 0),
+        (None, True, None, True, False, False, None, None, None), (None, True, None, True, False, False, 501, 0, 0),
+        (None, True, None, True, False, False, 500, 0, 500), (None, True, None, True, False, False, 5, 1, 4),
+        (None, True, None, True, False, False, 5, 0, 0)]
+    frame = spark.createDataFrame(rows, (
+        "missing string, store boolean, unsafe string, key boolean, storage boolean, unexpected boolean, "
+        "total long, ok long, failed long"))
+    verdict = decrypt_verdict(
+        missing=F.col("missing"), key_store_set=F.col("store"), unsafe=F.col("unsafe"), key_found=F.col("key"),
+        storage_error=F.col("storage"), total=F.col("total"), ok=F.col("ok"), failed=F.col("failed"),
+        unexpected=F.col("unexpected"), source_folder=F.lit("in"))
+    got = [row[0] for row in frame.select(verdict).collect()]
+    assert len(names) == len(rows[0])
+    assert [row.code for row in got] == [400, 400, 400, 500, 500, 500, 200, 400, 500, 207, 200]
+    assert got[7].message == "Too many files in source folder (501). Maximum allowed: 500"
+
+
+def test_landing_source_lists_hidden_and_empty_files(spark, tmp_path):
+    put(tmp_path, {"a/_SUCCESS": b"", "a/.d.pgp": b"xy", "a/zero.pgp": b"", "a/sub/deep.pgp": b"abc",
+                   f"a/{TEMP_PREFIX}left": b"unfinished", "b/f.pgp": b"1"})
+    flat = read_manifest(spark, [f"{tmp_path}/a/", f"{tmp_path}/b"])
+    assert {(row.path, row.name, row.length) for row in flat.collect()} == {
+        (f"{tmp_path}/a/_SUCCESS", "_SUCCESS", 0), (f"{tmp_path}/a/.d.pgp", ".d.pgp", 2),
+        (f"{tmp_path}/a/zero.pgp", "zero.pgp", 0), (f"{tmp_path}/b/f.pgp", "f.pgp", 1)}
+    deep = read_manifest(spark, [f"{tmp_path}/a"], recursive=True)
+    assert {row.name for row in deep.collect()} == {"_SUCCESS", ".d.pgp", "zero.pgp", "deep.pgp"}
+    folders = spark.createDataFrame(
+        [(1, str(tmp_path), "a"), (2, f"file://{tmp_path}", "b/"), (3, str(tmp_path), "none")],
+        "id long, root string, folder string")
+    rows = list_folders(folders, "folder").collect()
+    assert {(r.id, r.path, r.length) for r in rows if r.id < 3} == {
+        (1, "a/_SUCCESS", 0), (1, "a/.d.pgp", 2), (1, "a/zero.pgp", 0), (2, "b/f.pgp", 1)}
+    assert [r.listing_error is not None for r in rows if r.id == 3] == [True]
+
+
+def test_landing_writer_and_full_load(spark, tmp_path):
+    put(tmp_path, {"out/old.csv": b"old", "out/a.csv": b"older", "out/keep/x": b"deep"})
+    rows = spark.createDataFrame([("a.csv", b"new"), ("sub/b.csv", b""), ("c.csv", None)], "path string, content binary")
+    removed = replace_folder(rows, f"{tmp_path}/out")
+    assert [(row.path, row.delete_error) for row in removed.collect()] == [(f"{tmp_path}/out/old.csv", None)]
+    assert tree(tmp_path / "out") == {"a.csv": b"new", "sub/b.csv": b"", "c.csv": b"", "keep/x": b"deep"}
+    with pytest.raises(Exception, match="replace_folder"):
+        rows.write.format("landing").mode("overwrite").save(f"{tmp_path}/out")
+
+
+def test_payloads_are_read_in_bounded_batches(spark, tmp_path):
+    files = {f"f{i}": bytes([i]) * (1000 + i) for i in range(40)}
+    put(tmp_path, files)
+    rows = spark.createDataFrame(
+        [(str(tmp_path), name, None, None) for name in files] + [(str(tmp_path), "gone", None, None), (str(tmp_path), "f1", "skipped", "m")],
+        "root string, path string, status string, message string").coalesce(1)
+    got = read_payload(rows, max_bytes=1030, batch_bytes=4000).collect()
+    assert {row.path: bytes(row.content) for row in got if row.content is not None} == {
+        name: data for name, data in files.items() if len(data) <= 1030}
+    states = {(row.path, row.status, row.message) for row in got if row.content is None}
+    assert ("f1", "skipped", "m") in states
+    assert ("f39", "error", "Downloaded file size 1,039 bytes exceeds limit") in states
+    assert any(path == "gone" and status == "error" for path, status, _ in states)
+    assert len(got) == 42
+
+
+def test_key_files_are_read_as_text(spark, tmp_path):
+    put(tmp_path, {"k/a.asc": "ключ\n".encode(), "k/bad.asc": b"\xff\xfe"})
+    rows = spark.createDataFrame([(str(tmp_path), p) for p in ["k/a.asc", "k/bad.asc", "k/none"]], "root string, p string")
+    got = {row.p: (row.material, row.read_error is None) for row in read_text_files(rows, "p").collect()}
+    assert got == {"k/a.asc": ("ключ\n", True), "k/bad.asc": (None, False), "k/none": (None, False)}
+
+
+def test_moves_may_be_repeated(tmp_path):
+    filesystem, base = locate(str(tmp_path), "x")
+    base = base[:-2]
+    write_file(filesystem, f"{base}/in/f", b"1")
+    for _ in range(2):
+        move_file(filesystem, f"{base}/in/f", f"{base}/out/deep/f")
+    assert tree(tmp_path) == {"out/deep/f": b"1"}
+    # The copy of a half-done copy and delete is recognised; other bytes are never overwritten.
+    write_file(filesystem, f"{base}/in/f", b"1")
+    move_file(filesystem, f"{base}/in/f", f"{base}/out/deep/f", replace=False)
+    assert tree(tmp_path) == {"out/deep/f": b"1"}
+    write_file(filesystem, f"{base}/in/f", b"2")
+    with pytest.raises(FileExistsError):
+        move_file(filesystem, f"{base}/in/f", f"{base}/out/deep/f", replace=False)
+    assert tree(tmp_path) == {"in/f": b"2", "out/deep/f": b"1"}
+    with pytest.raises(FileNotFoundError):
+        move_file(filesystem, f"{base}/in/none", f"{base}/out/none")
+
+
+def test_key_material_is_in_no_plan(spark, capfd):
+    secret = "correct horse battery staple"
+    keys = spark.createDataFrame([("k", secret)], "key_id string, material string")
+    rows = spark.createDataFrame([("p", "k", b"x")], "path string, key_id string, content binary").withColumns(
+        {"status": F.lit(None).cast("string"), "message": F.lit(None).cast("string")})
+    sealed = AesProvider().encrypt(rows, keys)
+    opened = AesProvider().decrypt(sealed.select(
+        "path", "key_id", F.col("sealed").alias("content"), F.lit(None).cast("string").alias("status"),
+        F.lit(None).cast("string").alias("message")), keys)
+    assert bytes(opened.first().plaintext) == b"x"
+    opened.explain("extended")
+    assert secret not in opened._jdf.queryExecution().toString()
+    captured = capfd.readouterr()
+    assert secret not in captured.out + captured.err
