@@ -16,6 +16,7 @@ from sealroute.operators.summary import byte_totals, count_batches, list_entries
 from sealroute.queries.landing import (
     CLASSIFIED_SQL, CODE_SQL, LANDING_SQL, RESULTS_SQL, SIZE_CAP, SUMMARY_SQL, by_rule, landing, read, with_targets,
 )
+from sealroute.session import keep, work_folder
 
 STAMP = "2026-04-17 14:30:15.123456"
 LIST_COLUMNS = ["processed_files", "skipped_files", "error_files"]
@@ -126,7 +127,9 @@ def colliding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def route_plan(spark, sf):
-    routes = mark_collisions(plan_routes(colliding(spark, sf), stamp()))
+    # Written once: the length of a document costs a pass over its text.
+    results = keep(colliding(spark, sf), work_folder(spark, "routes"), "results")
+    routes = mark_collisions(plan_routes(results, stamp()))
     return routes.select(
         "doc_id", "path", "status", "dest_path", "source_target", "action",
         F.col("collision").cast("int").alias("collision"), F.col("wins_dest").cast("int").alias("wins_dest"))

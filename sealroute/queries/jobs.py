@@ -109,7 +109,9 @@ def encrypt_result(spark, sf):
     keys = run_keys(spark)
     files = landing(spark, sf).withColumn(
         "request_id", F.concat(F.col("source"), F.lit("/"), (F.col("doc_id") % 13).cast("string")))
-    picks = staging_pick(files.drop("content")).select("request_id", "picked.path")
+    # The listing's length is left out here, as it would cost another pass over the texts.
+    listed = files.drop("content").withColumn("length", F.lit(None).cast("bigint"))
+    picks = staging_pick(listed).select("request_id", "picked.path")
     payloads = files.select("path", "content", "doc_id")
     requests = check_encrypt_requests(files.select("request_id", "source").distinct().select(
         "request_id", F.lit(False).alias("bad_json"), F.lit("store").alias("storageAccountName"),
