@@ -6,6 +6,7 @@ import shutil
 import tempfile
 import uuid
 from pathlib import Path
+from weakref import WeakSet
 
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from sealroute.sources.landing import LandingSource
 
 _shipped: set[str] = set()
+_attached: WeakSet[SparkSession] = WeakSet()
 
 
 def attach(spark: SparkSession) -> SparkSession:
     """Ship the package to the executors and register the ``landing`` source, once per session."""
+    if spark in _attached:
+        return spark
     application = spark.sparkContext.applicationId
     if application not in _shipped:
         package = Path(__file__).resolve().parent
@@ -25,6 +29,7 @@ def attach(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(shutil.make_archive(str(bundle), "zip", package.parent, package.name))
         _shipped.add(application)
     spark.dataSource.register(LandingSource)
+    _attached.add(spark)
     return spark
 
 
