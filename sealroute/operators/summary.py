@@ -1,4 +1,4 @@
-"""Batch summaries, entry lists and byte metrics."""
+"""Batch summaries, entry lists, byte metrics and replies."""
 
 from __future__ import annotations
 
@@ -60,3 +60,23 @@ def byte_totals(results: DataFrame, batch: str = "batch") -> DataFrame:
         F.sum("bytes_in").alias("bytes_in"),
         F.sum("bytes_out").alias("bytes_out"),
     )
+
+
+def decrypt_response(summary: DataFrame) -> DataFrame:
+    """``batch``, ``code`` and the reply text: the summary as JSON, or the bare message of a refusal."""
+    fields = ["total", "ok", "failed", "skipped", *[name for name in LISTS.values() if name in summary.columns]]
+    empty = (F.col("code") == 200) & F.col("message").isNotNull()
+    body = F.when(F.col("message").isNull(), F.to_json(F.struct(*fields))).when(
+        empty, F.to_json(F.struct(*fields, "message"))).otherwise(F.col("message"))
+    return summary.select("batch", "code", body.alias("body"))
+
+
+def encrypt_response(results: DataFrame) -> DataFrame:
+    """``request_id``, ``code`` and the reply text of each encrypt request."""
+    done = ["status", "message", "outputFileName", "outputPath", "archivedFileName", "archivedPath",
+            "originalSize", "encryptedSize"]
+    failed = F.to_json(
+        F.struct("status", "message", "outputFileName", "tempFolder"), {"ignoreNullFields": "false"})
+    body = F.when(F.col("status").isNull(), F.col("message")).when(
+        F.col("status") == "SUCCESS", F.to_json(F.struct(*done))).otherwise(failed)
+    return results.select("request_id", "code", body.alias("body"))

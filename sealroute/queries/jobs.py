@@ -8,7 +8,7 @@ from sealroute.operators.codec import DECRYPT_FAILED, AesProvider
 from sealroute.operators.files import accept_batches, batch_totals, staging_pick
 from sealroute.operators.keyed import fits_broadcast
 from sealroute.operators.requests import check_encrypt_requests
-from sealroute.operators.summary import summarise
+from sealroute.operators.summary import decrypt_response, encrypt_response, summarise
 from sealroute.plans.decrypt_job import check_requests, decrypt_table, settle_requests
 from sealroute.plans.encrypt_job import name_outputs, seal_payloads, settle_encrypt
 from sealroute.queries.files import joined_lists, stamp
@@ -61,24 +61,30 @@ def decrypt_requests(spark, sf, batch: str):
 
 
 def decrypt_summary(spark, sf, batch: str):
+    """The decrypt job on the landing view: a summary row per request."""
     keys = run_keys(spark)
     totals = batch_totals(landing(spark, sf).withColumn("batch", F.col(batch)))
     files = payload_landing(spark, sf).withColumn("batch", F.col(batch))
     results = decrypt_table(
         with_targets(sealed_landing(files, keys)), keys, AesProvider(), stamp(), max_bytes=SIZE_CAP)
     checked = check_requests(decrypt_requests(spark, sf, batch), keys)
-    return joined_lists(settle_requests(checked, totals, results))
+    return settle_requests(checked, totals, results)
 
 
 def decrypt_job(spark, sf):
-    return decrypt_summary(spark, sf, "batch")
+    return joined_lists(decrypt_summary(spark, sf, "batch"))
 
 
 def decrypt_status(spark, sf):
     return decrypt_summary(spark, sf, "folder").select("batch", "total", "code", "message")
 
 
-def encrypt_status(spark, sf):
+def decrypt_replies(spark, sf):
+    return decrypt_response(decrypt_summary(spark, sf, "batch"))
+
+
+def encrypt_states(spark, sf):
+    """An encrypt request per customer, in every terminal state a request can reach."""
     key = F.col("c_custkey")
     requests = read(spark, sf, "customer").select(
         key.alias("request_id"),
@@ -102,7 +108,15 @@ def encrypt_status(spark, sf):
     sizes = {
         "status": F.when(F.col("path").isNotNull(), status),
         "originalSize": F.col("length"), "encryptedSize": F.col("length") + 28}
-    return settle_encrypt(rows.withColumns(sizes)).select("request_id", "code", "status", "message", "tempFolder")
+    return settle_encrypt(rows.withColumns(sizes))
+
+
+def encrypt_status(spark, sf):
+    return encrypt_states(spark, sf).select("request_id", "code", "status", "message", "tempFolder")
+
+
+def encrypt_replies(spark, sf):
+    return encrypt_response(encrypt_states(spark, sf))
 
 
 def encrypt_result(spark, sf):
@@ -168,6 +182,36 @@ faulty AS (
 
 _TOO_MANY_SQL = "'Too many files in source folder (' || total || '). Maximum allowed: 500'"
 
+_ENCRYPT_STATES_SQL = f"""{LANDING_SQL},
+ranked AS (
+  SELECT doc_id // 2 AS request_id, length, corrupt,
+    row_number() OVER (PARTITION BY doc_id // 2 ORDER BY path DESC) AS r
+  FROM landing WHERE NOT starts_with(file_name, '_')),
+raw AS (
+  SELECT c_custkey AS request_id, c_name, length, CASE WHEN c_custkey % 17 = 0 THEN 'json' WHEN c_custkey % 13 = 0 THEN 'missing'
+    WHEN c_custkey % 11 = 0 THEN 'key' WHEN c_custkey % 19 = 0 THEN 'SETUP_FAILED' WHEN r IS NULL THEN 'NO_FILE'
+    WHEN length = 0 THEN 'EMPTY_FILE' WHEN corrupt THEN 'ENCRYPTION_FAILED'
+    WHEN c_custkey % 23 = 0 THEN 'POST_ENCRYPT_FAILED' ELSE 'SUCCESS' END AS state
+  FROM customer LEFT JOIN ranked ON request_id = c_custkey AND r = 1),
+states AS (
+SELECT request_id, c_name, length,
+  CASE state WHEN 'json' THEN 400 WHEN 'missing' THEN 400 WHEN 'key' THEN 400 WHEN 'NO_FILE' THEN 404
+    WHEN 'EMPTY_FILE' THEN 422 WHEN 'SUCCESS' THEN 200 ELSE 500 END AS code,
+  CASE WHEN state NOT IN ('json', 'missing', 'key') THEN state END AS status,
+  CASE state WHEN 'json' THEN 'Invalid JSON body'
+    WHEN 'missing' THEN 'Missing required parameters: storageAccountName, container, tempFolder, outputFolder, ' ||
+      'archiveFolder, pgpKeyPath, errorFolder are all required.'
+    WHEN 'key' THEN 'Invalid pgpKeyPath: path traversal not permitted.'
+    WHEN 'SETUP_FAILED' THEN 'Could not connect to storage or locate required files: ' || left(repeat(c_name, 40), 400)
+    WHEN 'NO_FILE' THEN 'No staging file found in temp folder.'
+    WHEN 'EMPTY_FILE' THEN 'Staging file is empty — no payload to encrypt.'
+    WHEN 'ENCRYPTION_FAILED' THEN 'Encryption process failed. Check error log for details.'
+    WHEN 'POST_ENCRYPT_FAILED' THEN 'Encryption succeeded but writing output or archiving failed. ' ||
+      'Verify if encrypted file already exists before retrying.'
+    ELSE 'File encrypted and archived successfully.' END AS message,
+  CASE WHEN state NOT IN ('json', 'missing', 'key', 'SUCCESS') THEN 'staging/' || c_name END AS "tempFolder"
+FROM raw)"""
+
 QUERIES = {
     "crypt_roundtrip": (crypt_roundtrip, f"""WITH {LANDING_SQL}
 SELECT doc_id, CASE WHEN corrupt OR length = 0 THEN 'error' ELSE 'ok' END AS status,
@@ -187,40 +231,37 @@ capped AS (
 SELECT * FROM capped UNION ALL BY NAME
 SELECT batch, 0 AS total, 0 AS ok, 0 AS failed, 0 AS skipped, '' AS processed_files, '' AS skipped_files,
   '' AS error_files, message, code FROM faulty"""),
+    "decrypt_response": (decrypt_replies, f"""WITH {RESULTS_SQL}, {_REQUESTS_SQL},
+entries AS (SELECT *, CASE WHEN message = '' THEN name ELSE name || ': ' || message END AS entry FROM results),
+lists AS (
+  SELECT batch, count(*) AS total, count(*) FILTER (status = 'ok') AS ok,
+    count(*) FILTER (status = 'error') AS failed, count(*) FILTER (status = 'skipped') AS skipped,
+    coalesce(list(name ORDER BY name) FILTER (status = 'ok'), []) AS processed_files,
+    coalesce(list(name ORDER BY name) FILTER (status = 'skipped'), []) AS skipped_files,
+    coalesce(list(entry ORDER BY entry) FILTER (status = 'error'), []) AS error_files FROM entries GROUP BY batch)
+SELECT batch, CASE WHEN total > 500 THEN 400 ELSE {CODE_SQL} END AS code, CASE WHEN total > 500 THEN {_TOO_MANY_SQL}
+  ELSE to_json({{'total': total, 'ok': ok, 'failed': failed, 'skipped': skipped, 'processed_files': processed_files,
+    'skipped_files': skipped_files, 'error_files': error_files}})::VARCHAR END AS body FROM lists
+UNION ALL BY NAME
+SELECT batch, code, CASE WHEN code = 200 THEN to_json({{'total': 0, 'ok': 0, 'failed': 0, 'skipped': 0,
+  'processed_files': []::VARCHAR[], 'skipped_files': []::VARCHAR[], 'error_files': []::VARCHAR[],
+  'message': message}})::VARCHAR ELSE message END AS body FROM faulty"""),
     "decrypt_status": (decrypt_status, f"""WITH {RESULTS_SQL}, {_REQUESTS_SQL},
 counted AS (SELECT folder AS batch, count(*) AS total, count(*) FILTER (status = 'ok') AS ok,
   count(*) FILTER (status = 'error') AS failed FROM results GROUP BY folder)
 SELECT batch, total, CASE WHEN total > 500 THEN 400 ELSE {CODE_SQL} END AS code,
   CASE WHEN total > 500 THEN {_TOO_MANY_SQL} END AS message FROM counted
 UNION ALL BY NAME SELECT batch, 0 AS total, code, message FROM faulty"""),
-    "encrypt_status": (encrypt_status, f"""WITH {LANDING_SQL},
-ranked AS (
-  SELECT doc_id // 2 AS request_id, length, corrupt,
-    row_number() OVER (PARTITION BY doc_id // 2 ORDER BY path DESC) AS r
-  FROM landing WHERE NOT starts_with(file_name, '_')),
-states AS (
-  SELECT c_custkey AS request_id, c_name, CASE WHEN c_custkey % 17 = 0 THEN 'json' WHEN c_custkey % 13 = 0 THEN 'missing'
-    WHEN c_custkey % 11 = 0 THEN 'key' WHEN c_custkey % 19 = 0 THEN 'SETUP_FAILED' WHEN r IS NULL THEN 'NO_FILE'
-    WHEN length = 0 THEN 'EMPTY_FILE' WHEN corrupt THEN 'ENCRYPTION_FAILED'
-    WHEN c_custkey % 23 = 0 THEN 'POST_ENCRYPT_FAILED' ELSE 'SUCCESS' END AS state
-  FROM customer LEFT JOIN ranked ON request_id = c_custkey AND r = 1)
-SELECT request_id,
-  CASE state WHEN 'json' THEN 400 WHEN 'missing' THEN 400 WHEN 'key' THEN 400 WHEN 'NO_FILE' THEN 404
-    WHEN 'EMPTY_FILE' THEN 422 WHEN 'SUCCESS' THEN 200 ELSE 500 END AS code,
-  CASE WHEN state NOT IN ('json', 'missing', 'key') THEN state END AS status,
-  CASE state WHEN 'json' THEN 'Invalid JSON body'
-    WHEN 'missing' THEN 'Missing required parameters: storageAccountName, container, tempFolder, outputFolder, ' ||
-      'archiveFolder, pgpKeyPath, errorFolder are all required.'
-    WHEN 'key' THEN 'Invalid pgpKeyPath: path traversal not permitted.'
-    WHEN 'SETUP_FAILED' THEN 'Could not connect to storage or locate required files: ' || left(repeat(c_name, 40), 400)
-    WHEN 'NO_FILE' THEN 'No staging file found in temp folder.'
-    WHEN 'EMPTY_FILE' THEN 'Staging file is empty — no payload to encrypt.'
-    WHEN 'ENCRYPTION_FAILED' THEN 'Encryption process failed. Check error log for details.'
-    WHEN 'POST_ENCRYPT_FAILED' THEN 'Encryption succeeded but writing output or archiving failed. ' ||
-      'Verify if encrypted file already exists before retrying.'
-    ELSE 'File encrypted and archived successfully.' END AS message,
-  CASE WHEN state NOT IN ('json', 'missing', 'key', 'SUCCESS') THEN 'staging/' || c_name END AS "tempFolder"
-FROM states"""),
+    "encrypt_status": (encrypt_status, f"""WITH {_ENCRYPT_STATES_SQL}
+SELECT request_id, code, status, message, "tempFolder" FROM states"""),
+    "encrypt_response": (encrypt_replies, f"""WITH {_ENCRYPT_STATES_SQL},
+sized AS (SELECT *, 'data_encrypted_20260417143015.csv' AS plain FROM states)
+SELECT request_id, code, CASE WHEN status IS NULL THEN message WHEN status = 'SUCCESS' THEN
+  to_json({{'status': status, 'message': message, 'outputFileName': plain || '.pgp', 'outputPath': 'out/' || plain || '.pgp',
+    'archivedFileName': plain, 'archivedPath': 'sent/2026/04/17/' || plain, 'originalSize': length,
+    'encryptedSize': length + 28}})::VARCHAR
+  ELSE to_json({{'status': status, 'message': message, 'outputFileName': NULL, 'tempFolder': 'staging/' || c_name}})::VARCHAR
+  END AS body FROM sized"""),
     "encrypt_result": (encrypt_result, f"""WITH {LANDING_SQL},
 staged AS (SELECT source || '/' || (doc_id % 13) AS request_id, source, path, length,
   NOT starts_with(file_name, '_') AS data FROM landing),

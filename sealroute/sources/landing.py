@@ -131,23 +131,29 @@ def list_folders(requests: DataFrame, folder: str, recursive: bool = False, task
     """One row per file in each request's folder, with the request's own columns carried along.
 
     Every folder is listed inside a task, so no listing passes through the driver. ``root`` is
-    the storage root of a request; paths stay relative to it. A folder that cannot be listed
-    gives one row with ``listing_error``, an empty one gives none.
+    the storage root of a request; paths stay relative to it. A root that cannot be opened gives
+    one row with ``storage_error``, a folder that cannot be listed one with ``listing_error``, and
+    an empty folder none.
     """
     added = [field for field in MANIFEST.fields if field.name != "is_dir"]
-    schema = StructType([*requests.schema.fields, *added, StructField("listing_error", StringType())])
+    errors = [StructField("listing_error", StringType()), StructField("storage_error", StringType())]
+    schema = StructType([*requests.schema.fields, *added, *errors])
     position = requests.columns.index(folder)
     root_position = requests.columns.index("root")
 
     def listed(values: tuple) -> Iterator[tuple]:
         base = values[position].rstrip("/")
-        filesystem, start = locate(values[root_position], base)
+        try:
+            filesystem, start = locate(values[root_position], base)
+        except (OSError, ValueError) as error:
+            yield (*values, None, None, None, None, None, str(error))
+            return
         try:
             for info in walk(filesystem, start, recursive):
                 if info.type != pafs.FileType.Directory:
-                    yield (*values, *_entry(info, base + info.path[len(start):])[:4], None)
+                    yield (*values, *_entry(info, base + info.path[len(start):])[:4], None, None)
         except OSError as error:
-            yield (*values, None, None, None, None, str(error))
+            yield (*values, None, None, None, None, str(error), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = None
@@ -176,6 +182,7 @@ def list_folders(requests: DataFrame, folder: str, recursive: bool = False, task
 _ADDED_ARROW = [
     pa.field("path", pa.string()), pa.field("name", pa.string()), pa.field("length", pa.int64()),
     pa.field("modified", pa.timestamp("us", tz="UTC")), pa.field("listing_error", pa.string()),
+    pa.field("storage_error", pa.string()),
 ]
 
 
