@@ -93,15 +93,16 @@ def test_request_states(spark, keys, tmp_path):
     put(tmp_path, {f"inbound/many/f{i}.txt": b"x" for i in range(4)})
     put(tmp_path, {"inbound/bad/f.csv.pgp": b"junk"})
     requests = request(
-        spark, tmp_path, "blank", "unsafe", "nokey", "gone", "many", "bad",
+        spark, tmp_path, "blank", "unsafe", "nokey", "gone", "many", "bad", "offline",
         blank={"error_folder": " \t", "archive_folder": None}, unsafe={"error_folder": "a/%2e%2e/b"},
-        nokey={"key_id": "other"})
+        nokey={"key_id": "other"}, offline={"root": "nosuch://store"})
     got = summaries(decrypt_files(requests, keys, AesProvider(), at=AT, cap=3))
     assert {batch: (row["code"], row["message"]) for batch, row in got.items()} == {
         "blank": (400, "Missing required parameters: error_folder, archive_folder"),
         "unsafe": (400, "Invalid path (path traversal not allowed): error_folder"),
         "nokey": (500, "Failed to retrieve PGP credentials from the key store. Check permissions and secret names."),
         "gone": (500, "Unexpected error occurred. Check the job logs for details."),
+        "offline": (500, "Storage connection error."),
         "many": (400, "Too many files in source folder (4). Maximum allowed: 3"),
         "bad": (500, None),
     }

@@ -162,6 +162,8 @@ def test_landing_source_lists_hidden_and_empty_files(spark, tmp_path):
     assert {(row.path, row.name, row.length) for row in flat.collect()} == {
         (f"{tmp_path}/a/_SUCCESS", "_SUCCESS", 0), (f"{tmp_path}/a/.d.pgp", ".d.pgp", 2),
         (f"{tmp_path}/a/zero.pgp", "zero.pgp", 0), (f"{tmp_path}/b/f.pgp", "f.pgp", 1)}
+    stamps = {row.name: row.modified.timestamp() for row in flat.collect()}
+    assert abs(stamps["f.pgp"] - (tmp_path / "b/f.pgp").stat().st_mtime) < 1
     deep = read_manifest(spark, [f"{tmp_path}/a"], recursive=True)
     assert {row.name for row in deep.collect()} == {"_SUCCESS", ".d.pgp", "zero.pgp", "deep.pgp"}
     folders = spark.createDataFrame(
