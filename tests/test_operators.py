@@ -65,9 +65,9 @@ def test_a_large_key_table_is_joined_without_broadcast(spark):
     assert got == {tuple(row) for row in table.attach(named, "m").select("path", "m").collect()}
 
 
-@pytest.mark.parametrize("broadcast_rows", [10_000, 0])
+@pytest.mark.parametrize("broadcast_rows", [10_000, 1])
 def test_cap_rejects_whole_batches(spark, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(file_ops, "fits_broadcast", lambda table: keyed.fits_broadcast(table, broadcast_rows))
+    monkeypatch.setattr(file_ops, "BROADCAST_ROWS", broadcast_rows)
     data, rows = skewed(spark)
     files = rows.fillna("none", "key").withColumnRenamed("key", "batch")
     counts = Counter(key or "none" for _, key in data)
