@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import TypeVar
 
 from pyarrow import fs as pafs
 
+T = TypeVar("T")
+
 TEMP_PREFIX = ".sealroute-"
 # Stores where a finished upload replaces the object in one step.
 ATOMIC_PUT = {"s3", "gcs", "abfs"}
@@ -60,22 +63,29 @@ def _replace(filesystem: pafs.FileSystem, source: str, target: str) -> None:
         filesystem.move(source, target)
 
 
+def _in_folder_of(filesystem: pafs.FileSystem, path: str, action: Callable[[], T]) -> T:
+    """Run an action that puts something at ``path``; create its folder only if that is missing."""
+    try:
+        return action()
+    except FileNotFoundError:
+        if not _parent(path):
+            raise
+        filesystem.create_dir(_parent(path), recursive=True)
+        return action()
+
+
 def write_file(filesystem: pafs.FileSystem, path: str, data: bytes) -> None:
     """Write a whole file, replacing an older one; a reader never sees a half-written file."""
-    if _parent(path):
-        filesystem.create_dir(_parent(path), recursive=True)
-    if filesystem.type_name in ATOMIC_PUT:
-        with filesystem.open_output_stream(path) as out:
-            out.write(data)
-        return
-    temporary = f"{_parent(path)}/{TEMP_PREFIX}{uuid.uuid4().hex}"
+    atomic = filesystem.type_name in ATOMIC_PUT
+    written = path if atomic else f"{_parent(path)}/{TEMP_PREFIX}{uuid.uuid4().hex}"
     try:
-        with filesystem.open_output_stream(temporary) as out:
+        with _in_folder_of(filesystem, path, lambda: filesystem.open_output_stream(written)) as out:
             out.write(data)
-        _replace(filesystem, temporary, path)
+        if not atomic:
+            _replace(filesystem, written, path)
     except BaseException:
-        if exists(filesystem, temporary):
-            filesystem.delete_file(temporary)
+        if not atomic and exists(filesystem, written):
+            filesystem.delete_file(written)
         raise
 
 
@@ -90,24 +100,20 @@ def move_file(filesystem: pafs.FileSystem, source: str, target: str, replace: bo
     A missing source with the target in place counts as done. With ``replace=False`` an existing
     target that holds other bytes is an error, so nothing is overwritten.
     """
-    if not exists(filesystem, source):
-        if exists(filesystem, target):
-            return
-        raise FileNotFoundError(source)
     if not replace and exists(filesystem, target):
-        if read_file(filesystem, source) != read_file(filesystem, target):
-            raise FileExistsError(target)
-        filesystem.delete_file(source)
+        if exists(filesystem, source):
+            if read_file(filesystem, source) != read_file(filesystem, target):
+                raise FileExistsError(target)
+            filesystem.delete_file(source)
         return
-    if _parent(target):
-        filesystem.create_dir(_parent(target), recursive=True)
     try:
-        _replace(filesystem, source, target)
-    except OSError:
-        if not exists(filesystem, source) and exists(filesystem, target):
-            return  # another attempt of the same task was faster
-        write_file(filesystem, target, read_file(filesystem, source))
-        filesystem.delete_file(source)
+        _in_folder_of(filesystem, target, lambda: _replace(filesystem, source, target))
+    except OSError as error:
+        if exists(filesystem, source):
+            write_file(filesystem, target, read_file(filesystem, source))
+            filesystem.delete_file(source)
+        elif not exists(filesystem, target):
+            raise FileNotFoundError(source) from error
 
 
 def delete_file(filesystem: pafs.FileSystem, path: str) -> None:

@@ -17,7 +17,9 @@ from pyspark.sql.types import StructType
 
 from sealroute.operators.codec import Provider
 from sealroute.operators.files import MAX_FILE_BYTES
+from sealroute.operators.keyed import BROADCAST_ROWS, fits_broadcast
 from sealroute.operators.keys import KeyTable
+from sealroute.operators.routing import mark_collisions
 from sealroute.plans.decrypt_job import decrypt_files, decrypt_table
 from sealroute.session import attach, keep, work_folder
 
@@ -57,13 +59,17 @@ def stream_folders(
 ) -> StreamingQuery:
     """Poll the landing folders of standing ``requests`` and run the decrypt job for those with files.
 
-    The folder names are the only thing the driver reads. Summaries go to ``folder``/summary.
+    The folder names are the only thing the driver reads, so their number is checked: a larger
+    control table runs through ``stream_requests``. Summaries go to ``folder``/summary.
     """
     spark = attach(requests.sparkSession)
     keys = KeyTable.of(keys)
     located = requests.withColumn("_folder", F.concat(
         F.rtrim("root", F.lit("/")), F.lit("/"), F.rtrim("source_folder", F.lit("/"))))
-    watched = [row[0] for row in located.select("_folder").distinct().collect()]
+    folders = located.select("_folder").distinct()
+    if not fits_broadcast(folders):
+        raise ValueError(f"more than {BROADCAST_ROWS} folders to poll; send them as requests to stream_requests")
+    watched = [row[0] for row in folders.collect()]
     arrivals = spark.readStream.format("landing").option("folders", json.dumps(watched)).load().filter("NOT is_dir")
 
     def process(batch: DataFrame, epoch: int) -> None:
@@ -89,6 +95,6 @@ def stream_files(
 
     def process(batch: DataFrame, epoch: int) -> None:
         results = decrypt_table(batch, keys, provider, stamp, cap=None, max_bytes=max_bytes)
-        results.write.mode("overwrite").parquet(f"{folder}/results/epoch={epoch}")
+        mark_collisions(results).write.mode("overwrite").parquet(f"{folder}/results/epoch={epoch}")
 
     return _start(files, process, folder, available_now, every)
