@@ -25,6 +25,11 @@ def parse_body(requests: DataFrame, body: str, fields: list[str], output: str =
     return requests.withColumn(output, F.from_json(F.col(body), schema, {"mode": "PERMISSIVE"}))
 
 
+def is_bad_json(body: Column) -> Column:
+    """True for a raw body that is absent or no JSON text."""
+    return F.try_parse_json(body).isNull()
+
+
 def param(body_value: Column, query_value: Column) -> Column:
     """The stripped body value, else the stripped query value; blank counts as absent."""
     return F.coalesce(blank_to_null(body_value), blank_to_null(query_value))

@@ -10,6 +10,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, tuple[Query, str | None]]:
-    from sealroute.queries import armor, files, jobs, requests
+    from sealroute.queries import armor, file_jobs, files, jobs, requests
 
-    return {**files.QUERIES, **requests.QUERIES, **armor.QUERIES, **jobs.QUERIES}
+    return {**files.QUERIES, **requests.QUERIES, **armor.QUERIES, **jobs.QUERIES, **file_jobs.QUERIES}

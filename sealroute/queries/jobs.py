@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sealroute.operators.codec import DECRYPT_FAILED, AesProvider
 from sealroute.operators.files import accept_batches, batch_totals, staging_pick
 from sealroute.operators.keyed import fits_broadcast
-from sealroute.operators.requests import check_encrypt_requests
+from sealroute.operators.requests import check_encrypt_requests, is_bad_json
 from sealroute.operators.summary import decrypt_response, encrypt_response, summarise
 from sealroute.plans.decrypt_job import check_requests, decrypt_table, settle_requests
 from sealroute.plans.encrypt_job import name_outputs, seal_payloads, settle_encrypt
@@ -16,17 +16,15 @@ from sealroute.queries.landing import (
     CODE_SQL, LANDING_SQL, RESULTS_SQL, SIZE_CAP, SUMMARY_SQL, key_of, landing, landing_of, payload_landing, read, run_keys, with_targets,
 )
 from sealroute.session import attach, work_folder
-from sealroute.sources.landing import read_manifest
-from sealroute.sources.payloads import read_payload
 from sealroute.streaming.decrypt_stream import stream_files
 
 def unsettled(rows):
     return rows.withColumns({"status": F.lit(None).cast("string"), "message": F.lit(None).cast("string")})
 
 
-def sealed_landing(files, keys):
+def sealed_landing(files, keys, key_id=None):
     """The landing view as it would arrive: payloads encrypted, some empty, some damaged."""
-    rows = unsettled(files.withColumn("key_id", key_of("doc_id")))
+    rows = unsettled(files.withColumn("key_id", key_of("doc_id") if key_id is None else key_id))
     sealed = AesProvider().encrypt(rows, keys)
     damaged = F.substring("sealed", F.lit(1), F.octet_length("sealed") - 1)
     content = (
@@ -88,7 +86,7 @@ def encrypt_states(spark, sf):
     key = F.col("c_custkey")
     requests = read(spark, sf, "customer").select(
         key.alias("request_id"),
-        (key % 17 == 0).alias("bad_json"),
+        is_bad_json(F.when(key % 17 == 0, '{"tempFolder": ').otherwise(F.to_json(F.struct("c_name")))).alias("bad_json"),
         F.lit("store").alias("storageAccountName"),
         F.lit("lake").alias("container"),
         F.concat(F.lit("staging/"), F.col("c_name"), F.lit("/")).alias("tempFolder"),
@@ -119,29 +117,35 @@ def encrypt_replies(spark, sf):
     return encrypt_response(encrypt_states(spark, sf))
 
 
+def staged_requests(spark, sf):
+    """Staged files by request, and an encrypt request for each; some hold system files only."""
+    request = F.concat(F.col("source"), F.lit("/"), (F.col("doc_id") % 13).cast("string"))
+    files = landing(spark, sf).withColumn("request_id", request).withColumn("path", F.concat(
+        F.lit("staging/"), "request_id", F.lit("/"), F.substring_index("path", "/", -1)))
+    requests = files.select("request_id", "source").distinct().select(
+        "request_id", F.lit(False).alias("bad_json"), F.lit("store").alias("storageAccountName"),
+        F.lit("lake").alias("container"), F.concat(F.lit("staging/"), F.col("request_id")).alias("tempFolder"),
+        F.concat(F.lit("out/"), F.col("request_id"), F.lit("/")).alias("outputFolder"),
+        F.lit("keys/a.asc").alias("pgpKeyPath"), F.concat(F.lit("sent/"), F.col("request_id")).alias("archiveFolder"),
+        F.lit("errors").alias("errorFolder"), F.concat("source", F.lit("_")).alias("filePrefix"),
+        F.lit(None).cast("string").alias("runId"))
+    return files, requests
+
+
 def encrypt_result(spark, sf):
     keys = run_keys(spark)
-    files = landing(spark, sf).withColumn(
-        "request_id", F.concat(F.col("source"), F.lit("/"), (F.col("doc_id") % 13).cast("string")))
+    files, requests = staged_requests(spark, sf)
     # The listing's length is left out here, as it would cost another pass over the texts.
     listed = files.drop("content").withColumn("length", F.lit(None).cast("bigint"))
-    picks = staging_pick(listed).select("request_id", "picked.path")
+    picks = staging_pick(listed).select("request_id", "picked.path").filter(F.col("path").isNotNull())
     payloads = files.select("path", "content", "doc_id")
-    requests = check_encrypt_requests(files.select("request_id", "source").distinct().select(
-        "request_id", F.lit(False).alias("bad_json"), F.lit("store").alias("storageAccountName"),
-        F.lit("lake").alias("container"), F.concat(F.lit("staging/"), F.col("request_id")).alias("tempFolder"),
-        F.concat(F.lit("out/"), F.col("request_id"), F.lit("/")).alias("outputFolder"),
-        F.lit("keys/a.asc").alias("pgpKeyPath"), F.lit("sent").alias("archiveFolder"),
-        F.lit("errors").alias("errorFolder"), F.concat("source", F.lit("_")).alias("filePrefix"),
-        F.lit(None).cast("string").alias("runId")))
-    picks = picks.filter(F.col("path").isNotNull())
     # Few picks are broadcast, so that the payloads stay where they are.
     found = payloads.join(F.broadcast(picks) if fits_broadcast(picks) else picks, "path")
     sealed = seal_payloads(unsettled(found.withColumn("key_id", key_of("doc_id"))), keys, AesProvider()).drop(
         "content", "sealed")
-    rows = name_outputs(requests, stamp()).join(sealed, "request_id", "left").withColumns(
-        {"setup_error": F.lit(None).cast("string"), "write_error": F.lit(None).cast("string")})
-    return settle_encrypt(rows)
+    rows = name_outputs(check_encrypt_requests(requests), stamp()).join(sealed, "request_id", "left")
+    no_error = F.lit(None).cast("string")
+    return settle_encrypt(rows.withColumns({"setup_error": no_error, "write_error": no_error}))
 
 
 def stream_summary(spark, sf):
@@ -156,18 +160,6 @@ def stream_summary(spark, sf):
     return joined_lists(summarise(accept_batches(results, batch_totals(results))))
 
 
-def folder_scan(spark, sf):
-    attach(spark)
-    return read_manifest(spark, [sf]).select("name", "length")
-
-
-def payload_read(spark, sf):
-    attach(spark)
-    files = read_manifest(spark, [sf]).withColumn("root", F.lit(None).cast("string"))
-    opened = read_payload(unsettled(files.repartition(8, "path")))
-    return opened.select("name", "length", F.sha2("content", 256).alias("sha256"), "message")
-
-
 _REQUESTS_SQL = """
 faulty AS (
   SELECT n_name AS batch,
@@ -212,6 +204,32 @@ SELECT request_id, c_name, length,
   CASE WHEN state NOT IN ('json', 'missing', 'key', 'SUCCESS') THEN 'staging/' || c_name END AS "tempFolder"
 FROM raw)"""
 
+CAPPED_SQL = f"""batch, total, CASE WHEN total > 500 THEN 0 ELSE ok END AS ok, CASE WHEN total > 500 THEN 0 ELSE failed END
+    AS failed, CASE WHEN total > 500 THEN 0 ELSE skipped END AS skipped,
+    CASE WHEN total > 500 THEN '' ELSE processed_files END AS processed_files,
+    CASE WHEN total > 500 THEN '' ELSE skipped_files END AS skipped_files,
+    CASE WHEN total > 500 THEN '' ELSE error_files END AS error_files,
+    CASE WHEN total > 500 THEN {_TOO_MANY_SQL} END AS message,
+    CASE WHEN total > 500 THEN 400 ELSE {CODE_SQL} END AS code"""
+
+ENCRYPT_RESULT_SQL = f"""WITH {LANDING_SQL},
+staged AS (SELECT source || '/' || (doc_id % 13) AS request_id, source, file_name, length,
+  NOT starts_with(file_name, '_') AS data FROM landing),
+picked AS (SELECT request_id, source, count(*) FILTER (data) AS n, arg_max(length, file_name) FILTER (data) AS size
+  FROM staged GROUP BY request_id, source),
+states AS (SELECT *, CASE WHEN n = 0 THEN 'NO_FILE' WHEN size = 0 THEN 'EMPTY_FILE' ELSE 'SUCCESS' END AS status,
+  n > 0 AND size > 0 AS done, source || '_20260417143015.csv' AS plain FROM picked)
+SELECT request_id, status, CASE status WHEN 'NO_FILE' THEN 'No staging file found in temp folder.'
+    WHEN 'EMPTY_FILE' THEN 'Staging file is empty — no payload to encrypt.'
+    ELSE 'File encrypted and archived successfully.' END AS message,
+  CASE WHEN done THEN plain || '.pgp' END AS "outputFileName",
+  CASE WHEN done THEN 'out/' || request_id || '/' || plain || '.pgp' END AS "outputPath",
+  CASE WHEN done THEN plain END AS "archivedFileName",
+  CASE WHEN done THEN 'sent/' || request_id || '/2026/04/17/' || plain END AS "archivedPath",
+  CASE WHEN done THEN size END AS "originalSize", CASE WHEN done THEN size + 28 END AS "encryptedSize",
+  CASE WHEN NOT done THEN 'staging/' || request_id END AS "tempFolder", '' AS "runId",
+  CASE status WHEN 'NO_FILE' THEN 404 WHEN 'EMPTY_FILE' THEN 422 ELSE 200 END AS code FROM states"""
+
 QUERIES = {
     "crypt_roundtrip": (crypt_roundtrip, f"""WITH {LANDING_SQL}
 SELECT doc_id, CASE WHEN corrupt OR length = 0 THEN 'error' ELSE 'ok' END AS status,
@@ -220,14 +238,7 @@ SELECT doc_id, CASE WHEN corrupt OR length = 0 THEN 'error' ELSE 'ok' END AS sta
   CASE WHEN length = 0 THEN 0 WHEN corrupt THEN length + 27 ELSE length + 28 END AS bytes_in,
   CASE WHEN NOT corrupt AND length > 0 THEN length END AS bytes_out FROM landing"""),
     "decrypt_job": (decrypt_job, f"""WITH {RESULTS_SQL}, {SUMMARY_SQL}, {_REQUESTS_SQL},
-capped AS (
-  SELECT batch, total, CASE WHEN total > 500 THEN 0 ELSE ok END AS ok, CASE WHEN total > 500 THEN 0 ELSE failed END
-    AS failed, CASE WHEN total > 500 THEN 0 ELSE skipped END AS skipped,
-    CASE WHEN total > 500 THEN '' ELSE processed_files END AS processed_files,
-    CASE WHEN total > 500 THEN '' ELSE skipped_files END AS skipped_files,
-    CASE WHEN total > 500 THEN '' ELSE error_files END AS error_files,
-    CASE WHEN total > 500 THEN {_TOO_MANY_SQL} END AS message,
-    CASE WHEN total > 500 THEN 400 ELSE {CODE_SQL} END AS code FROM summary)
+capped AS (SELECT {CAPPED_SQL} FROM summary)
 SELECT * FROM capped UNION ALL BY NAME
 SELECT batch, 0 AS total, 0 AS ok, 0 AS failed, 0 AS skipped, '' AS processed_files, '' AS skipped_files,
   '' AS error_files, message, code FROM faulty"""),
@@ -262,25 +273,7 @@ SELECT request_id, code, CASE WHEN status IS NULL THEN message WHEN status = 'SU
     'encryptedSize': length + 28}})::VARCHAR
   ELSE to_json({{'status': status, 'message': message, 'outputFileName': NULL, 'tempFolder': 'staging/' || c_name}})::VARCHAR
   END AS body FROM sized"""),
-    "encrypt_result": (encrypt_result, f"""WITH {LANDING_SQL},
-staged AS (SELECT source || '/' || (doc_id % 13) AS request_id, source, path, length,
-  NOT starts_with(file_name, '_') AS data FROM landing),
-picked AS (SELECT request_id, source, count(*) FILTER (data) AS n, arg_max(length, path) FILTER (data) AS size
-  FROM staged GROUP BY request_id, source),
-states AS (SELECT *, CASE WHEN n = 0 THEN 'NO_FILE' WHEN size = 0 THEN 'EMPTY_FILE' ELSE 'SUCCESS' END AS status,
-  n > 0 AND size > 0 AS done, source || '_20260417143015.csv' AS plain FROM picked)
-SELECT request_id, status, CASE status WHEN 'NO_FILE' THEN 'No staging file found in temp folder.'
-    WHEN 'EMPTY_FILE' THEN 'Staging file is empty — no payload to encrypt.'
-    ELSE 'File encrypted and archived successfully.' END AS message,
-  CASE WHEN done THEN plain || '.pgp' END AS "outputFileName",
-  CASE WHEN done THEN 'out/' || request_id || '/' || plain || '.pgp' END AS "outputPath",
-  CASE WHEN done THEN plain END AS "archivedFileName",
-  CASE WHEN done THEN 'sent/2026/04/17/' || plain END AS "archivedPath",
-  CASE WHEN done THEN size END AS "originalSize", CASE WHEN done THEN size + 28 END AS "encryptedSize",
-  CASE WHEN NOT done THEN 'staging/' || request_id END AS "tempFolder", '' AS "runId",
-  CASE status WHEN 'NO_FILE' THEN 404 WHEN 'EMPTY_FILE' THEN 422 ELSE 200 END AS code FROM states"""),
+    "encrypt_result": (encrypt_result, ENCRYPT_RESULT_SQL),
     "stream_summary": (stream_summary, f"""WITH {RESULTS_SQL}, {SUMMARY_SQL}
 SELECT *, {CODE_SQL} AS code FROM summary WHERE total <= 500"""),
-    "folder_scan": (folder_scan, None),
-    "payload_read": (payload_read, None),
 }
