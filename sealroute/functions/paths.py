@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The extension of protected files and the default prefix of outputs.
 EXTENSION = ".pgp"
 DEFAULT_PREFIX = "data_encrypted_"
 

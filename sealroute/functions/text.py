@@ -14,6 +14,7 @@ WHITESPACE = (
 # The characters that end the first line of a message.
 LINE_BREAKS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85  "
 
+# How much of a message or run id is kept, and what a stuck file's message ends in.
 MESSAGE_LIMIT = 200
 SETUP_MESSAGE_LIMIT = 400
 RUN_ID_LIMIT = 20

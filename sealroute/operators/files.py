@@ -9,6 +9,7 @@ from sealroute.functions.paths import base_name, has_extension, is_system_file,
 from sealroute.operators.keyed import BROADCAST_ROWS, HOT_ROWS, attach_per_key
 from sealroute.operators.requests import MAX_FILES
 
+# The size cap of a file and the texts of files that are not opened.
 MAX_FILE_BYTES = 500 * 1024 * 1024
 NOT_PGP = "file does not have .pgp extension"
 NO_STEM = "file name is empty without its extension"

@@ -16,7 +16,30 @@ ENCRYPT_FIELDS = [
 ]
 ENCRYPT_OPTIONAL = ["filePrefix", "runId"]
 
+# The batch cap and the texts a request is answered with.
 MAX_FILES = 500
+MISSING = "Missing required parameters: "
+UNSAFE = "Invalid path (path traversal not allowed): "
+NO_KEY_STORE = "Key store not configured."
+NO_KEYS = "Failed to retrieve PGP credentials from the key store. Check permissions and secret names."
+NO_STORAGE = "Storage connection error."
+UNEXPECTED = "Unexpected error occurred. Check the job logs for details."
+NO_FILES = "No files found in source folder: "
+BAD_JSON = "Invalid JSON body"
+ENCRYPT_MISSING = (
+    "Missing required parameters: storageAccountName, container, tempFolder, "
+    "outputFolder, archiveFolder, pgpKeyPath, errorFolder are all required."
+)
+BAD_KEY_PATH = "Invalid pgpKeyPath: path traversal not permitted."
+SETUP_FAILED = "Could not connect to storage or locate required files: "
+NO_FILE = "No staging file found in temp folder."
+EMPTY_FILE = "Staging file is empty — no payload to encrypt."
+ENCRYPTION_FAILED = "Encryption process failed. Check error log for details."
+POST_ENCRYPT_FAILED = (
+    "Encryption succeeded but writing output or archiving failed. "
+    "Verify if encrypted file already exists before retrying."
+)
+SUCCESS = "File encrypted and archived successfully."
 
 
 def parse_body(requests: DataFrame, body: str, fields: list[str], output: str = "body") -> DataFrame:
@@ -93,15 +116,13 @@ def decrypt_verdict(
         return F.struct(code.cast("int").alias("code"), message.alias("message"))
 
     return (
-        F.when(missing.isNotNull(), state(400, F.concat(F.lit("Missing required parameters: "), missing)))
-        .when(~key_store_set, state(400, "Key store not configured."))
-        .when(unsafe.isNotNull(), state(400, F.concat(F.lit("Invalid path (path traversal not allowed): "), unsafe)))
-        .when(~key_found, state(500, "Failed to retrieve PGP credentials from the key store. "
-                                     "Check permissions and secret names."))
-        .when(storage_error, state(500, "Storage connection error."))
-        .when(unexpected, state(500, "Unexpected error occurred. Check the job logs for details."))
-        .when(F.coalesce(total, F.lit(0)) == 0,
-              state(200, F.concat(F.lit("No files found in source folder: "), source_folder)))
+        F.when(missing.isNotNull(), state(400, F.concat(F.lit(MISSING), missing)))
+        .when(~key_store_set, state(400, NO_KEY_STORE))
+        .when(unsafe.isNotNull(), state(400, F.concat(F.lit(UNSAFE), unsafe)))
+        .when(~key_found, state(500, NO_KEYS))
+        .when(storage_error, state(500, NO_STORAGE))
+        .when(unexpected, state(500, UNEXPECTED))
+        .when(F.coalesce(total, F.lit(0)) == 0, state(200, F.concat(F.lit(NO_FILES), source_folder)))
         .when(too_many(total, cap), state(400, F.concat(
             F.lit("Too many files in source folder ("), total.cast("string"),
             F.lit(f"). Maximum allowed: {cap}"))))
@@ -120,21 +141,15 @@ def encrypt_verdict(
                         message.alias("message"))
 
     return (
-        F.when(bad_json, state(400, None, "Invalid JSON body"))
-        .when(missing, state(400, None, "Missing required parameters: storageAccountName, container, tempFolder, "
-                                        "outputFolder, archiveFolder, pgpKeyPath, errorFolder are all required."))
-        .when(bad_key_path, state(400, None, "Invalid pgpKeyPath: path traversal not permitted."))
-        .when(unsafe.isNotNull(), state(400, None, F.concat(
-            F.lit("Invalid path (path traversal not allowed): "), unsafe)))
+        F.when(bad_json, state(400, None, BAD_JSON))
+        .when(missing, state(400, None, ENCRYPT_MISSING))
+        .when(bad_key_path, state(400, None, BAD_KEY_PATH))
+        .when(unsafe.isNotNull(), state(400, None, F.concat(F.lit(UNSAFE), unsafe)))
         .when(setup_error.isNotNull(), state(500, "SETUP_FAILED", F.concat(
-            F.lit("Could not connect to storage or locate required files: "),
-            F.substring(setup_error, 1, SETUP_MESSAGE_LIMIT))))
-        .when(~picked, state(404, "NO_FILE", "No staging file found in temp folder."))
-        .when(empty, state(422, "EMPTY_FILE", "Staging file is empty — no payload to encrypt."))
-        .when(encrypt_failed, state(500, "ENCRYPTION_FAILED",
-                                    "Encryption process failed. Check error log for details."))
-        .when(persist_failed, state(500, "POST_ENCRYPT_FAILED",
-                                    "Encryption succeeded but writing output or archiving failed. "
-                                    "Verify if encrypted file already exists before retrying."))
-        .otherwise(state(200, "SUCCESS", "File encrypted and archived successfully."))
+            F.lit(SETUP_FAILED), F.substring(setup_error, 1, SETUP_MESSAGE_LIMIT))))
+        .when(~picked, state(404, "NO_FILE", NO_FILE))
+        .when(empty, state(422, "EMPTY_FILE", EMPTY_FILE))
+        .when(encrypt_failed, state(500, "ENCRYPTION_FAILED", ENCRYPTION_FAILED))
+        .when(persist_failed, state(500, "POST_ENCRYPT_FAILED", POST_ENCRYPT_FAILED))
+        .otherwise(state(200, "SUCCESS", SUCCESS))
     )
