@@ -43,8 +43,8 @@ class GpgError(RuntimeError):
 class Keyring:
     """A temporary gpg home holding one imported key."""
 
-    def __init__(self, gpg: str, start_agent: bool, timeout: float):
-        self.folder = tempfile.TemporaryDirectory(prefix="pgp_tmp_")
+    def __init__(self, gpg: str, start_agent: bool, timeout: float, scratch: str | None):
+        self.folder = tempfile.TemporaryDirectory(prefix="pgp_tmp_", dir=scratch)
         self.start_agent = start_agent
         self.timeout = timeout
         self.fingerprint: str | None = None
@@ -99,8 +99,8 @@ class Keyring:
 class Keyrings:
     """The few keyrings a task has open, by key text."""
 
-    def __init__(self, gpg: str, start_agent: bool, timeout: float):
-        self.options = (gpg, start_agent, timeout)
+    def __init__(self, *options):
+        self.options = options
         self.open: OrderedDict[str, Keyring] = OrderedDict()
 
     def get(self, key: str) -> Keyring:
@@ -127,11 +127,14 @@ class OpenPgpProvider:
     """Provider that seals to a public key and opens with a private key and its passphrase.
 
     The key table's ``material`` is the armored key; for decryption ``passphrase`` goes with it.
-    Armor is normalised once on the key table, not once per file.
+    Armor is normalised once on the key table, not once per file. ``scratch`` is where tasks put
+    their keyrings; a memory-backed folder such as ``/dev/shm`` keeps them off the disk.
     """
 
-    def __init__(self, gpg: str = "gpg", start_agent: bool = True, timeout: float = 600):
-        self.options = (gpg, start_agent, timeout)
+    def __init__(
+        self, gpg: str = "gpg", start_agent: bool = True, timeout: float = 600, scratch: str | None = None
+    ):
+        self.options = (gpg, start_agent, timeout, scratch)
 
     def decrypt(self, files: DataFrame, keys: DataFrame | KeyTable) -> DataFrame:
         table = KeyTable.of(keys)

@@ -120,9 +120,9 @@ def encrypt_replies(spark, sf):
 def staged_requests(spark, sf):
     """Staged files by request, and an encrypt request for each; some hold system files only."""
     request = F.concat(F.col("source"), F.lit("/"), (F.col("doc_id") % 13).cast("string"))
-    files = landing(spark, sf).withColumn("request_id", request).withColumn("path", F.concat(
+    files = payload_landing(spark, sf).withColumn("request_id", request).withColumn("path", F.concat(
         F.lit("staging/"), "request_id", F.lit("/"), F.substring_index("path", "/", -1)))
-    requests = files.select("request_id", "source").distinct().select(
+    requests = landing(spark, sf).select(request.alias("request_id"), "source").distinct().select(
         "request_id", F.lit(False).alias("bad_json"), F.lit("store").alias("storageAccountName"),
         F.lit("lake").alias("container"), F.concat(F.lit("staging/"), F.col("request_id")).alias("tempFolder"),
         F.concat(F.lit("out/"), F.col("request_id"), F.lit("/")).alias("outputFolder"),
