@@ -67,7 +67,8 @@ def armor_audit(spark, sf):
 
 def crc24_of_texts(spark, sf):
     content = F.col("text").cast("binary")
-    return fan_out(read(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", crc24(content).alias("crc"), crc24_line(content).alias("line"))
+    texts = fan_out(read(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return texts.select("doc_id", crc24(content).alias("crc"), crc24_line(content).alias("line"))
 
 
 def key_listing(spark, sf):

@@ -13,11 +13,13 @@ from sealroute.plans.decrypt_job import check_requests, decrypt_table, settle_re
 from sealroute.plans.encrypt_job import name_outputs, seal_payloads, settle_encrypt
 from sealroute.queries.files import joined_lists, stamp
 from sealroute.queries.landing import (
-    CODE_SQL, LANDING_SQL, RESULTS_SQL, SIZE_CAP, SUMMARY_SQL, key_of, landing, landing_of, payload_landing, read, run_keys, with_targets,
+    CODE_SQL, LANDING_SQL, RESULTS_SQL, SIZE_CAP, SUMMARY_SQL, key_of, landing, landing_of, payload_landing, read,
+    run_keys, with_targets,
 )
 from sealroute.session import attach, work_folder
 from sealroute.streaming.decrypt_stream import stream_files
 
+
 def unsettled(rows):
     return rows.withColumns({"status": F.lit(None).cast("string"), "message": F.lit(None).cast("string")})
 
@@ -180,7 +182,8 @@ ranked AS (
     row_number() OVER (PARTITION BY doc_id // 2 ORDER BY path DESC) AS r
   FROM landing WHERE NOT starts_with(file_name, '_')),
 raw AS (
-  SELECT c_custkey AS request_id, c_name, length, CASE WHEN c_custkey % 17 = 0 THEN 'json' WHEN c_custkey % 13 = 0 THEN 'missing'
+  SELECT c_custkey AS request_id, c_name, length,
+    CASE WHEN c_custkey % 17 = 0 THEN 'json' WHEN c_custkey % 13 = 0 THEN 'missing'
     WHEN c_custkey % 11 = 0 THEN 'key' WHEN c_custkey % 19 = 0 THEN 'SETUP_FAILED' WHEN r IS NULL THEN 'NO_FILE'
     WHEN length = 0 THEN 'EMPTY_FILE' WHEN corrupt THEN 'ENCRYPTION_FAILED'
     WHEN c_custkey % 23 = 0 THEN 'POST_ENCRYPT_FAILED' ELSE 'SUCCESS' END AS state

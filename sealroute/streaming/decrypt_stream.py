@@ -35,7 +35,8 @@ def _start(stream: DataFrame, process, folder: str, available_now: bool, every:
 
 
 def stream_requests(
-    spark: SparkSession, inbox: str, schema: StructType | str, keys: DataFrame | KeyTable, provider: Provider, folder: str, *,
+    spark: SparkSession, inbox: str, schema: StructType | str, keys: DataFrame | KeyTable, provider: Provider,
+    folder: str, *,
     available_now: bool = True, every: str = "30 seconds", max_files: int = 100, **options,
 ) -> StreamingQuery:
     """Run the decrypt job for the requests in each JSON file that arrives in ``inbox``.

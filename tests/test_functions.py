@@ -79,7 +79,9 @@ def test_stamped_names_do_not_depend_on_the_session_zone(spark, zone):
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
-        moments = [datetime(2026, 4, 17, 14, 30, 15), datetime(2026, 3, 8, 2, 30, 0, 120), datetime(2024, 12, 31, 23, 59, 59, 999999)]
+        moments = [
+            datetime(2026, 4, 17, 14, 30, 15), datetime(2026, 3, 8, 2, 30, 0, 120),
+            datetime(2024, 12, 31, 23, 59, 59, 999999)]
         names = evaluate(spark, moments, lambda c: paths.archive_name(c, F.lit("f.pgp")), "timestamp_ntz")
         dated = evaluate(spark, moments, lambda c: paths.dated_path(
             F.lit("archive/sent"), c, paths.plain_output_name(F.lit("data_encrypted_"), c)), "timestamp_ntz")

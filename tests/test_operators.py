@@ -56,7 +56,8 @@ def test_attach_per_key_equals_a_plain_lookup_and_spreads_the_hot_key(spark):
 
 def test_a_large_key_table_is_joined_without_broadcast(spark):
     data, rows = skewed(spark)
-    frame = spark.createDataFrame([(f"k{i}", f"m{i}") for i in range(200)] + [("hot", "m")], "key_id string, material string")
+    entries = [(f"k{i}", f"m{i}") for i in range(200)] + [("hot", "m")]
+    frame = spark.createDataFrame(entries, "key_id string, material string")
     table = KeyTable.of(frame)
     assert table.small
     large = KeyTable(table.frame, small=False)
@@ -188,8 +189,9 @@ def test_landing_writer_and_full_load(spark, tmp_path):
 def test_payloads_are_read_in_bounded_batches(spark, tmp_path):
     files = {f"f{i}": bytes([i]) * (1000 + i) for i in range(40)}
     put(tmp_path, files)
+    listed = [(name, None, None) for name in [*files, "gone"]] + [("f1", "skipped", "m")]
     rows = spark.createDataFrame(
-        [(str(tmp_path), name, None, None) for name in files] + [(str(tmp_path), "gone", None, None), (str(tmp_path), "f1", "skipped", "m")],
+        [(str(tmp_path), *row) for row in listed],
         "root string, path string, status string, message string").coalesce(1)
     got = read_payload(rows, max_bytes=1030, batch_bytes=4000).collect()
     assert {row.path: bytes(row.content) for row in got if row.content is not None} == {
