@@ -1,7 +1,9 @@
 """Payload encryption and decryption jobs.
 
 A provider turns a DataFrame with ``path``, ``key_id`` and ``content`` into one with a status per
-row. ``AesProvider`` stays inside Catalyst; the OpenPGP provider runs the gpg program in tasks.
+row. It joins the key table itself, or before the payloads are opened when asked to through
+``for_opening`` or ``for_sealing``: a key table too large to broadcast shuffles the rows, which
+should not carry payloads then. ``AesProvider`` stays inside Catalyst; the OpenPGP provider runs the gpg program in tasks.
 AES payloads are an internal envelope, not an OpenPGP message.
 """
 
@@ -16,9 +18,16 @@ from sealroute.operators.keys import KeyTable
 
 DECRYPT_FAILED = "payload could not be decrypted"
 ENCRYPT_FAILED = "payload could not be encrypted"
+MATERIAL = "_material"
 
 
 class Provider(Protocol):
+    def for_opening(self, files: DataFrame, keys: DataFrame | KeyTable) -> DataFrame:
+        """Join what each file is opened with."""
+
+    def for_sealing(self, files: DataFrame, keys: DataFrame | KeyTable) -> DataFrame:
+        """Join what each file is sealed with."""
+
     def decrypt(self, files: DataFrame, keys: DataFrame | KeyTable) -> DataFrame:
         """Add ``plaintext`` and settle the rows whose ``status`` is null to ``ok`` or ``error``."""
 
@@ -39,20 +48,25 @@ class AesProvider:
     """AES-GCM with a 256-bit key hashed from the key table's material."""
 
     def _key(self) -> Column:
-        return F.unhex(F.sha2(F.col("_material"), 256))
+        return F.unhex(F.sha2(F.col(MATERIAL), 256))
+
+    def for_opening(self, files: DataFrame, keys: DataFrame | KeyTable) -> DataFrame:
+        return KeyTable.of(keys).attach(files, MATERIAL)
+
+    for_sealing = for_opening
 
     def decrypt(self, files: DataFrame, keys: DataFrame | KeyTable) -> DataFrame:
         pending = F.col("status").isNull()
         plain = F.try_aes_decrypt("content", self._key(), F.lit("GCM"))
-        opened = KeyTable.of(keys).attach(files, "_material").withColumn("plaintext", F.when(pending, plain))
-        return _settle(opened, pending, "plaintext", DECRYPT_FAILED).drop("_material")
+        opened = self.for_opening(files, keys).withColumn("plaintext", F.when(pending, plain))
+        return _settle(opened, pending, "plaintext", DECRYPT_FAILED).drop(MATERIAL)
 
     def encrypt(self, files: DataFrame, keys: DataFrame | KeyTable) -> DataFrame:
         pending = F.col("status").isNull()
         sealed = F.when(
-            pending & F.col("_material").isNotNull(), F.aes_encrypt("content", self._key(), F.lit("GCM")))
-        out = KeyTable.of(keys).attach(files, "_material").withColumn("sealed", sealed)
-        return _settle(out, pending, "sealed", ENCRYPT_FAILED).drop("_material")
+            pending & F.col(MATERIAL).isNotNull(), F.aes_encrypt("content", self._key(), F.lit("GCM")))
+        out = self.for_sealing(files, keys).withColumn("sealed", sealed)
+        return _settle(out, pending, "sealed", ENCRYPT_FAILED).drop(MATERIAL)
 
 
 def fan_out(files: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Rows of one key that a task may get: of plain metadata, and of rows that carry payloads.
 HOT_ROWS = 1_000_000
+PAYLOAD_HOT_ROWS = 10_000
 BROADCAST_ROWS = 10_000
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealroute.functions.text import unwrap_secret
-from sealroute.operators.keyed import attach_per_key, fits_broadcast
+from sealroute.operators.keyed import PAYLOAD_HOT_ROWS, attach_per_key, fits_broadcast
 
 
 @dataclass(frozen=True)
@@ -16,7 +16,7 @@ class KeyTable:
     """``key_id``, ``material`` and ``passphrase`` (null where none is needed), secrets unwrapped.
 
     ``small`` tells whether the table was checked to be small enough to broadcast; a larger one is
-    joined with its hot keys salted.
+    joined with its hot keys salted, which counts the rows per key first and shuffles the rows.
     """
 
     frame: DataFrame
@@ -32,12 +32,17 @@ class KeyTable:
         return cls(unwrapped, fits_broadcast(keys))
 
     def attach(self, rows: DataFrame, output: str, row_id: str = "path") -> DataFrame:
-        """Left join the key material as ``output``. It only ever is a column, never a plan literal."""
+        """Left join the key material as ``output``. It only ever is a column, never a plan literal.
+
+        Rows that have it already stay as they are.
+        """
+        if output in rows.columns:
+            return rows
         secrets = self.frame.select("key_id", F.col("material").alias(output))
         if self.small:
             return rows.join(F.broadcast(secrets), "key_id", "left")
         counted = rows.groupBy("key_id").agg(F.count(F.lit(1)).alias("_n")).join(secrets, "key_id", "left")
-        return attach_per_key(rows, counted, "key_id", row_id, count="_n").drop("_n")
+        return attach_per_key(rows, counted, "key_id", row_id, count="_n", hot_rows=PAYLOAD_HOT_ROWS).drop("_n")
 
     def mark_known(self, rows: DataFrame, output: str, row_id: str) -> DataFrame:
         """Add whether the row's key is in the table."""

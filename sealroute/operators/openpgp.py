@@ -23,6 +23,7 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from sealroute.functions.armor import normalise_armor
 from sealroute.functions.text import strip
+from sealroute.operators.codec import MATERIAL
 from sealroute.operators.keylist import NO_FINGERPRINT
 from sealroute.operators.keys import KeyTable
 
@@ -136,28 +137,34 @@ class OpenPgpProvider:
     ):
         self.options = (gpg, start_agent, timeout, scratch)
 
-    def decrypt(self, files: DataFrame, keys: DataFrame | KeyTable) -> DataFrame:
+    def for_opening(self, files: DataFrame, keys: DataFrame | KeyTable) -> DataFrame:
         table = KeyTable.of(keys)
         tidy = normalise_armor(table.frame, "material", "_tidy").select(
             "key_id", F.struct(F.when(F.col("material") == "", "").otherwise(F.col("_tidy")).alias("key"),
                                strip(F.coalesce("passphrase", F.lit(""))).alias("passphrase")).alias("material"))
-        joined = KeyTable(tidy, table.small).attach(files, "_material")
-        return _run(joined, "plaintext", self.options, lambda ring, row: ring.decrypt(row["passphrase"], row["content"]))
+        return KeyTable(tidy, table.small).attach(files, MATERIAL)
 
-    def encrypt(self, files: DataFrame, keys: DataFrame | KeyTable) -> DataFrame:
+    def for_sealing(self, files: DataFrame, keys: DataFrame | KeyTable) -> DataFrame:
         table = KeyTable.of(keys)
         plain = table.frame.select("key_id", F.struct(
             F.col("material").alias("key"), F.lit("").alias("passphrase")).alias("material"))
-        joined = KeyTable(plain, table.small).attach(files, "_material")
-        return _run(joined, "sealed", self.options, lambda ring, row: ring.encrypt(row["content"]))
+        return KeyTable(plain, table.small).attach(files, MATERIAL)
+
+    def decrypt(self, files: DataFrame, keys: DataFrame | KeyTable) -> DataFrame:
+        return _run(self.for_opening(files, keys), "plaintext", self.options,
+                    lambda ring, row: ring.decrypt(row["passphrase"], row["content"]))
+
+    def encrypt(self, files: DataFrame, keys: DataFrame | KeyTable) -> DataFrame:
+        return _run(self.for_sealing(files, keys), "sealed", self.options,
+                    lambda ring, row: ring.encrypt(row["content"]))
 
 
 def _run(
     files: DataFrame, output: str, options: tuple, action: Callable[[Keyring, dict], bytes]
 ) -> DataFrame:
     """Apply a keyring action to the rows whose status is null; one failed row never fails the task."""
-    flat = files.withColumns({"_key": F.col("_material.key"), "_passphrase": F.col("_material.passphrase")}).drop(
-        "_material")
+    flat = files.withColumns({"_key": F.col(f"{MATERIAL}.key"), "_passphrase": F.col(f"{MATERIAL}.passphrase")}).drop(
+        MATERIAL)
     kept = [name for name in flat.columns if name not in ("status", "message", "_key", "_passphrase")]
     added = [StructField("status", StringType()), StructField("message", StringType()),
              StructField(output, BinaryType())]

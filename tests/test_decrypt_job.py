@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sealroute.operators.codec import DECRYPT_FAILED, AesProvider
+from sealroute.operators.keys import KeyTable
+from sealroute.operators.openpgp import OpenPgpProvider
 from sealroute.plans.decrypt_job import decrypt_files
 
 AT = datetime(2026, 4, 17, 14, 30, 15, 123456, tzinfo=timezone.utc)
@@ -109,6 +111,21 @@ def test_request_states(spark, keys, tmp_path):
     assert sorted(tree(tmp_path)) == ["errors/bad/f.csv.pgp", *[f"inbound/many/f{i}.txt" for i in range(4)]]
 
 
+@pytest.mark.parametrize("kind", ["aes", "gpg"])
+def test_a_large_key_table_is_joined_before_payloads_are_opened(spark, keys, tmp_path, kind):
+    provider = AesProvider() if kind == "aes" else OpenPgpProvider(start_agent=False)
+    data = seal(spark, keys, {"x": b"fine"})["x"] if kind == "aes" else b"no message"
+    put(tmp_path, {f"inbound/a/f{i}.csv.pgp": data for i in range(5)})
+    table = KeyTable(KeyTable.of(keys.withColumn("passphrase", F.lit("p"))).frame, small=False)
+    row = summaries(decrypt_files(request(spark, tmp_path, "a"), table, provider, at=AT))["a"]
+    assert (row["ok"], row["failed"]) == ((5, 0) if kind == "aes" else (0, 5))
+
+
+def test_only_faulty_requests(spark, keys, tmp_path):
+    run = decrypt_files(request(spark, tmp_path, "x", x={"source_folder": ".."}), keys, AesProvider())
+    assert summaries(run)["x"]["code"] == 400 and run.files.count() == 0
+
+
 def test_without_cap_the_entries_are_complete(spark, keys, tmp_path):
     put(tmp_path, {f"inbound/many/f{i}.txt": b"x" for i in range(40)})
     run = decrypt_files(request(spark, tmp_path, "many"), keys, AesProvider(), at=AT, cap=None, hot_rows=7)
