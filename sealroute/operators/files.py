@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealroute.functions.paths import base_name, has_extension, is_system_file, plain_name
-from sealroute.operators.keyed import BROADCAST_ROWS, HOT_ROWS, attach_per_key
+from sealroute.operators.keyed import HOT_ROWS, attach_exceptions
 from sealroute.operators.requests import MAX_FILES
 
 # The size cap of a file and the texts of files that are not opened.
@@ -61,19 +61,13 @@ def accept_batches(
 ) -> DataFrame:
     """Keep the files of batches within the cap; a larger batch is turned away as a whole.
 
-    The rejected batches are counted first: without any the files pass as they are, and a short
-    list is broadcast, so that files which may carry payloads are not shuffled.
+    Rejected batches are few as a rule, so that files which may carry payloads are not shuffled.
     """
     if cap is None:
         return files
     rejected = totals.filter(F.col("total") > cap).select(batch, F.col("total").alias("_total"))
-    count = rejected.limit(BROADCAST_ROWS + 1).count()
-    if count == 0:
-        return files
-    if count <= BROADCAST_ROWS:
-        return files.join(F.broadcast(rejected), batch, "left_anti")
     return (
-        attach_per_key(files, rejected, batch, "path", count="_total", hot_rows=hot_rows)
+        attach_exceptions(files, rejected, batch, "path", count="_total", hot_rows=hot_rows)
         .filter(F.col("_total").isNull())
         .drop("_total")
     )

@@ -34,14 +34,35 @@ def attach_per_key(
     return salted.join(copies, [key, "_salt"], "left").drop("_salt")
 
 
-def fits_broadcast(table: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``table`` has at most ``limit`` rows; reads no more than that plus one."""
-    return table.limit(limit + 1).count() <= limit
+def bounded_count(table: DataFrame) -> int:
+    """Number of rows up to ``BROADCAST_ROWS``; one more stands for any larger number."""
+    return table.limit(BROADCAST_ROWS + 1).count()
 
 
-def attach_small(rows: DataFrame, table: DataFrame, key: str, row_id: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+def fits_broadcast(table: DataFrame) -> bool:
+    return bounded_count(table) <= BROADCAST_ROWS
+
+
+def attach_exceptions(
+    rows: DataFrame, per_key: DataFrame, key: str, row_id: str, count: str = "n", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Like ``attach_per_key`` for a table that is expected to hold few keys, or none.
+
+    It is counted first. An empty one adds nulls without a join and a short one is broadcast, so
+    the rows are not shuffled; a long one is joined with its hot keys salted.
+    """
+    found = bounded_count(per_key)
+    if found == 0:
+        added = [field for field in per_key.schema.fields if field.name != key]
+        return rows.withColumns({field.name: F.lit(None).cast(field.dataType) for field in added})
+    if found <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(per_key), key, "left")
+    return attach_per_key(rows, per_key, key, row_id, count, hot_rows)
+
+
+def attach_small(rows: DataFrame, table: DataFrame, key: str, row_id: str) -> DataFrame:
     """Left join to a table with unique keys: broadcast when it is checked to be small, else salted."""
-    if fits_broadcast(table, limit):
+    if fits_broadcast(table):
         return rows.join(F.broadcast(table), key, "left")
     counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).join(table, key, "left")
     return attach_per_key(rows, counted, key, row_id, count="_n").drop("_n")

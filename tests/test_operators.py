@@ -68,15 +68,20 @@ def test_a_large_key_table_is_joined_without_broadcast(spark):
 
 @pytest.mark.parametrize("broadcast_rows", [10_000, 1])
 def test_cap_rejects_whole_batches(spark, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(file_ops, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(keyed, "BROADCAST_ROWS", broadcast_rows)
     data, rows = skewed(spark)
     files = rows.fillna("none", "key").withColumnRenamed("key", "batch")
     counts = Counter(key or "none" for _, key in data)
     accepted = file_ops.accept_batches(files, file_ops.batch_totals(files), cap=20, hot_rows=50)
     assert {row.path for row in accepted.collect()} == {path for path, key in data if counts[key or "none"] <= 20}
+    assert sorted(accepted.columns) == sorted(files.columns)
+    everything = file_ops.accept_batches(files, file_ops.batch_totals(files), cap=len(data))
+    assert everything.count() == len(data) and sorted(everything.columns) == sorted(files.columns)
 
 
-def test_collisions_under_skew(spark):
+@pytest.mark.parametrize("broadcast_rows", [10_000, 1])
+def test_collisions_under_skew(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(keyed, "BROADCAST_ROWS", broadcast_rows)
     data, rows = skewed(spark)
     routes = rows.withColumnRenamed("key", "dest_path")
     best = defaultdict(str)
