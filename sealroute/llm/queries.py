@@ -4,18 +4,133 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sealroute.llm.common import documents
-from sealroute.llm.neardup import near_duplicates
+from sealroute.llm import chat, decontaminate, language, lines, mixing, neardup, pii, quality, toxicity, urls
+from sealroute.llm.common import documents, held_out, keep, table, work
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)],
+                                  "conv_id bigint, turn bigint, role string, text string")
+    turns = chat.format_turns(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(added))
+    turns = keep(turns, work(turns, "chat"), "turns")
+    return chat.digests(turns, chat.expand(turns))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality.score_quality(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = language.train_language(docs)
+    return language.predict_language(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(documents(spark, sf_dir))
+    base = F.filter("found", lambda one: one["kind"] < 4)
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("found", lambda one: one["kind"] == kind)).cast("bigint").alias(f"n_{pii.KINDS[kind]}")
+
+    counts = [count(kind) for kind in range(len(pii.KINDS))]
+    return found.select("doc_id", *counts, F.sha2(pii.spans_text(base), 256).alias("base_sha256"),
+                        pii.spans_text(F.col("found")).alias("spans"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), urls.standard_rules(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"),
+                         *[f"p_{name}" for name in toxicity.CATEGORIES], "score", "toxic",
+                         F.col("toxic").cast("int").alias("predicted"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "source", "text")
+    sized = docs.select("doc_id", "source", mixing.word_count("text").alias("size"))
+    taken = mixing.mix(keep(sized, work(docs, "sizes"), "sized"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
+def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_rules(documents(spark, sf_dir, "doc_id", "source", "text"))
+
+
+#: The first and the second half of a URL's rule, as `urls.SITE_RULES` has them.
+_RULES = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in urls.SITE_RULES)
+
+OP1_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), ''))
+    AS loss_sha256,
+  sum(length('### : </turn>') + 1 + length(role) + length(text)
+    + length(regexp_replace(text, '[^\\#<]', '', 'g')))::BIGINT AS formatted_chars,
+  count(*) FILTER (WHERE role = 'assistant') AS n_examples
+FROM rows GROUP BY conv_id
+"""
 
+OP6_SQL = rf"""
+WITH rules(verdict, host, path) AS (VALUES {_RULES}),
+urls AS (
+  SELECT page_id, url,
+    coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')
+      AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+fits AS (
+  SELECT DISTINCT u.host, u.path, r.host || r.path AS rule, r.verdict
+  FROM urls u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)),
+best AS (
+  SELECT host, path, rule, verdict FROM fits
+  QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC, rule) = 1)
+SELECT u.page_id, u.host, u.path, b.rule,
+  coalesce(b.verdict, CASE WHEN regexp_matches(u.host, '(^|[.-])({"|".join(urls.UNWANTED)})([.-]|$)') THEN 'block' ELSE 'allow' END)
+    AS verdict
+FROM urls u LEFT JOIN best b ON u.host = b.host AND u.path = b.path
+"""
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_chat_formatting": (op1_chat_formatting, OP1_SQL),
+    "op2_decontamination": (op2_decontamination, None),
+    "op3_quality": (op3_quality, None),
+    "op4_language": (op4_language, None),
+    "op5_personal_data": (op5_personal_data, None),
+    "op6_url_filters": (op6_url_filters, OP6_SQL),
+    "op7_toxicity": (op7_toxicity, None),
+    "op8_mixing": (op8_mixing, None),
     "op9_near_duplicates": (op9_near_duplicates, None),
+    "op10_line_rules": (op10_line_rules, None),
 }

@@ -43,9 +43,9 @@ def _powers(count: int) -> np.ndarray:
     return _POWERS
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the runs of anything but ASCII white space, with A to Z lower-cased."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the runs of anything but ASCII white space."""
+    data = np.frombuffer(text, np.uint8)
     space = _SPACE[data]
     starts = ~space
     starts[1:] &= space[:-1]
@@ -61,8 +61,8 @@ def word_hashes(text: str) -> np.ndarray:
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``width`` words; a shorter text is one run, none without words."""
-    hashed = word_hashes(text or "")
+    """Sorted distinct hashes of the runs of ``width`` words with A to Z lower-cased; a shorter text is one run."""
+    hashed = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
     if not len(hashed):
         return hashed
     width = min(width, len(hashed))
