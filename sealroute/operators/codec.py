@@ -78,10 +78,11 @@ def fan_out(files: DataFrame, key: str) -> DataFrame:
     return files if files.rdd.getNumPartitions() >= cores else files.repartition(cores, key)
 
 
-def payload_partitions(files: DataFrame, target_bytes: int = 1 << 30) -> int:
-    """How many tasks a codec job gets, from the listed bytes: at most ``target_bytes`` on average.
+def payload_partitions(files: DataFrame, target_bytes: int = 1 << 30, target_files: int = 2000) -> int:
+    """How many tasks a codec job gets, from the listing: at most ``target_bytes`` and ``target_files`` on average.
 
     The job is then repartitioned by path, so no folder keeps its files in one task.
     """
-    total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    return max(files.sparkSession.sparkContext.defaultParallelism, -(-int(total) // target_bytes))
+    total, count = files.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return max(cores, -(-int(total) // target_bytes), -(-count // target_files))

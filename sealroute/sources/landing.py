@@ -83,7 +83,9 @@ class LandingStreamReader(DataSourceStreamReader):
 
 class LandingWriter(DataSourceWriter):
     """One row, one named file. Each task finishes its files one by one, so the driver has
-    nothing to rename and a repeated task writes the same files again."""
+    nothing to rename and a repeated task writes the same files again. Every file is whole or
+    absent, but a job that fails leaves the files it had finished; run it again to complete it.
+    A row without content is refused: an empty file has empty content."""
 
     def __init__(self, folder: str):
         self.folder = folder.rstrip("/")
@@ -91,7 +93,9 @@ class LandingWriter(DataSourceWriter):
     def write(self, rows: Iterable) -> WriterCommitMessage:
         for row in rows:
             filesystem, path = locate(self.folder, row["path"])
-            write_file(filesystem, path, bytes(row["content"] or b""))
+            if row["content"] is None:
+                raise ValueError(f"no content for {row['path']}")
+            write_file(filesystem, path, bytes(row["content"]))
         return WriterCommitMessage()
 
     def commit(self, messages: list) -> None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from typing import TypeVar
 
@@ -12,6 +12,7 @@ from pyarrow import fs as pafs
 T = TypeVar("T")
 
 TEMP_PREFIX = ".sealroute-"
+BLOCK_BYTES = 8 << 20
 # Stores where a finished upload replaces the object in one step.
 ATOMIC_PUT = {"s3", "gcs", "abfs"}
 
@@ -74,13 +75,14 @@ def _in_folder_of(filesystem: pafs.FileSystem, path: str, action: Callable[[], T
         return action()
 
 
-def write_file(filesystem: pafs.FileSystem, path: str, data: bytes) -> None:
+def write_file(filesystem: pafs.FileSystem, path: str, data: bytes | Iterable[bytes]) -> None:
     """Write a whole file, replacing an older one; a reader never sees a half-written file."""
     atomic = filesystem.type_name in ATOMIC_PUT
     written = path if atomic else f"{_parent(path)}/{TEMP_PREFIX}{uuid.uuid4().hex}"
     try:
         with _in_folder_of(filesystem, path, lambda: filesystem.open_output_stream(written)) as out:
-            out.write(data)
+            for block in [data] if isinstance(data, bytes) else data:
+                out.write(block)
         if not atomic:
             _replace(filesystem, written, path)
     except BaseException:
@@ -89,6 +91,18 @@ def write_file(filesystem: pafs.FileSystem, path: str, data: bytes) -> None:
         raise
 
 
+def _blocks(filesystem: pafs.FileSystem, path: str) -> Iterator[bytes]:
+    with filesystem.open_input_stream(path) as source:
+        while block := source.read(BLOCK_BYTES):
+            yield block
+
+
+def same_bytes(filesystem: pafs.FileSystem, one: str, two: str) -> bool:
+    """Whether two files hold the same, read a block at a time and only if their sizes agree."""
+    sizes = {info.size for info in filesystem.get_file_info([one, two])}
+    return len(sizes) == 1 and all(a == b for a, b in zip(_blocks(filesystem, one), _blocks(filesystem, two)))
+
+
 def read_file(filesystem: pafs.FileSystem, path: str) -> bytes:
     with filesystem.open_input_stream(path) as source:
         return source.read()
@@ -102,7 +116,7 @@ def move_file(filesystem: pafs.FileSystem, source: str, target: str, replace: bo
     """
     if not replace and exists(filesystem, target):
         if exists(filesystem, source):
-            if read_file(filesystem, source) != read_file(filesystem, target):
+            if not same_bytes(filesystem, source, target):
                 raise FileExistsError(target)
             filesystem.delete_file(source)
         return
@@ -110,7 +124,7 @@ def move_file(filesystem: pafs.FileSystem, source: str, target: str, replace: bo
         _in_folder_of(filesystem, target, lambda: _replace(filesystem, source, target))
     except OSError as error:
         if exists(filesystem, source):
-            write_file(filesystem, target, read_file(filesystem, source))
+            write_file(filesystem, target, _blocks(filesystem, source))
             filesystem.delete_file(source)
         elif not exists(filesystem, target):
             raise FileNotFoundError(source) from error

@@ -8,20 +8,16 @@ that is run again replaces its rows.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from sealroute.operators.codec import Provider
 from sealroute.operators.files import MAX_FILE_BYTES
-from sealroute.operators.keyed import BROADCAST_ROWS, fits_broadcast
 from sealroute.operators.keys import KeyTable
 from sealroute.operators.routing import mark_collisions
 from sealroute.plans.decrypt_job import decrypt_files, decrypt_table
-from sealroute.session import attach, keep, work_folder
+from sealroute.session import attach
 
 
 def _start(stream: DataFrame, process, folder: str, available_now: bool, every: str) -> StreamingQuery:
@@ -60,28 +56,18 @@ def stream_folders(
 ) -> StreamingQuery:
     """Poll the landing folders of standing ``requests`` and run the decrypt job for those with files.
 
-    The folder names are the only thing the driver reads, so their number is checked: a larger
-    control table runs through ``stream_requests``. Summaries go to ``folder``/summary.
+    The stream only says when to poll; each poll's job lists all folders once, in its tasks, so
+    their number is not limited. Summaries of the folders that held files go to ``folder``/summary.
     """
     spark = attach(requests.sparkSession)
     keys = KeyTable.of(keys)
-    located = requests.withColumn("_folder", F.concat(
-        F.rtrim("root", F.lit("/")), F.lit("/"), F.rtrim("source_folder", F.lit("/"))))
-    folders = located.select("_folder").distinct()
-    if not fits_broadcast(folders):
-        raise ValueError(f"more than {BROADCAST_ROWS} folders to poll; send them as requests to stream_requests")
-    watched = [row[0] for row in folders.collect()]
-    arrivals = spark.readStream.format("landing").option("folders", json.dumps(watched)).load().filter("NOT is_dir")
+    polls = spark.readStream.format("landing").option("folders", "[]").load()
 
     def process(batch: DataFrame, epoch: int) -> None:
-        # The poll's own listing only tells which folders hold files; the job lists them again.
-        filled = keep(
-            batch.select(F.regexp_replace("path", "/[^/]*$", "").alias("_folder")).distinct(),
-            work_folder(spark, "poll"), "folders")
-        run = decrypt_files(located.join(filled, "_folder", "left_semi").drop("_folder"), keys, provider, **options)
-        run.summary.write.mode("overwrite").parquet(f"{folder}/summary/epoch={epoch}")
+        run = decrypt_files(requests, keys, provider, **options)
+        run.summary.filter("total > 0").write.mode("overwrite").parquet(f"{folder}/summary/epoch={epoch}")
 
-    return _start(arrivals, process, folder, available_now, every)
+    return _start(polls, process, folder, available_now, every)
 
 
 def stream_files(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sealroute.operators.codec import DECRYPT_FAILED, AesProvider
 from sealroute.operators.keys import KeyTable
 from sealroute.operators.openpgp import OpenPgpProvider
-from sealroute.plans.decrypt_job import decrypt_files
+from sealroute.plans.decrypt_job import SAME_BATCH, SAME_FOLDER, decrypt_files
 
 AT = datetime(2026, 4, 17, 14, 30, 15, 123456, tzinfo=timezone.utc)
 STAMP = "20260417143015123456"
@@ -126,15 +126,52 @@ def test_only_faulty_requests(spark, keys, tmp_path):
     assert summaries(run)["x"]["code"] == 400 and run.files.count() == 0
 
 
-def test_without_cap_the_entries_are_complete(spark, keys, tmp_path):
+def test_without_cap_the_lists_are_complete(spark, keys, tmp_path):
     put(tmp_path, {f"inbound/many/f{i}.txt": b"x" for i in range(40)})
     run = decrypt_files(request(spark, tmp_path, "many"), keys, AesProvider(), at=AT, cap=None, hot_rows=7)
     row = summaries(run)["many"]
     assert (row["total"], row["skipped"], row["code"]) == (40, 40, 200)
-    assert "skipped_files" not in row
+    assert row["skipped_files"] == sorted(f"f{i}.txt" for i in range(40))
     assert sorted(r.entry for r in run.entries.collect()) == sorted(f"f{i}.txt" for i in range(40))
 
 
+def test_no_file_is_lost_where_folders_are_shared(spark, keys, tmp_path):
+    sealed = seal(spark, keys, {f"{store}{batch}": f"{store}{batch}".encode() for store in "ab" for batch in "xy"})
+    shared = {"destination_folder": "done", "error_folder": "errors", "archive_folder": "archive"}
+    for store in "ab":
+        for batch in "xy":
+            put(tmp_path / store, {
+                f"inbound/{batch}/f.csv.pgp": sealed[f"{store}{batch}"], f"inbound/{batch}/bad.csv.pgp": batch.encode(),
+                f"inbound/{batch}/n.pdf": f"{store}{batch}".encode()})
+    requests = request(spark, tmp_path / "a", "x", "y", x=shared, y=shared).unionByName(
+        request(spark, tmp_path / "b", "x2", "y2", x2={**shared, "source_folder": "inbound/x"},
+                y2={**shared, "source_folder": "inbound/y"}))
+    run = decrypt_files(requests, keys, AesProvider(), at=AT)
+    assert {row["code"] for row in summaries(run).values()} == {207}
+    assert run.files.where("move_error is not null").count() == 0
+    for store in "ab":
+        left = tree(tmp_path / store)
+        assert left["done/f.csv"] == f"{store}y".encode()
+        # Every source is still there: one under its plain name, the other under a name with a suffix.
+        names = sorted(name.split("/", 1)[0] for name in left)
+        assert names == ["archive"] * 2 + ["done"] + ["errors"] * 4
+        assert sorted(data for name, data in left.items() if name.startswith("archive")) == sorted(
+            sealed[f"{store}{batch}"] for batch in "xy")
+        assert {data for name, data in left.items() if name.startswith("errors")} == {
+            b"x", b"y", f"{store}x".encode(), f"{store}y".encode()}
+
+
+def test_no_work_is_done_twice(spark, keys, tmp_path):
+    put(tmp_path, {"inbound/a/f.txt": b"1", "inbound/b/g.txt": b"2"})
+    same = {"source_folder": "inbound/a/"}
+    requests = request(spark, tmp_path, "a", "c", c=same).unionByName(
+        request(spark, tmp_path, "b")).unionByName(request(spark, tmp_path, "b", b={"source_folder": "inbound/other"}))
+    run = decrypt_files(requests, keys, AesProvider(), at=AT)
+    got = sorted((row.batch, row.code, row.total, row.message) for row in run.summary.collect())
+    assert got == [("a", 200, 1, None), ("b", 200, 1, None), ("b", 400, 0, SAME_BATCH), ("c", 400, 0, SAME_FOLDER)]
+    assert set(tree(tmp_path)) == {"errors/a/f.txt", "errors/b/g.txt"}
+
+
 def test_oversized_file_is_not_opened(spark, keys, tmp_path):
     put(tmp_path, {"inbound/a/big.csv.pgp": b"x" * 1001, "inbound/a/edge.csv.pgp": b"x" * 1000})
     row = summaries(decrypt_files(request(spark, tmp_path, "a"), keys, AesProvider(), at=AT, max_bytes=1000))["a"]

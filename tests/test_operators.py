@@ -248,3 +248,37 @@ def test_key_material_is_in_no_plan(spark, capfd):
     assert secret not in opened._jdf.queryExecution().toString()
     captured = capfd.readouterr()
     assert secret not in captured.out + captured.err
+
+
+def test_moves_compare_and_copy_in_blocks(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    from sealroute.sources import storage
+
+    monkeypatch.setattr(storage, "BLOCK_BYTES", 3)
+    local = fs.LocalFileSystem()
+    one, two, three = (str(tmp_path / name) for name in ("one", "two", "three"))
+    for path, data in ((one, b"0123456789"), (two, b"0123456789"), (three, b"012345678x")):
+        storage.write_file(local, path, data)
+    assert storage.same_bytes(local, one, two) and not storage.same_bytes(local, one, three)
+    storage.write_file(local, three, storage._blocks(local, one))
+    assert storage.read_file(local, three) == b"0123456789"
+
+
+def test_missing_content_is_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("a", None)], "path string, content binary")
+    with pytest.raises(Exception, match="no content for a"):
+        rows.write.format("landing").mode("append").save(str(tmp_path))
+
+
+def test_error_texts_stay_whole(spark, tmp_path):
+    rows = spark.createDataFrame([(str(tmp_path), "x" * 600)], "root string, p string")
+    assert "x" * 600 in read_text_files(rows, "p").first().read_error
+
+
+def test_large_files_are_read_alone():
+    from sealroute.sources.payloads import _parts
+
+    sizes = [1, 2, 99, 1, None, 1, 1, 1, 1, 1]
+    assert [list(part) for part in _parts(sizes, 50)] == [[0, 1], [2], [3], [4], [5, 6, 7, 8], [9]]
+    assert list(_parts([], 50)) == []
