@@ -7,27 +7,107 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from sealroute.operators.codec import DECRYPT_FAILED, AesProvider
+from sealroute.operators.codec import DECRYPT_FAILED, AesProvider, payload_partitions
 from sealroute.plans.decrypt_job import decrypt_files
 from sealroute.plans.encrypt_job import encrypt_files
 from sealroute.queries.files import STAMP, joined_lists
 from sealroute.queries.jobs import CAPPED_SQL, ENCRYPT_RESULT_SQL, sealed_landing, staged_requests, unsettled
-from sealroute.queries.landing import LANDING_SQL, SIZE_CAP, SUMMARY_SQL, landing, payload_landing, run_keys
+from sealroute.queries.landing import LANDING_SQL, SUMMARY_SQL, landing, payload_landing, run_keys
 from sealroute.session import attach, work_folder
-from sealroute.sources.landing import read_manifest
+from sealroute.sources.landing import list_folders
 from sealroute.sources.payloads import read_payload
 
 AT = datetime.fromisoformat(STAMP).replace(tzinfo=timezone.utc)
 
 
+def landed_documents(spark, sf):
+    """A new folder with the documents as files, in a folder per batch: the folder, and the batches as requests."""
+    root = work_folder(attach(spark), "scan")
+    files = payload_landing(spark, sf).withColumn("path", F.concat("batch", F.lit("/"), F.substring_index("path", "/", -1)))
+    files.select("path", "content").write.format("landing").mode("append").save(root)
+    return landing(spark, sf).select("batch").distinct().withColumn("root", F.lit(root))
+
+
 def folder_scan(spark, sf):
-    return read_manifest(attach(spark), [sf]).select("name", "length")
+    """The listing of every batch's folder, empty and system files included."""
+    return list_folders(landed_documents(spark, sf), "batch").select("batch", "name", "length")
 
 
 def payload_read(spark, sf):
-    files = read_manifest(attach(spark), [sf]).withColumn("root", F.lit(None).cast("string"))
-    opened = read_payload(unsettled(files.repartition(8, "path")))
-    return opened.select("name", "length", F.sha2("content", 256).alias("sha256"), "message")
+    """Every file of every batch's folder, opened in tasks."""
+    files = list_folders(landed_documents(spark, sf), "batch")
+    opened = read_payload(unsettled(files.repartition(payload_partitions(files), "path")))
+    return opened.select("batch", "name", F.sha2("content", 256).alias("sha256"), "message")
+
+
+def _files_below(spark, root, folders):
+    """Every file below the folders of a store: its path and the hash of what it holds."""
+    named = spark.createDataFrame([(root, folder) for folder in folders], "root string, folder string")
+    files = list_folders(named, "folder", recursive=True).filter("path is not null")
+    opened = read_payload(unsettled(files.repartition(payload_partitions(files), "path")))
+    return opened.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def decrypt_outputs(spark, sf):
+    """What a decrypt run leaves behind: two stores whose requests share destination, error and archive folder.
+
+    Files of several requests of a store meet under one name in each of the three folders; the other store has the
+    same names. Hashes are those of the plain text, so a quarantined or archived file is opened first.
+    """
+    keys = run_keys(spark)
+    key_id = F.lit("key0")
+    base = work_folder(attach(spark), "outputs")
+    store, name = F.expr("doc_id % 2").cast("string"), F.concat(F.lit("part_"), F.expr("doc_id div 8").cast("string"))
+    files = sealed_landing(payload_landing(spark, sf), keys, key_id).withColumns({
+        "store": store, "folder": F.concat(F.lit("in/"), F.expr("doc_id % 8 div 2").cast("string"))})
+    ends = F.when(F.col("doc_id") % 7 == 0, ".pdf").otherwise(".csv.pgp")
+    files = files.withColumn("file", F.concat("folder", F.lit("/"), name, ends)).select("store", "folder", "file", "content")
+    stored = files.select(F.concat("store", F.lit("/"), "file").alias("path"), "content")
+    stored.write.format("landing").mode("append").save(base)
+    requests = landing(spark, sf).select(store.alias("store"), F.concat(
+        F.lit("in/"), F.expr("doc_id % 8 div 2").cast("string")).alias("source_folder")).distinct().select(
+        F.concat_ws(":", "store", "source_folder").alias("batch"), F.concat(F.lit(f"{base}/"), "store").alias("root"),
+        key_id.alias("key_id"), F.lit("lake").alias("file_system_name"), "source_folder",
+        F.lit("processed").alias("destination_folder"), F.lit("errors").alias("error_folder"),
+        F.lit("archive").alias("archive_folder"))
+    decrypt_files(requests, keys, AesProvider(), at=AT, cap=None)
+    found = _files_below(spark, base, ["0", "1"])
+    parts = F.split("path", "/")
+    return found.select(
+        F.element_at(parts, 1).alias("store"), F.element_at(parts, 2).alias("folder"),
+        F.regexp_replace(F.element_at(parts, -1), r"\.[0-9a-f]{16}$", "").alias("name"),
+        F.when(F.element_at(parts, 2) == "processed", F.col("sha256")).alias("sha256"))
+
+
+def encrypt_errors(spark, sf):
+    """Encrypt requests that really fail: no key, a key that is no text, an output that cannot be written.
+
+    Returns the record of each request with the error that its log file holds.
+    """
+    root = work_folder(attach(spark), "failing")
+    files, requests = staged_requests(spark, sf)
+    files.select("path", "content").write.format("landing").mode("append").save(root)
+    number = F.substring_index("request_id", "/", -1).cast("bigint") % 4
+    made = spark.createDataFrame(
+        [("keys/a.asc", secrets.token_hex(16).encode()), ("keys/bad.asc", b"\xff\xfe"), ("blocked", b"a file, not a folder")],
+        "path string, content binary")
+    made.write.format("landing").mode("append").save(root)
+    long = "keys/" + "missing" * 60 + ".asc"
+    failing = requests.withColumns({
+        "root": F.lit(root), "errorFolder": F.lit("errors"),
+        "pgpKeyPath": F.when(number == 1, "keys/bad.asc").when(number == 2, long).otherwise(F.col("pgpKeyPath")),
+        "outputFolder": F.when(number == 3, F.concat(F.lit("blocked/"), "request_id")).otherwise(F.col("outputFolder"))})
+    results = encrypt_files(failing, AesProvider(), at=AT).results
+    logs = list_folders(spark.createDataFrame([(root, "errors")], "root string, folder string"), "folder", recursive=True)
+    texts = read_payload(unsettled(logs.filter("path is not null").repartition(payload_partitions(logs), "path"))).select(
+        F.col("content").cast("string").alias("log"))
+    logged = texts.select(F.regexp_extract("log", "TempFolder: staging/(.*)\n", 1).alias("of"),
+                          F.contains("log", F.lit("+00:00\nError: ")).cast("int").alias("logged"))
+    rows = results.join(logged, F.col("request_id") == F.col("of"), "left")
+    # The texts of the operating system differ; their length shows that none is cut before the reply's own limit.
+    return rows.select("request_id", "status", "code", F.regexp_extract("message", "^[^:]*", 0).alias("message"),
+                       (F.length("message") > 400).cast("int").alias("long"),
+                       F.coalesce("logged", F.lit(0)).alias("logged"))
 
 
 def encrypt_on_files(spark, sf):
@@ -53,24 +133,51 @@ def decrypt_on_files(spark, sf):
         "batch", F.lit(root).alias("root"), key_id.alias("key_id"), F.lit("lake").alias("file_system_name"),
         F.col("batch").alias("source_folder"),
         *[F.concat(F.lit(prefix), "batch").alias(name) for name, prefix in targets.items()])
-    run = decrypt_files(requests, keys, AesProvider(), at=AT, max_bytes=SIZE_CAP)
+    run = decrypt_files(requests, keys, AesProvider(), at=AT)
     return joined_lists(run.summary)
 
 
+ENCRYPT_ERRORS_SQL = f"""WITH {LANDING_SQL},
+staged AS (SELECT source || '/' || (doc_id // 60) AS request_id, doc_id // 60 % 4 AS kind, file_name, length,
+  NOT starts_with(file_name, '_') AS data FROM landing),
+picked AS (SELECT request_id, kind, count(*) FILTER (data) AS n, arg_max(length, file_name) FILTER (data) AS size
+  FROM staged GROUP BY request_id, kind),
+states AS (SELECT request_id, kind, CASE WHEN kind IN (1, 2) THEN 'SETUP_FAILED' WHEN n = 0 THEN 'NO_FILE'
+  WHEN size = 0 THEN 'EMPTY_FILE' WHEN kind = 3 THEN 'POST_ENCRYPT_FAILED' ELSE 'SUCCESS' END AS status FROM picked)
+SELECT request_id, status,
+  CASE status WHEN 'NO_FILE' THEN 404 WHEN 'EMPTY_FILE' THEN 422 WHEN 'SUCCESS' THEN 200 ELSE 500 END AS code,
+  CASE status WHEN 'SETUP_FAILED' THEN 'Could not connect to storage or locate required files'
+    WHEN 'NO_FILE' THEN 'No staging file found in temp folder.'
+    WHEN 'EMPTY_FILE' THEN 'Staging file is empty — no payload to encrypt.'
+    WHEN 'POST_ENCRYPT_FAILED' THEN 'Encryption succeeded but writing output or archiving failed. ' ||
+      'Verify if encrypted file already exists before retrying.'
+    ELSE 'File encrypted and archived successfully.' END AS message,
+  (kind = 2)::INTEGER AS long, (status = 'POST_ENCRYPT_FAILED')::INTEGER AS logged FROM states"""
+
 QUERIES = {
-    "folder_scan": (folder_scan, None),
-    "payload_read": (payload_read, None),
+    "folder_scan": (folder_scan, f"""WITH {LANDING_SQL}
+SELECT batch, file_name AS name, length FROM landing"""),
+    "payload_read": (payload_read, f"""WITH {LANDING_SQL}
+SELECT batch, file_name AS name, sha256(content) AS sha256, NULL::VARCHAR AS message FROM landing"""),
+    "decrypt_outputs": (decrypt_outputs, f"""WITH {LANDING_SQL},
+files AS (
+  SELECT doc_id % 2 AS store, 'part_' || (doc_id // 8) AS stem, doc_id % 8 // 2 AS folder, content,
+    CASE WHEN doc_id % 7 = 0 THEN '.pdf' ELSE '.csv.pgp' END AS ending,
+    doc_id % 7 <> 0 AND length > 0 AND NOT corrupt AS good FROM landing),
+written AS (
+  SELECT store, stem, arg_max(content, folder) AS content FROM files WHERE good GROUP BY store, stem)
+SELECT store::VARCHAR AS store, 'processed' AS folder, stem || '.csv' AS name, sha256(content) AS sha256 FROM written
+UNION ALL SELECT store::VARCHAR, 'archive', '20260417143015123456_' || stem || ending, NULL FROM files WHERE good
+UNION ALL SELECT store::VARCHAR, 'errors', stem || ending, NULL FROM files WHERE NOT good"""),
+    "encrypt_errors": (encrypt_errors, ENCRYPT_ERRORS_SQL),
     "encrypt_files": (encrypt_on_files, ENCRYPT_RESULT_SQL),
     "decrypt_files": (decrypt_on_files, f"""WITH {LANDING_SQL},
-sealed AS (
-  SELECT *, file_name AS name, CASE WHEN length = 0 THEN 0 WHEN corrupt THEN length + 27 ELSE length + 28 END AS size
-  FROM landing),
+sealed AS (SELECT *, file_name AS name FROM landing),
 results AS (
   SELECT batch, name,
-    CASE WHEN lower(name) NOT LIKE '%.pgp' THEN 'skipped' WHEN size > {SIZE_CAP} OR corrupt OR length = 0 THEN 'error'
-      ELSE 'ok' END AS status,
+    CASE WHEN lower(name) NOT LIKE '%.pgp' THEN 'skipped' WHEN corrupt OR length = 0 THEN 'error' ELSE 'ok' END
+      AS status,
     CASE WHEN lower(name) NOT LIKE '%.pgp' THEN 'file does not have .pgp extension'
-      WHEN size > {SIZE_CAP} THEN 'File size ' || format('{{:,}}', size) || ' bytes exceeds limit of 16,384 bytes'
       WHEN corrupt OR length = 0 THEN '{DECRYPT_FAILED}' ELSE '' END AS message FROM sealed), {SUMMARY_SQL}
 SELECT {CAPPED_SQL} FROM summary"""),
 }

@@ -41,17 +41,17 @@ def classify_files(spark, sf):
 
 def batch_counts(spark, sf):
     files = listing(spark, sf).drop("batch").withColumnRenamed("folder", "batch")
-    return count_batches(by_rule(classify(files, SIZE_CAP)))
+    return count_batches(by_rule(classify(files)))
 
 
 def batch_summary(spark, sf):
     files = listing(spark, sf)
     accepted = accept_batches(files, batch_totals(files), MAX_FILES)
-    return joined_lists(summarise(by_rule(classify(accepted, SIZE_CAP))))
+    return joined_lists(summarise(by_rule(classify(accepted))))
 
 
 def batch_entries(spark, sf):
-    return list_entries(by_rule(classify(listing(spark, sf), SIZE_CAP)))
+    return list_entries(by_rule(classify(listing(spark, sf))))
 
 
 def batch_cap(spark, sf):
@@ -106,8 +106,8 @@ def message_clean(spark, sf):
 
 
 def staging(spark: SparkSession, sf: str) -> DataFrame:
-    """Staged files by request; every thirteenth request of a source holds system files only."""
-    request = F.concat(F.col("source"), F.lit("/"), (F.col("doc_id") % 13).cast("string"))
+    """Staged files by request; some requests hold system files only."""
+    request = F.concat(F.col("source"), F.lit("/"), F.expr("doc_id div 60").cast("string"))
     return listing(spark, sf).withColumn("request_id", request)
 
 
@@ -123,7 +123,7 @@ def colliding(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("part_"), F.floor(F.col("doc_id") / 4).cast("string"),
         F.when(F.col("doc_id") % 2 == 0, ".csv.PGP").otherwise(".csv.pgp"))
     files = listing(spark, sf).withColumn("path", F.concat_ws("/", "folder", F.col("doc_id").cast("string"), name))
-    return with_targets(by_rule(classify(files, SIZE_CAP)))
+    return with_targets(by_rule(classify(files)))
 
 
 def route_plan(spark, sf):
@@ -137,13 +137,13 @@ def route_plan(spark, sf):
 
 def stuck_warning(spark, sf):
     stuck = F.when(F.col("doc_id") % 3 == 0, F.lit("move refused"))
-    results = by_rule(classify(listing(spark, sf), SIZE_CAP)).filter("status = 'error'")
+    results = by_rule(classify(listing(spark, sf))).filter("status = 'error'")
     message = with_stuck_warning(F.col("message"), stuck)
     return results.select("doc_id", message.alias("message"), list_entry(F.col("name"), message).alias("entry"))
 
 
 def payload_bytes(spark, sf):
-    results = by_rule(classify(listing(spark, sf), SIZE_CAP))
+    results = by_rule(classify(listing(spark, sf)))
     opened = F.col("status") == "ok"
     return byte_totals(results.withColumns({
         "bytes_in": F.when(opened, F.col("length") + 28), "bytes_out": F.when(opened, F.col("length"))}), "folder")
@@ -194,7 +194,7 @@ FROM events"""),
 SELECT conv_id, turn, message,
   'conv_' || conv_id || '.csv.pgp' || CASE WHEN message = '' THEN '' ELSE ': ' || message END AS entry FROM messages"""),
     "staging_pick": (staging_picks, f"""WITH {LANDING_SQL},
-staged AS (SELECT source || '/' || (doc_id % 13) AS request_id, path, length, NOT starts_with(file_name, '_') AS data
+staged AS (SELECT source || '/' || (doc_id // 60) AS request_id, path, length, NOT starts_with(file_name, '_') AS data
   FROM landing)
 SELECT request_id, max(path) FILTER (data) AS path, arg_max(length, path) FILTER (data) AS length,
   count(*) AS staged, count(*) FILTER (data) AS data_files,
@@ -206,7 +206,7 @@ named AS (
   FROM landing),
 settled AS (
   SELECT doc_id, lang, name, folder || '/' || doc_id || '/' || name AS path,
-    CASE WHEN length > {SIZE_CAP} OR length = 0 OR corrupt THEN 'error' ELSE 'ok' END AS status FROM named),
+    CASE WHEN length = 0 OR corrupt THEN 'error' ELSE 'ok' END AS status FROM named),
 routed AS (
   SELECT doc_id, path, status,
     CASE WHEN status = 'ok' THEN 'processed/' || lang || '/' || left(name, length(name) - 4) END AS dest_path,

@@ -13,7 +13,7 @@ from sealroute.plans.decrypt_job import check_requests, decrypt_table, settle_re
 from sealroute.plans.encrypt_job import name_outputs, seal_payloads, settle_encrypt
 from sealroute.queries.files import joined_lists, stamp
 from sealroute.queries.landing import (
-    CODE_SQL, LANDING_SQL, RESULTS_SQL, SIZE_CAP, SUMMARY_SQL, key_of, landing, landing_of, payload_landing, read,
+    CODE_SQL, LANDING_SQL, RESULTS_SQL, SUMMARY_SQL, key_of, landing, landing_of, payload_landing, read,
     run_keys, with_targets,
 )
 from sealroute.session import attach, work_folder
@@ -66,7 +66,7 @@ def decrypt_summary(spark, sf, batch: str):
     totals = batch_totals(landing(spark, sf).withColumn("batch", F.col(batch)))
     files = payload_landing(spark, sf).withColumn("batch", F.col(batch))
     results = decrypt_table(
-        with_targets(sealed_landing(files, keys)), keys, AesProvider(), stamp(), max_bytes=SIZE_CAP)
+        with_targets(sealed_landing(files, keys)), keys, AesProvider(), stamp())
     checked = check_requests(decrypt_requests(spark, sf, batch), keys)
     return settle_requests(checked, totals, results)
 
@@ -121,7 +121,7 @@ def encrypt_replies(spark, sf):
 
 def staged_requests(spark, sf):
     """Staged files by request, and an encrypt request for each; some hold system files only."""
-    request = F.concat(F.col("source"), F.lit("/"), (F.col("doc_id") % 13).cast("string"))
+    request = F.concat(F.col("source"), F.lit("/"), F.expr("doc_id div 60").cast("string"))
     files = payload_landing(spark, sf).withColumn("request_id", request).withColumn("path", F.concat(
         F.lit("staging/"), "request_id", F.lit("/"), F.substring_index("path", "/", -1)))
     requests = landing(spark, sf).select(request.alias("request_id"), "source").distinct().select(
@@ -154,10 +154,10 @@ def stream_summary(spark, sf):
     attach(spark)
     keys = run_keys(spark)
     folder = work_folder(spark, "stream")
-    stream = spark.readStream.schema(read(spark, sf, "documents").schema).option(
-        "pathGlobFilter", "documents.parquet").parquet(sf)
+    # As a pattern, the name may be that of one file or of a folder of part files.
+    stream = spark.readStream.schema(read(spark, sf, "documents").schema).parquet(f"{sf}/documents.parque[t]")
     files = with_targets(sealed_landing(landing_of(stream), keys))
-    stream_files(files, keys, AesProvider(), stamp(), folder, max_bytes=SIZE_CAP).awaitTermination()
+    stream_files(files, keys, AesProvider(), stamp(), folder).awaitTermination()
     results = spark.read.parquet(f"{folder}/results")
     return joined_lists(summarise(accept_batches(results, batch_totals(results))))
 
@@ -216,7 +216,7 @@ CAPPED_SQL = f"""batch, total, CASE WHEN total > 500 THEN 0 ELSE ok END AS ok, C
     CASE WHEN total > 500 THEN 400 ELSE {CODE_SQL} END AS code"""
 
 ENCRYPT_RESULT_SQL = f"""WITH {LANDING_SQL},
-staged AS (SELECT source || '/' || (doc_id % 13) AS request_id, source, file_name, length,
+staged AS (SELECT source || '/' || (doc_id // 60) AS request_id, source, file_name, length,
   NOT starts_with(file_name, '_') AS data FROM landing),
 picked AS (SELECT request_id, source, count(*) FILTER (data) AS n, arg_max(length, file_name) FILTER (data) AS size
   FROM staged GROUP BY request_id, source),

@@ -17,7 +17,10 @@ from sealroute.functions.text import WHITESPACE
 from sealroute.operators.codec import DECRYPT_FAILED, fan_out
 from sealroute.operators.keys import KeyTable
 
+# The size limit of the two queries whose subject it is; all others run with the real one.
 SIZE_CAP = 16384
+# Neighbouring documents that share a batch: their number grows with the table, their size does not.
+BATCH_DOCS = 60
 KEY_IDS = ["key0", "key1", "key2", "key3"]
 
 
@@ -43,8 +46,8 @@ def landing_of(documents: DataFrame) -> DataFrame:
     return documents.select(
         "doc_id", "lang", "source",
         folder.alias("folder"),
-        F.when(doc % 55 == 0, "inbound/bad").otherwise(
-            F.concat(folder, F.lit("/"), (doc % 17).cast("string"))).alias("batch"),
+        F.when(doc % 55 == 0, F.concat(F.lit("inbound/bad/"), F.expr(f"doc_id div {55 * BATCH_DOCS}").cast("string")))
+        .otherwise(F.concat(folder, F.lit("/"), F.expr(f"doc_id div {BATCH_DOCS}").cast("string"))).alias("batch"),
         in_folder(folder, name).alias("path"),
         F.when(doc % 31 == 0, F.lit(b"")).otherwise(F.col("text").cast("binary")).alias("content"),
         (doc % 11 == 0).alias("corrupt"),
@@ -84,13 +87,14 @@ def key_of(column: str):
 
 WS_SQL = "'" + WHITESPACE + "'"
 
-LANDING_SQL = """
+LANDING_SQL = f"""
 landing AS (
   SELECT doc_id, lang, source, folder, file_name, batch, folder || '/' || file_name AS path, content, corrupt,
          octet_length(content)::BIGINT AS length
   FROM (
     SELECT doc_id, lang, source, 'inbound/' || lang AS folder,
-           CASE WHEN doc_id % 55 = 0 THEN 'inbound/bad' ELSE 'inbound/' || lang || '/' || (doc_id % 17) END AS batch,
+           CASE WHEN doc_id % 55 = 0 THEN 'inbound/bad/' || (doc_id // {55 * BATCH_DOCS})
+             ELSE 'inbound/' || lang || '/' || (doc_id // {BATCH_DOCS}) END AS batch,
            (CASE WHEN doc_id % 13 = 0 THEN '_' ELSE '' END) || 'doc_' || doc_id ||
              (CASE doc_id % 7 WHEN 0 THEN '.pdf' WHEN 1 THEN '.csv.PGP' ELSE '.csv.pgp' END) AS file_name,
            CASE WHEN doc_id % 31 = 0 THEN ''::BLOB ELSE encode(text) END AS content,
@@ -107,13 +111,15 @@ classified AS (
     END AS listed_message
   FROM landing)"""
 
-RESULTS_SQL = CLASSIFIED_SQL + f""",
+RESULTS_SQL = LANDING_SQL + f""",
 results AS (
-  SELECT doc_id, lang, source, folder, batch, path, name, dest_name, length,
-    CASE WHEN listed_status IS NOT NULL THEN listed_status WHEN corrupt OR length = 0 THEN 'error' ELSE 'ok' END AS status,
-    CASE WHEN listed_status IS NOT NULL THEN listed_message WHEN corrupt OR length = 0 THEN '{DECRYPT_FAILED}'
-         ELSE '' END AS message
-  FROM classified)"""
+  SELECT doc_id, lang, source, folder, batch, path, file_name AS name, length,
+    CASE WHEN lower(file_name) LIKE '%.pgp' THEN left(file_name, length(file_name) - 4) END AS dest_name,
+    CASE WHEN lower(file_name) NOT LIKE '%.pgp' THEN 'skipped' WHEN corrupt OR length = 0 THEN 'error' ELSE 'ok' END
+      AS status,
+    CASE WHEN lower(file_name) NOT LIKE '%.pgp' THEN 'file does not have .pgp extension'
+         WHEN corrupt OR length = 0 THEN '{DECRYPT_FAILED}' ELSE '' END AS message
+  FROM landing)"""
 
 SUMMARY_SQL = """
 summary AS (
