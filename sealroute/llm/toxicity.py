@@ -1,7 +1,7 @@
 """Toxicity: a classifier chain of linear models over hashed words and character n-grams.
 
-The categories are predicted one after the other; each model reads which of the selected features a text holds and the
-probabilities of the categories before it. For training these come from models that did not see the row (out of fold),
+The categories are predicted one after the other; each model reads how often a text holds the selected features (as
+the logarithm of one and the count) and the probabilities of the categories before it. For training these come from models that did not see the row (out of fold),
 so later models learn from the errors that earlier ones make on new texts.
 """
 
@@ -20,7 +20,7 @@ from sealroute.llm.common import attach, drop_clashes
 from sealroute.llm.quality import sampled
 
 BUCKETS = 1 << 18
-SIZES = (4, 5)
+SIZES = (4, 5, 7)
 #: Labelled documents that training uses at most (by the hash of their id), and features that models read.
 TRAIN_ROWS, FEATURES = 6000, 4000
 FOLDS = 5
@@ -38,51 +38,52 @@ class ChainModel:
     chosen: np.ndarray
     weights: tuple[np.ndarray, ...]
 
-    def probabilities(self, held: np.ndarray) -> np.ndarray:
-        """Of each category, from the positions of the chosen features that a text holds."""
+    def probabilities(self, held: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Of each category, from the positions and values of the chosen features that a text holds."""
         before: list[float] = []
         for weight in self.weights:
-            linear = weight[held].sum() + weight[-1]
+            linear = weight[held] @ value + weight[-1]
             linear += sum(w * p for w, p in zip(weight[len(self.chosen) : -1], before))
             before.append(float(1 / (1 + np.exp(-np.clip(linear, -500, 500)))))
         return np.array(before)
 
 
-def held_buckets(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct buckets of a text's words, and those of all its features."""
-    words, rest = [], []
+def held_buckets(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct buckets of a text's words, those of all its features, and the values of the latter."""
+    words, rest = [np.empty(0, np.int64)], []
     for piece in X.pieces(text):
         # A word counts without its punctuation.
         points = X.code_points("".join(c if c.isalnum() else " " for c in piece) if not piece.isascii() else
                                piece.translate(_PLAIN))
         words.append(X.word_buckets(X.word_values(points), BUCKETS))
         rest += [X.ngrams(points, size, BUCKETS) for size in SIZES]
-    own = np.unique(np.concatenate([np.empty(0, np.int64), *words]))
-    return own, np.unique(np.concatenate([own, *rest]))
+    every, counts = np.unique(np.concatenate([*words, *rest]), return_counts=True)
+    return np.unique(np.concatenate(words)), every, np.log2(1 + counts).astype(np.float32)
 
 
 _PLAIN = {code: " " for code in range(128) if not chr(code).isalnum()}
 
 
-def _logistic(rows: list[np.ndarray], extra: np.ndarray, target: np.ndarray, width: int, penalty: float = 1e-3,
+def _logistic(rows: list[np.ndarray], values: list[np.ndarray], extra: np.ndarray, target: np.ndarray, width: int, penalty: float = 1e-3,
               rounds: int = 120) -> np.ndarray:
-    """Weights of a logistic regression on presence rows and dense columns, by accelerated gradient descent."""
+    """Weights of a logistic regression on sparse rows and dense columns, by gradient descent with adapted steps."""
     lengths = np.array([len(row) for row in rows])
-    flat = np.concatenate([np.empty(0, np.int64), *rows])
+    flat, value = np.concatenate([np.empty(0, np.int64), *rows]), np.concatenate([np.empty(0), *values])
     owner = np.repeat(np.arange(len(rows)), lengths)
     weight = np.zeros(width + extra.shape[1] + 1)
     squares = np.full(len(weight), 1e-8)
     for _ in range(rounds):
-        linear = np.bincount(owner, weight[flat], len(rows)) + extra @ weight[width:-1] + weight[-1]
+        linear = np.bincount(owner, weight[flat] * value, len(rows)) + extra @ weight[width:-1] + weight[-1]
         error = (1 / (1 + np.exp(-np.clip(linear, -30, 30))) - target) / len(rows)
-        slope = np.concatenate([np.bincount(flat, error[owner], width), error @ extra, [error.sum()]])
+        slope = np.concatenate([np.bincount(flat, error[owner] * value, width), error @ extra, [error.sum()]])
         slope[:-1] += penalty * weight[:-1] / 10
         squares += slope**2
         weight -= 0.5 * slope / np.sqrt(squares)
     return weight
 
 
-def fit_chain(words: list[np.ndarray], held: list[np.ndarray], label: np.ndarray, folds: int = FOLDS) -> ChainModel:
+def fit_chain(words: list[np.ndarray], held: list[np.ndarray], values: list[np.ndarray], label: np.ndarray,
+              folds: int = FOLDS) -> ChainModel:
     """Select features, derive the severity categories from the label, and train the chain."""
     toxic = label == 1
     positive, negative = max(1, toxic.sum()), max(1, (~toxic).sum())
@@ -105,6 +106,7 @@ def fit_chain(words: list[np.ndarray], held: list[np.ndarray], label: np.ndarray
     chosen = np.sort(order[gain[order] > 0])
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
+    values = [value[place[row] >= 0] for row, value in zip(held, values)]
     rows = [place[row][place[row] >= 0] for row in held]
 
     fold = np.arange(len(rows)) % folds
@@ -114,9 +116,9 @@ def fit_chain(words: list[np.ndarray], held: list[np.ndarray], label: np.ndarray
         unseen = np.zeros(len(rows))
         for part in range(folds):
             train, test = np.flatnonzero(fold != part), np.flatnonzero(fold == part)
-            weight = _logistic([rows[i] for i in train], earlier[train], target[train], len(chosen))
-            unseen[test] = [weight[rows[i]].sum() + earlier[i] @ weight[len(chosen) : -1] + weight[-1] for i in test]
-        weights.append(_logistic(rows, earlier, target, len(chosen)))
+            weight = _logistic([rows[i] for i in train], [values[i] for i in train], earlier[train], target[train], len(chosen))
+            unseen[test] = [weight[rows[i]] @ values[i] + earlier[i] @ weight[len(chosen) : -1] + weight[-1] for i in test]
+        weights.append(_logistic(rows, values, earlier, target, len(chosen)))
         earlier = np.column_stack([earlier, 1 / (1 + np.exp(-np.clip(unseen, -500, 500)))])
     return ChainModel(CATEGORIES, chosen, tuple(weights))
 
@@ -126,19 +128,20 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [held_buckets(text) for text in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("rank"), batch.column("label"),
-             pa.array([words.astype(np.int32) for words, _ in found], pa.list_(pa.int32())),
-             pa.array([held.astype(np.int32) for _, held in found], pa.list_(pa.int32()))], ["rank", "label", "words", "held"])
+             pa.array([words.astype(np.int32) for words, *_ in found], pa.list_(pa.int32())),
+             pa.array([held.astype(np.int32) for _, held, _ in found], pa.list_(pa.int32())),
+             pa.array([value for *_, value in found], pa.list_(pa.float32()))], ["rank", "label", "words", "held", "value"])
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for batch in batches:
-        words, held = batch.column("words"), batch.column("held")
-        rows += [(rank, label, np.asarray(words[i].values), np.asarray(held[i].values)) for i, (rank, label) in enumerate(
+        words, held, value = (batch.column(name) for name in ("words", "held", "value"))
+        rows += [(rank, label, *(np.asarray(one[i].values) for one in (words, held, value))) for i, (rank, label) in enumerate(
             zip(batch.column("rank").to_pylist(), batch.column("label").to_pylist()))]
     rows.sort(key=lambda row: (row[0], row[1], len(row[3])))
     if rows:
-        model = fit_chain([row[2] for row in rows], [row[3] for row in rows], np.array([row[1] for row in rows]))
+        model = fit_chain(*([row[i] for row in rows] for i in (2, 3, 4)), np.array([row[1] for row in rows]))
         yield pa.RecordBatch.from_arrays(
             [pa.array([model.chosen.astype(np.int64).tobytes()]),
              pa.array([[weight.tobytes() for weight in model.weights]], pa.list_(pa.binary()))], ["chosen", "weights"])
@@ -148,7 +151,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = LABEL, rows:
     """Learn from at most ``rows`` documents with a 0 or 1 label outside the held-out part; None without any."""
     attach(docs.sparkSession)
     made = sampled(labels.where(F.col(label).isin(0, 1)), docs, label, rows).mapInArrow(
-        _featurise, "rank bigint, label int, words array<int>, held array<int>").repartition(1).mapInArrow(
+        _featurise, "rank bigint, label int, words array<int>, held array<int>, value array<float>").repartition(1).mapInArrow(
         _train, "chosen binary, weights array<binary>").first()
     if made is None:
         return None
@@ -171,8 +174,9 @@ def score_toxicity(docs: DataFrame, model: ChainModel | None, threshold: float =
         for texts in batches:
             out = []
             for text in texts.to_pylist():
-                held = place[held_buckets(text)[1]]
-                out.append(model.probabilities(held[held >= 0]) if model is not None else np.zeros(len(CATEGORIES)))
+                _, buckets, values = held_buckets(text)
+                held = place[buckets]
+                out.append(model.probabilities(held[held >= 0], values[held >= 0]) if model is not None else np.zeros(len(CATEGORIES)))
             yield pa.array(out, pa.list_(pa.float64()))
 
     names = [f"p_{name}" for name in CATEGORIES]

@@ -93,8 +93,11 @@ def test_chain_reads_earlier_categories_out_of_fold():
         found = set(source.sample(range(100, 5000), 30)) | (set(source.sample(range(10), source.randint(1, 8))) if bad else set())
         words.append(np.array(sorted(found)))
         label.append(int(bad))
-    model = toxicity.fit_chain(words, words, np.array(label))
+    model = toxicity.fit_chain(words, words, [np.ones(len(row)) for row in words], np.array(label))
     assert model.categories[-1] == "toxic" and [len(w) - len(model.chosen) - 1 for w in model.weights] == [0, 1, 2]
     strong = np.searchsorted(model.chosen, np.arange(8))
-    assert model.probabilities(strong)[-1] > 0.9 > 0.1 > model.probabilities(np.empty(0, int))[-1]
-    assert model.probabilities(strong)[0] > model.probabilities(strong[:1])[0]
+
+    def found(count):
+        return model.probabilities(strong[:count], np.ones(count))
+
+    assert found(8)[-1] > 0.9 > 0.1 > found(0)[-1] and found(8)[0] > found(1)[0]
