@@ -122,15 +122,90 @@ SELECT u.page_id, u.host, u.path, b.rule,
 FROM urls u LEFT JOIN best b ON u.host = b.host AND u.path = b.path
 """
 
+_ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+_LETTER_WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP2_SQL = f"""
+WITH items AS (
+  SELECT item_id::VARCHAR AS item_id, {_LETTER_WORDS.format(_ASCII_LOWER.format("coalesce(text, '')"))} AS words FROM benchmark),
+sized AS (SELECT *, least(len(words), 13) AS size FROM items WHERE len(words) > 0),
+windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[pos : pos + size - 1], ' ') AS run
+  FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS pos FROM sized)),
+docs AS (
+  SELECT doc_id, {_LETTER_WORDS.format(_ASCII_LOWER.format("coalesce(text, '')"))} AS words FROM documents),
+runs AS (
+  SELECT doc_id, size, pos, array_to_string(words[pos : pos + size - 1], ' ') AS run
+  FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS pos
+        FROM docs CROSS JOIN (SELECT DISTINCT size FROM windows) WHERE len(words) >= size)),
+hits AS (SELECT doc_id, pos, size, item_id FROM runs JOIN windows USING (run, size)),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (
+  SELECT doc_id, unnest(range(pos, pos + size)) AS place FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (
+  SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+OP9_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, {_PLAIN_WORDS.format(_ASCII_LOWER.format("coalesce(text, '')"))} AS words FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[pos : pos + least(len(words), 4) - 1], ' ') AS run, least(len(words), 4) AS size
+  FROM (SELECT *, unnest(range(1, len(words) - least(len(words), 4) + 2)) AS pos FROM docs WHERE len(words) > 0)),
+counts AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM shingles a JOIN shingles b USING (run, size)
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT u, v FROM common JOIN counts x ON x.doc_id = u JOIN counts y ON y.doc_id = v
+  WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM docs UNION SELECT r.doc_id, l.v FROM reached r JOIN links l ON l.u = r.other)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM docs d LEFT JOIN counts USING (doc_id)
+JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) USING (doc_id)
+"""
+
+OP10_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, {_PLAIN_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+windows AS (
+  SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, words[pos], words[pos + 1], words[pos + 2]) AS often
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS pos FROM docs WHERE len(words) > 2)),
+repeated AS (SELECT doc_id, count(DISTINCT place) AS n FROM (
+  SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS place FROM windows WHERE often > 1) GROUP BY doc_id),
+split AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM docs),
+lines AS (
+  SELECT doc_id, source, line, {_PLAIN_WORDS.format("line")} AS held,
+    array_to_string({_PLAIN_WORDS.format(_ASCII_LOWER.format("line"))}, ' ') AS norm FROM split),
+copies AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE len(held) > 0 GROUP BY doc_id),
+sizes AS (SELECT source, count(*) AS documents FROM docs GROUP BY source),
+common AS (
+  SELECT source, norm FROM lines JOIN sizes USING (source) WHERE len(held) > 0
+  GROUP BY source, norm, documents HAVING count(DISTINCT doc_id) > 50 AND 100 * count(DISTINCT doc_id) > documents),
+gone AS (SELECT doc_id, sum(len(held)) AS n FROM lines SEMI JOIN common USING (source, norm) GROUP BY doc_id),
+counted AS (
+  SELECT d.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(c.n, 0) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, coalesce(g.n, 0)::BIGINT AS n_line_words
+  FROM docs d LEFT JOIN copies c USING (doc_id) LEFT JOIN repeated r USING (doc_id) LEFT JOIN gone g USING (doc_id)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT *, NOT base_failed AND n_words - n_line_words >= 0.2 * n_words AS kept FROM failed
+"""
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_chat_formatting": (op1_chat_formatting, OP1_SQL),
-    "op2_decontamination": (op2_decontamination, None),
+    "op2_decontamination": (op2_decontamination, OP2_SQL),
     "op3_quality": (op3_quality, None),
     "op4_language": (op4_language, None),
     "op5_personal_data": (op5_personal_data, None),
     "op6_url_filters": (op6_url_filters, OP6_SQL),
     "op7_toxicity": (op7_toxicity, None),
     "op8_mixing": (op8_mixing, None),
-    "op9_near_duplicates": (op9_near_duplicates, None),
-    "op10_line_rules": (op10_line_rules, None),
+    "op9_near_duplicates": (op9_near_duplicates, OP9_SQL),
+    "op10_line_rules": (op10_line_rules, OP10_SQL),
 }
