@@ -27,10 +27,12 @@ from sealroute.operators.codec import MATERIAL
 from sealroute.operators.keylist import NO_FINGERPRINT
 from sealroute.operators.keys import KeyTable
 
-# What a caller learns about a failure; details stay in the worker's log.
-IMPORT_FAILED = "gpg --import failed. Check function logs for details."
-DECRYPT_FAILED = "gpg --decrypt failed. Check function logs for details."
-ENCRYPT_FAILED = "gpg --encrypt failed. Check function logs for details."
+# What a caller learns about a failed opening; the cause stays in the worker's log. A failed sealing
+# names the cause after a colon instead, as its message goes to the error log and not to the caller.
+IMPORT_FAILED = "gpg --import failed"
+DECRYPT_FAILED = "gpg --decrypt failed"
+ENCRYPT_FAILED = "gpg --encrypt failed"
+SEE_LOG = ". Check function logs for details."
 
 KEYRINGS_PER_TASK = 16
 BATCH_BYTES = 64 << 20
@@ -38,14 +40,18 @@ log = logging.getLogger(__name__)
 
 
 class GpgError(RuntimeError):
-    """A failed gpg call, with the text a caller may see."""
+    """A failed gpg call: the text a caller may see, and the whole one."""
+
+    def __init__(self, failure: str, cause: str | None = None):
+        super().__init__(failure if cause is None else failure + SEE_LOG)
+        self.whole = failure if cause is None else f"{failure}: {cause}"
 
 
 class Keyring:
     """A temporary gpg home holding one imported key."""
 
     def __init__(self, gpg: str, start_agent: bool, timeout: float, scratch: str | None):
-        self.folder = tempfile.TemporaryDirectory(prefix="pgp_tmp_", dir=scratch)
+        self.folder = tempfile.TemporaryDirectory(prefix="sealroute-keyring-", dir=scratch)
         self.start_agent = start_agent
         self.timeout = timeout
         self.fingerprint: str | None = None
@@ -59,10 +65,11 @@ class Keyring:
                 self.command + arguments, input=data, capture_output=True, timeout=self.timeout, **options)
         except (OSError, subprocess.TimeoutExpired) as error:
             log.error("%s %s", failure, type(error).__name__)
-            raise GpgError(failure) from None
+            raise GpgError(failure, type(error).__name__) from None
         if done.returncode != 0:
-            log.error("%s %s", failure, done.stderr.decode(errors="replace"))
-            raise GpgError(failure)
+            cause = done.stderr.decode(errors="replace")
+            log.error("%s %s", failure, cause)
+            raise GpgError(failure, cause)
         return done.stdout
 
     def load(self, key: str) -> None:
@@ -152,15 +159,15 @@ class OpenPgpProvider:
 
     def decrypt(self, files: DataFrame, keys: DataFrame | KeyTable) -> DataFrame:
         return _run(self.for_opening(files, keys), "plaintext", self.options,
-                    lambda ring, row: ring.decrypt(row["passphrase"], row["content"]))
+                    lambda ring, row: ring.decrypt(row["passphrase"], row["content"]), whole=False)
 
     def encrypt(self, files: DataFrame, keys: DataFrame | KeyTable) -> DataFrame:
         return _run(self.for_sealing(files, keys), "sealed", self.options,
-                    lambda ring, row: ring.encrypt(row["content"]))
+                    lambda ring, row: ring.encrypt(row["content"]), whole=True)
 
 
 def _run(
-    files: DataFrame, output: str, options: tuple, action: Callable[[Keyring, dict], bytes]
+    files: DataFrame, output: str, options: tuple, action: Callable[[Keyring, dict], bytes], whole: bool
 ) -> DataFrame:
     """Apply a keyring action to the rows whose status is null; one failed row never fails the task."""
     flat = files.withColumns({"_key": F.col(f"{MATERIAL}.key"), "_passphrase": F.col(f"{MATERIAL}.passphrase")}).drop(
@@ -175,10 +182,10 @@ def _run(
             return row["status"], row["message"], None
         try:
             if key is None:
-                raise GpgError(IMPORT_FAILED)
+                raise GpgError(IMPORT_FAILED, "no key")
             return "ok", "", action(rings.get(key), row)
         except GpgError as error:
-            return "error", str(error), None
+            return "error", error.whole if whole else str(error), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rings = Keyrings(*options)

@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sealroute.functions.checksum import crc24_of
-from sealroute.operators.openpgp import DECRYPT_FAILED, IMPORT_FAILED, OpenPgpProvider
+from sealroute.operators.openpgp import DECRYPT_FAILED, IMPORT_FAILED, SEE_LOG, OpenPgpProvider
 from sealroute.plans.decrypt_job import decrypt_files
 from sealroute.plans.encrypt_job import encrypt_files
 from tests.test_decrypt_job import put
@@ -104,8 +104,10 @@ def test_files_are_sealed_to_the_recipient(spark, tmp_path):
         assert got[path].status == "ok" and data not in sealed
         opened = gpg(home, "--override-session-key", session_key(sealed, n, d), "--decrypt", data=sealed)
         assert opened == data
-    assert (got["bad"].status, got["bad"].message, got["bad"].sealed) == ("error", IMPORT_FAILED, None)
-    assert (got["lost"].status, got["lost"].message) == ("error", IMPORT_FAILED)
+    # The message goes to the error log, so it names the cause.
+    assert (got["bad"].status, got["bad"].sealed) == ("error", None)
+    assert got["bad"].message.startswith(f"{IMPORT_FAILED}: ") and "gpg: " in got["bad"].message
+    assert (got["lost"].status, got["lost"].message) == ("error", f"{IMPORT_FAILED}: no key")
     assert (got["done"].status, got["done"].message, got["done"].sealed) == ("empty", "settled before", None)
 
 
@@ -132,7 +134,7 @@ def test_passphrase_messages_are_opened(spark, tmp_path):
     for path, data in payloads.items():
         assert (got[path].status, bytes(got[path].plaintext)) == ("ok", data)
     for path in ["wrong", "junk", "void"]:
-        assert (got[path].status, got[path].message, got[path].plaintext) == ("error", DECRYPT_FAILED, None)
+        assert (got[path].status, got[path].message, got[path].plaintext) == ("error", DECRYPT_FAILED + SEE_LOG, None)
 
 
 def test_jobs_run_with_the_provider(spark, tmp_path):
@@ -156,7 +158,7 @@ def test_jobs_run_with_the_provider(spark, tmp_path):
     put(tmp_path, {"inbound/a/in.csv.pgp": (tmp_path / "in.pgp").read_bytes(), "inbound/a/junk.csv.pgp": b"junk"})
     keys = spark.createDataFrame([("alpha", "", "sesame")], "key_id string, material string, passphrase string")
     row = decrypt_files(decrypt_request(spark, tmp_path, "a"), keys, PROVIDER).summary.first()
-    assert (row.ok, row.failed, row.code, row.error_files) == (1, 1, 207, [f"junk.csv.pgp: {DECRYPT_FAILED}"])
+    assert (row.ok, row.failed, row.code, row.error_files) == (1, 1, 207, [f"junk.csv.pgp: {DECRYPT_FAILED + SEE_LOG}"])
     assert (tmp_path / "done/a/in.csv").read_bytes() == b"rows received"
 
 
