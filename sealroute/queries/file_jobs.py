@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import secrets
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -13,16 +14,33 @@ from sealroute.plans.encrypt_job import encrypt_files
 from sealroute.queries.files import STAMP, joined_lists
 from sealroute.queries.jobs import CAPPED_SQL, ENCRYPT_RESULT_SQL, sealed_landing, staged_requests, unsettled
 from sealroute.queries.landing import LANDING_SQL, SUMMARY_SQL, landing, payload_landing, run_keys
-from sealroute.session import attach, work_folder
+from sealroute.session import attach, keep, work_folder
 from sealroute.sources.landing import list_folders
 from sealroute.sources.payloads import read_payload
+from sealroute.sources.storage import exists, locate
+from sealroute.streaming.decrypt_stream import stream_folders
 
 AT = datetime.fromisoformat(STAMP).replace(tzinfo=timezone.utc)
 
 
-def landed_documents(spark, sf):
-    """A new folder with the documents as files, in a folder per batch: the folder, and the batches as requests."""
-    root = work_folder(attach(spark), "scan")
+@contextmanager
+def scratch(spark, name):
+    """A folder for files that hold plain texts; it goes when the query has its rows, or fails."""
+    root = work_folder(attach(spark), name)
+    try:
+        yield root
+    finally:
+        filesystem, folder = locate(None, root)
+        if exists(filesystem, folder):
+            filesystem.delete_dir(folder)
+
+
+def kept(spark, rows):
+    return keep(rows, work_folder(spark, "query"), "rows")
+
+
+def landed_documents(spark, sf, root):
+    """The documents as files below ``root``, in a folder per batch; the batches as requests."""
     files = payload_landing(spark, sf).withColumn("path", F.concat("batch", F.lit("/"), F.substring_index("path", "/", -1)))
     files.select("path", "content").write.format("landing").mode("append").save(root)
     return landing(spark, sf).select("batch").distinct().withColumn("root", F.lit(root))
@@ -30,14 +48,16 @@ def landed_documents(spark, sf):
 
 def folder_scan(spark, sf):
     """The listing of every batch's folder, empty and system files included."""
-    return list_folders(landed_documents(spark, sf), "batch").select("batch", "name", "length")
+    with scratch(spark, "scan") as root:
+        return kept(spark, list_folders(landed_documents(spark, sf, root), "batch").select("batch", "name", "length"))
 
 
 def payload_read(spark, sf):
     """Every file of every batch's folder, opened in tasks."""
-    files = list_folders(landed_documents(spark, sf), "batch")
-    opened = read_payload(unsettled(files.repartition(payload_partitions(files), "path")))
-    return opened.select("batch", "name", F.sha2("content", 256).alias("sha256"), "message")
+    with scratch(spark, "read") as root:
+        files = list_folders(landed_documents(spark, sf, root), "batch")
+        opened = read_payload(unsettled(files.repartition(payload_partitions(files), "path")))
+        return kept(spark, opened.select("batch", "name", F.sha2("content", 256).alias("sha256"), "message"))
 
 
 def _files_below(spark, root, folders):
@@ -49,6 +69,11 @@ def _files_below(spark, root, folders):
 
 
 def decrypt_outputs(spark, sf):
+    with scratch(spark, "outputs") as base:
+        return kept(spark, _decrypt_outputs(spark, sf, base))
+
+
+def _decrypt_outputs(spark, sf, base):
     """What a decrypt run leaves behind: two stores whose requests share destination, error and archive folder.
 
     Files of several requests of a store meet under one name in each of the three folders; the other store has the
@@ -56,7 +81,6 @@ def decrypt_outputs(spark, sf):
     """
     keys = run_keys(spark)
     key_id = F.lit("key0")
-    base = work_folder(attach(spark), "outputs")
     store, name = F.expr("doc_id % 2").cast("string"), F.concat(F.lit("part_"), F.expr("doc_id div 8").cast("string"))
     files = sealed_landing(payload_landing(spark, sf), keys, key_id).withColumns({
         "store": store, "folder": F.concat(F.lit("in/"), F.expr("doc_id % 8 div 2").cast("string"))})
@@ -80,11 +104,15 @@ def decrypt_outputs(spark, sf):
 
 
 def encrypt_errors(spark, sf):
+    with scratch(spark, "failing") as root:
+        return kept(spark, _encrypt_errors(spark, sf, root))
+
+
+def _encrypt_errors(spark, sf, root):
     """Encrypt requests that really fail: no key, a key that is no text, an output that cannot be written.
 
     Returns the record of each request with the error that its log file holds.
     """
-    root = work_folder(attach(spark), "failing")
     files, requests = staged_requests(spark, sf)
     files.select("path", "content").write.format("landing").mode("append").save(root)
     number = F.substring_index("request_id", "/", -1).cast("bigint") % 4
@@ -112,29 +140,40 @@ def encrypt_errors(spark, sf):
 
 def encrypt_on_files(spark, sf):
     """The encrypt job on the documents, staged per request as files."""
-    root = work_folder(attach(spark), "staging")
-    files, requests = staged_requests(spark, sf)
-    files.select("path", "content").write.format("landing").mode("append").save(root)
-    key = spark.createDataFrame([("keys/a.asc", secrets.token_hex(16).encode())], "path string, content binary")
-    key.write.format("landing").mode("append").save(root)
-    return encrypt_files(requests.withColumn("root", F.lit(root)), AesProvider(), at=AT).results
+    with scratch(spark, "staging") as root:
+        files, requests = staged_requests(spark, sf)
+        files.select("path", "content").write.format("landing").mode("append").save(root)
+        key = spark.createDataFrame([("keys/a.asc", secrets.token_hex(16).encode())], "path string, content binary")
+        key.write.format("landing").mode("append").save(root)
+        return encrypt_files(requests.withColumn("root", F.lit(root)), AesProvider(), at=AT).results
 
 
-def decrypt_on_files(spark, sf):
-    """The decrypt job on the sealed documents, put into a landing folder per batch as files."""
-    root = work_folder(attach(spark), "landing")
-    keys = run_keys(spark)
+def landed_batches(spark, sf, root, keys):
+    """The sealed documents as files below ``root``, in a landing folder per batch; a decrypt request for each."""
     key_id = F.lit("key0")
     sealed = sealed_landing(payload_landing(spark, sf), keys, key_id)
     landed = F.concat("batch", F.lit("/"), F.substring_index("path", "/", -1))
     sealed.select(landed.alias("path"), "content").write.format("landing").mode("append").save(root)
     targets = {"destination_folder": "processed/", "error_folder": "errors/", "archive_folder": "archive/"}
-    requests = landing(spark, sf).select("batch").distinct().select(
+    return landing(spark, sf).select("batch").distinct().select(
         "batch", F.lit(root).alias("root"), key_id.alias("key_id"), F.lit("lake").alias("file_system_name"),
         F.col("batch").alias("source_folder"),
         *[F.concat(F.lit(prefix), "batch").alias(name) for name, prefix in targets.items()])
-    run = decrypt_files(requests, keys, AesProvider(), at=AT)
-    return joined_lists(run.summary)
+
+
+def decrypt_on_files(spark, sf):
+    """The decrypt job on the sealed documents, put into a landing folder per batch as files."""
+    keys = run_keys(spark)
+    with scratch(spark, "landing") as root:
+        return joined_lists(decrypt_files(landed_batches(spark, sf, root, keys), keys, AesProvider(), at=AT).summary)
+
+
+def stream_polls(spark, sf):
+    """The same files found and decrypted by a stream that polls the folders of standing requests."""
+    keys, folder = run_keys(spark), work_folder(attach(spark), "polls")
+    with scratch(spark, "polled") as root:
+        stream_folders(landed_batches(spark, sf, root, keys), keys, AesProvider(), folder, at=AT).awaitTermination()
+    return joined_lists(spark.read.parquet(f"{folder}/summary").drop("epoch"))
 
 
 ENCRYPT_ERRORS_SQL = f"""WITH {LANDING_SQL},
@@ -154,6 +193,16 @@ SELECT request_id, status,
     ELSE 'File encrypted and archived successfully.' END AS message,
   (kind = 2)::INTEGER AS long, (status = 'POST_ENCRYPT_FAILED')::INTEGER AS logged FROM states"""
 
+DECRYPT_SQL = f"""WITH {LANDING_SQL},
+sealed AS (SELECT *, file_name AS name FROM landing),
+results AS (
+  SELECT batch, name,
+    CASE WHEN lower(name) NOT LIKE '%.pgp' THEN 'skipped' WHEN corrupt OR length = 0 THEN 'error' ELSE 'ok' END
+      AS status,
+    CASE WHEN lower(name) NOT LIKE '%.pgp' THEN 'file does not have .pgp extension'
+      WHEN corrupt OR length = 0 THEN '{DECRYPT_FAILED}' ELSE '' END AS message FROM sealed), {SUMMARY_SQL}
+SELECT {CAPPED_SQL} FROM summary"""
+
 QUERIES = {
     "folder_scan": (folder_scan, f"""WITH {LANDING_SQL}
 SELECT batch, file_name AS name, length FROM landing"""),
@@ -171,13 +220,6 @@ UNION ALL SELECT store::VARCHAR, 'archive', '20260417143015123456_' || stem || e
 UNION ALL SELECT store::VARCHAR, 'errors', stem || ending, NULL FROM files WHERE NOT good"""),
     "encrypt_errors": (encrypt_errors, ENCRYPT_ERRORS_SQL),
     "encrypt_files": (encrypt_on_files, ENCRYPT_RESULT_SQL),
-    "decrypt_files": (decrypt_on_files, f"""WITH {LANDING_SQL},
-sealed AS (SELECT *, file_name AS name FROM landing),
-results AS (
-  SELECT batch, name,
-    CASE WHEN lower(name) NOT LIKE '%.pgp' THEN 'skipped' WHEN corrupt OR length = 0 THEN 'error' ELSE 'ok' END
-      AS status,
-    CASE WHEN lower(name) NOT LIKE '%.pgp' THEN 'file does not have .pgp extension'
-      WHEN corrupt OR length = 0 THEN '{DECRYPT_FAILED}' ELSE '' END AS message FROM sealed), {SUMMARY_SQL}
-SELECT {CAPPED_SQL} FROM summary"""),
+    "decrypt_files": (decrypt_on_files, DECRYPT_SQL),
+    "stream_polls": (stream_polls, DECRYPT_SQL),
 }
