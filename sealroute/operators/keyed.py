@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 # Rows of one key that a task may get: of plain metadata, and of rows that carry payloads.
 HOT_ROWS = 1_000_000
 PAYLOAD_HOT_ROWS = 10_000
+# A table is broadcast only if it was measured to have no more rows and bytes than these.
 BROADCAST_ROWS = 10_000
+BROADCAST_BYTES = 8 << 20
 
 
 def attach_per_key(
@@ -17,8 +19,8 @@ def attach_per_key(
     """Left join ``rows`` to ``per_key``, which has one row per key and the row count of that key.
 
     A key with more than ``hot_rows`` rows is spread over ``ceil(count / hot_rows)`` salts, so no
-    task gets more than about ``hot_rows`` rows of one key. Only the list of hot keys is broadcast:
-    it holds at most total rows / ``hot_rows`` entries.
+    task gets more than about ``hot_rows`` rows of one key. The list of hot keys holds at most total
+    rows / ``hot_rows`` entries; it is broadcast if it was measured to be small.
     """
     per_key = per_key.filter(F.col(key).isNotNull())
     salts = F.ceil(F.col(count) / F.lit(hot_rows)).cast("bigint")
@@ -26,7 +28,7 @@ def attach_per_key(
     # Rows without a key match nothing; they are spread widely instead of meeting in one task.
     spread = F.coalesce("_salts", F.when(F.col(key).isNull(), F.lit(hot_rows)).otherwise(F.lit(1))).cast("bigint")
     salted = (
-        rows.join(F.broadcast(hot), key, "left")
+        rows.join(F.broadcast(hot) if fits_broadcast(hot) else hot, key, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(row_id), spread))
         .drop("_salts")
     )
@@ -34,13 +36,18 @@ def attach_per_key(
     return salted.join(copies, [key, "_salt"], "left").drop("_salt")
 
 
-def bounded_count(table: DataFrame) -> int:
-    """Number of rows up to ``BROADCAST_ROWS``; one more stands for any larger number."""
-    return table.limit(BROADCAST_ROWS + 1).count()
+def measured(table: DataFrame) -> tuple[int, int]:
+    """Rows of a table and about how many bytes they hold, in one aggregate that combines map-side."""
+    size = F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))
+    return tuple(table.agg(F.count(F.lit(1)), size).first())
+
+
+def _fits(rows: int, size: int) -> bool:
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
 def fits_broadcast(table: DataFrame) -> bool:
-    return bounded_count(table) <= BROADCAST_ROWS
+    return _fits(*measured(table))
 
 
 def attach_exceptions(
@@ -48,14 +55,14 @@ def attach_exceptions(
 ) -> DataFrame:
     """Like ``attach_per_key`` for a table that is expected to hold few keys, or none.
 
-    It is counted first. An empty one adds nulls without a join and a short one is broadcast, so
-    the rows are not shuffled; a long one is joined with its hot keys salted.
+    It is measured first. An empty one adds nulls without a join and a small one is broadcast, so
+    the rows are not shuffled; a large one is joined with its hot keys salted.
     """
-    found = bounded_count(per_key)
+    found, size = measured(per_key)
     if found == 0:
         added = [field for field in per_key.schema.fields if field.name != key]
         return rows.withColumns({field.name: F.lit(None).cast(field.dataType) for field in added})
-    if found <= BROADCAST_ROWS:
+    if _fits(found, size):
         return rows.join(F.broadcast(per_key), key, "left")
     return attach_per_key(rows, per_key, key, row_id, count, hot_rows)
 

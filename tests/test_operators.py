@@ -183,7 +183,7 @@ def test_landing_source_lists_hidden_and_empty_files(spark, tmp_path):
 
 def test_landing_writer_and_full_load(spark, tmp_path):
     put(tmp_path, {"out/old.csv": b"old", "out/a.csv": b"older", "out/keep/x": b"deep"})
-    rows = spark.createDataFrame([("a.csv", b"new"), ("sub/b.csv", b""), ("c.csv", None)], "path string, content binary")
+    rows = spark.createDataFrame([("a.csv", b"new"), ("sub/b.csv", b""), ("c.csv", b"")], "path string, content binary")
     removed = replace_folder(rows, f"{tmp_path}/out")
     assert [(row.path, row.delete_error) for row in removed.collect()] == [(f"{tmp_path}/out/old.csv", None)]
     assert tree(tmp_path / "out") == {"a.csv": b"new", "sub/b.csv": b"", "c.csv": b"", "keep/x": b"deep"}
