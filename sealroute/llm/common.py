@@ -1,15 +1,13 @@
-"""What the text operators share: column checks, work folders and sets of hashes."""
+"""What the text operators share: tables, work folders, and columns that replace others of their name."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealroute.session import attach, keep, work_folder
 
-__all__ = ["add_columns", "drop_clashes", "documents", "held_out", "keep", "work", "table"]
+__all__ = ["add_columns", "attach", "documents", "drop_clashes", "held_out", "keep", "table", "work"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -38,7 +36,3 @@ def add_columns(frame: DataFrame, **results: Column) -> DataFrame:
 def held_out(key: Column) -> Column:
     """Whether a row is kept out of training: the remainder of its key's CRC-32 by four is two."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

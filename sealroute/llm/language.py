@@ -101,14 +101,15 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train_language(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel | None:
     """Learn from texts with a language outside the held-out part: as many of each language, at most ``rows`` in all.
 
-    Documents are picked by the hash of their id and need a letter. None if there are none.
+    Documents are picked by the hash of their id and need a letter. None if there are none. Of more than ``rows``
+    languages only as many are learned.
     """
     attach(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     count = max(1, known.select("lang").distinct().count())
     by_hash = Window.partitionBy("lang").orderBy("rank", "doc_id")
     chosen = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("rank")).distinct().withColumn(
-        "place", F.row_number().over(by_hash)).where(F.col("place") <= max(1, rows // count)).drop("place")
+        "place", F.row_number().over(by_hash)).where(F.col("place") <= max(1, rows // count)).orderBy("place", "rank", "doc_id").limit(rows).drop("place")
     texts = docs.select("doc_id", "lang", "text").where(F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
     made = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).select("rank", "lang", "text").mapInArrow(
         _pack, "rank bigint, lang string, packed binary").repartition(1).mapInArrow(
@@ -154,7 +155,7 @@ def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     return found.withColumn("score", F.col("lang_pred.score")).withColumn("lang_pred", F.col("lang_pred.lang"))
 
 
-def identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
+def identified(docs: DataFrame, least: float = 0.1) -> DataFrame:
     """The documents whose language the model can tell, with their own columns: a letter, and a score from ``least`` on."""
     found = predict_language(docs, train_language(docs))
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)

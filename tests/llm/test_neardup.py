@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pytest
 
 from sealroute.llm import neardup, sketch
 
@@ -72,10 +71,9 @@ def test_many_small_and_one_large_group(spark):
     assert result(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("percent", [60, 90])
-def test_other_similarities(spark, percent):
+def test_another_similarity(spark):
     rows = grown(3, 2, 60, 8)
-    assert result(spark, rows, percent=percent) == brute(rows, percent=percent)
+    assert result(spark, rows, percent=60) == brute(rows, percent=60)
 
 
 def test_odd_rows(spark):
