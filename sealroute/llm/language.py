@@ -111,11 +111,12 @@ def train_language(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel | N
     chosen = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("rank")).distinct().withColumn(
         "place", F.row_number().over(by_hash)).where(F.col("place") <= max(1, rows // count)).orderBy("place", "rank", "doc_id").limit(rows).drop("place")
     texts = docs.select("doc_id", "lang", "text").where(F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
-    made = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).select("rank", "lang", "text").mapInArrow(
+    found = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).select("rank", "lang", "text").mapInArrow(
         _pack, "rank bigint, lang string, packed binary").repartition(1).mapInArrow(
-        _solve, "languages array<string>, columns binary, landmarks binary, sizes binary, weights binary").first()
-    if made is None:
+        _solve, "languages array<string>, columns binary, landmarks binary, sizes binary, weights binary").collect()
+    if not found:
         return None
+    made = found[0]
     columns = np.frombuffer(made.columns, np.int32)
     return LanguageModel(
         tuple(made.languages), columns, np.frombuffer(made.landmarks, np.float32).reshape(-1, len(columns)),

@@ -114,10 +114,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ro
     """
     attach(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1))
-    made = sampled(known, docs, label, rows).mapInArrow(
+    rows = sampled(known, docs, label, rows).mapInArrow(
         _featurise, "rank bigint, label int, places array<int>, shares array<float>").repartition(1).mapInArrow(
-        _train, "vectors binary, weights binary, bias binary, used bigint").first()
-    if made is None or not made.used:
+        _train, "vectors binary, weights binary, bias binary, used bigint").collect()
+    made = next((row for row in rows if row.used), None)
+    if made is None:
         return QualityModel(np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 2), np.float32), np.zeros(2, np.float32))
     weights = np.frombuffer(made.weights, np.float32).reshape(-1, 2)
     return QualityModel(np.frombuffer(made.vectors, np.float32).reshape(BUCKETS, -1), weights,

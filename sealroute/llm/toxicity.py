@@ -150,11 +150,12 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = LABEL, rows: int = TRAIN_ROWS) -> ChainModel | None:
     """Learn from at most ``rows`` documents with a 0 or 1 label outside the held-out part; None without any."""
     attach(docs.sparkSession)
-    made = sampled(labels.where(F.col(label).isin(0, 1)), docs, label, rows).mapInArrow(
+    found = sampled(labels.where(F.col(label).isin(0, 1)), docs, label, rows).mapInArrow(
         _featurise, "rank bigint, label int, words array<int>, held array<int>, value array<float>").repartition(1).mapInArrow(
-        _train, "chosen binary, weights array<binary>").first()
-    if made is None:
+        _train, "chosen binary, weights array<binary>").collect()
+    if not found:
         return None
+    made = found[0]
     return ChainModel(CATEGORIES, np.frombuffer(made.chosen, np.int64),
                       tuple(np.frombuffer(bytes(weight), np.float64) for weight in made.weights))
 

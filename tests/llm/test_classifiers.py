@@ -74,10 +74,13 @@ def test_kernel_is_the_share_of_common_ngrams():
 
 
 def test_toxicity_on_held_out_documents(spark, tables):
-    model = toxicity.train_toxicity(tables["documents"], tables["labels"])
-    scored = toxicity.score_toxicity(tables["documents"], model).withColumnRenamed("toxic", "found")
-    rows = scored.join(tables["labels"], "doc_id").where(held_out(tables["documents"]["doc_id"])).collect()
-    assert accuracy(rows, "toxic", "found") >= 0.9
+    # The smaller table has too few toxic documents to learn every language's words from.
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.train_toxicity(docs, labels)
+    known = docs.join(labels, "doc_id").where(held_out(docs["doc_id"])).withColumnRenamed("toxic", "truth")
+    rows = toxicity.score_toxicity(known, model).collect()
+    assert accuracy(rows, "truth", "toxic") >= 0.97
+    assert np.mean([r.toxic for r in rows if r.truth]) >= 0.85
     odd = toxicity.score_toxicity(spark.createDataFrame(ODD, SCHEMA), model)
     assert odd.columns == ["doc_id", "text", "score", "p_severe", "p_marked", "p_toxic", "toxic"]
     assert all(0 <= r.score <= 1 for r in odd.collect())
