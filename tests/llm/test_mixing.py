@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections import defaultdict
+from statistics import median
 
 import pytest
 
@@ -54,7 +55,9 @@ def test_mix(spark, seed, count):
     for r in got:
         assert r.source_size == sizes[r.source] and math.isclose(r.target, wanted[r.source], rel_tol=1e-9, abs_tol=1e-6)
     for name, target in wanted.items():
-        assert abs(words[name] - target) <= max(2, 0.01 * target), (name, words[name], target)
+        # Copies are whole, so a source of a few documents may miss its target by less than half a usual document.
+        usual = median([r.size for r in got if r.source == name and r.size])
+        assert abs(words[name] - target) <= max(usual / 2 if count < 100 else 0, 0.01 * target), (name, words[name], target)
         # The rates solve the balancing problem: exponentially tilted, and their words meet the target.
         own = [r for r in got if r.source == name]
         assert math.isclose(sum(r.rate * r.size for r in own), target, rel_tol=1e-6, abs_tol=1e-6)
