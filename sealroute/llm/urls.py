@@ -76,7 +76,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise:
 
     listed = rules.select("*", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token"))
     wanted = listed.select("token").distinct()
-    counts = held.join(wanted, "token").groupBy("token").agg(F.sum("pages").alias("pages"))
+    # Counted before it is joined: a token of very many URLs is one row by then.
+    counts = held.groupBy("token").agg(F.sum("pages").alias("pages")).join(wanted, "token", "left_semi")
     names = [F.col(name) for name in rules.columns]
     index = listed.join(counts, "token", "left").groupBy(*names).agg(
         F.min(F.struct(F.coalesce("pages", F.lit(0)).alias("pages"), F.col("token"))).alias("rarest")).select(
