@@ -26,6 +26,7 @@ BUCKETS = 1 << 15
 TRAIN_ROWS, LANDMARKS = 1600, 96
 UNKNOWN = "und"
 _ROWS = 256
+_HASHES = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -106,10 +107,14 @@ def train_language(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel | N
     """
     attach(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    count = max(1, known.select("lang").distinct().count())
+    each = known.groupBy("lang").agg(F.count("*").alias("known"))
+    most = max(1, rows // max(1, each.count()))
+    # The smallest hashes of a language are among twice as many as are wanted, so few rows of it are ranked.
+    thinned = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES)).alias("rank")).join(
+        each, "lang").where(F.col("rank") * F.col("known") <= F.lit(2 * (most + 20) * _HASHES)).drop("known")
     by_hash = Window.partitionBy("lang").orderBy("rank", "doc_id")
-    chosen = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("rank")).distinct().withColumn(
-        "place", F.row_number().over(by_hash)).where(F.col("place") <= max(1, rows // count)).orderBy("place", "rank", "doc_id").limit(rows).drop("place")
+    placed = thinned.distinct().withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= most)
+    chosen = placed.orderBy("place", "rank", "doc_id").limit(rows).drop("place")
     texts = docs.select("doc_id", "lang", "text").where(F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
     found = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).select("rank", "lang", "text").mapInArrow(
         _pack, "rank bigint, lang string, packed binary").repartition(1).mapInArrow(
