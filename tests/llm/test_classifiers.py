@@ -57,6 +57,25 @@ def test_language_on_held_out_documents(spark, tables):
     assert kept.columns == tables["documents"].columns and kept.count() >= 0.99 * tables["documents"].count()
 
 
+def test_unlike_texts_are_not_identified(spark, tables):
+    source = random.Random(4)
+    gibberish = " ".join("".join(source.choices("abcdefghijklmnopqrstuvwxyz", k=source.randint(2, 9))) for _ in range(200))
+    unlike = [
+        gibberish, "".join(source.choices("0123456789abcdef", k=1500)),
+        "for (int i = 0; i < n; ++i) { std::vector<double> buf(n * sizeof(x)); if (!buf.empty()) printf(\"%d\", buf[i]->xyz_q); }",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."]
+    docs = tables["documents"]
+    added = spark.createDataFrame([(-1 - i, text) for i, text in enumerate(unlike)], "doc_id bigint, text string")
+    short = spark.createDataFrame([(-99, 'The of token = "dfd1944d2e84f15e89902e34b677eb5a8a7d42ab" that 7844238401328224 on the')], "doc_id bigint, text string")
+    got = {r.doc_id for r in language.identified(docs.unionByName(added.unionByName(short), allowMissingColumns=True)).select("doc_id").collect()}
+    assert not [unlike[-1 - key] for key in got if -99 < key < 0]
+    assert -99 in got and len(got) >= 0.99 * docs.count()
+    model = language.train_language(docs)
+    assert len(model.limits) == 4 and all(0.4 < limit < 0.75 for limit in model.limits)
+
+
 def test_language_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "abc", None), (None, "abc", "en")], "doc_id bigint, text string, lang string")
     model = language.train_language(docs)
