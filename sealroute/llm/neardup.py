@@ -20,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from sealroute.llm import sketch as S
-from sealroute.llm.common import keep, work
+from sealroute.llm.common import drop_clashes, keep, work
 from sealroute.llm.components import components
 
 #: Largest bucket whose pairs are all compared; a row then has at most this many partners.
@@ -180,13 +180,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def deduplicate(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
-    """One document of each group of near copies, with its columns as they were.
+    """One row of each group of near copies, with its columns as they were.
 
-    Rows that repeat an id are one document: the one with the smallest text stays. Rows without words all stay. Any
-    further columns pass through; ``kept_id`` is taken for the work and dropped.
+    Rows are compared whatever their ids: unrelated texts under one id, or under no id, all stay. Of a group the row
+    with the smallest id stays, one without an id only if no row of the group has any; of several rows with that id the
+    first read stays. Rows without words all stay. Any further columns pass through; ``kept_id`` is taken for the work
+    and dropped.
     """
-    verdict = near_duplicates(docs, width=width, percent=percent).where("kept").select(
-        F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["kept_id"])).withColumn(
-        "kept_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return rows.where((F.col("kept_id") == 1) | ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).drop("kept_id")
+    folder = work(docs, "dedup")
+    # A row's key must not change between the readings below, so it is written with the row.
+    rows = keep(drop_clashes(docs, "kept_id").withColumn("kept_id", F.monotonically_increasing_id()), folder, "rows")
+    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "kept_id").alias("key"), "text")
+    kept = near_duplicates(keyed, "key", width=width, percent=percent).where("kept").select("key.kept_id")
+    return rows.join(kept, "kept_id").drop("kept_id")

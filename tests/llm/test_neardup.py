@@ -93,6 +93,17 @@ def test_one_document_of_each_group_stays(spark):
         (2, "One two three four five"), (7, "-"), (7, "-"), (9, "another text")]
 
 
+def test_rows_are_chosen_by_row_and_not_by_id(spark):
+    rows = [(None, "apples are red and round"), (None, "zebras live far from here"), (None, "Zebras live far from here"),
+            (None, "under the same text here"), (8, "under the same text here"), (None, None), (3, "kept by the smaller id"),
+            (5, "kept by the smaller id"), (5, "quite another text than that")]
+    docs = spark.createDataFrame([(key, text, "en", "clash") for key, text in rows], SCHEMA)
+    got = neardup.deduplicate(docs).collect()
+    assert sorted(((r.doc_id, (r.text or "-").lower()) for r in got), key=str) == sorted([
+        (None, "apples are red and round"), (None, "zebras live far from here"), (8, "under the same text here"), (None, "-"),
+        (3, "kept by the smaller id"), (5, "quite another text than that")], key=str)
+
+
 def test_sketches_estimate_similarity():
     source = np.random.default_rng(5)
     base = source.integers(0, 2**63, 900, dtype=np.int64).astype(np.uint64)
