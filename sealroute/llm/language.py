@@ -134,21 +134,23 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train_language(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel | None:
     """Learn from texts with a language outside the held-out part: as many of each language, at most ``rows`` in all.
 
-    Documents are picked by the hash of their id and need a letter. None if there are none. Of more than ``rows``
-    languages only as many are learned.
+    Documents need a letter and are picked by the hash of their id; an id's different texts count each. None if there
+    are none. Of more than ``rows`` languages only as many are learned.
     """
     attach(docs.sparkSession)
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    each = known.groupBy("lang").agg(F.count("*").alias("known"))
+    texts = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("print")).where(
+        F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
+    known = texts.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    each = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("known"))
     most = max(1, rows // max(1, each.count()))
-    # The smallest hashes of a language are among twice as many as are wanted, so few rows of it are ranked.
-    thinned = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES)).alias("rank")).join(
+    # The smallest hashes of a language are among twice as many as are wanted, so few ids of it are ranked.
+    thinned = known.select("doc_id", "lang", "print", F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES)).alias("rank")).join(
         each, "lang").where(F.col("rank") * F.col("known") <= F.lit(2 * (most + 20) * _HASHES)).drop("known")
-    by_hash = Window.partitionBy("lang").orderBy("rank", "doc_id")
+    by_hash = Window.partitionBy("lang").orderBy("rank", "doc_id", "print")
     placed = thinned.distinct().withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= most)
     chosen = placed.orderBy("place", "rank", "doc_id").limit(rows).drop("place")
-    texts = docs.select("doc_id", "lang", "text").where(F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
-    found = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).select("rank", "lang", "text").mapInArrow(
+    found = texts.join(F.broadcast(chosen), ["doc_id", "lang", "print"]).dropDuplicates(["doc_id", "lang", "print"]).select(
+        "rank", "lang", "text").mapInArrow(
         _pack, "rank bigint, lang string, packed binary").repartition(1).mapInArrow(
         _solve, "languages array<string>, columns binary, landmarks binary, sizes binary, weights binary, held binary, "
         "limits binary").collect()

@@ -76,6 +76,17 @@ def test_unlike_texts_are_not_identified(spark, tables):
     assert len(model.limits) == 4 and all(0.4 < limit < 0.75 for limit in model.limits)
 
 
+def test_languages_of_few_ids_and_of_letterless_rows_are_learned(spark):
+    rows = [(key, f"the words of {key}", "en") for key in range(400)]
+    rows += [(1000 + i % 3, f"zwölf wörter über {i}", "de") for i in range(2000)]
+    rows += [(key, None if key % 2 else "123", "fr") for key in range(2000, 2300)] + [(key, "été où ça", "fr") for key in range(2300, 2308)]
+    model = language.train_language(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), rows=12)
+    assert model.languages == ("de", "en", "fr") and len(model.landmarks) == 12
+    again = [(8, "one and the same", "en")] * 500 + [(9, "ein anderer Text", "de")]
+    model = language.train_language(spark.createDataFrame(again, "doc_id bigint, text string, lang string"), rows=12)
+    assert model.languages == ("de", "en") and len(model.landmarks) == 2
+
+
 def test_language_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "abc", None), (None, "abc", "en")], "doc_id bigint, text string, lang string")
     model = language.train_language(docs)
