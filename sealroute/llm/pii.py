@@ -185,7 +185,7 @@ def without_personal_data(docs: DataFrame) -> DataFrame:
 
     text = F.col("text")
     steps = [(0, "@", lambda value: F.lit(True)), (3, "[+]", lambda value: F.length(digits(value)).between(10, 15)),
-             (2, "[0-9]{2}", lambda value: F.when(F.length(digits(value)).between(14, 19), luhn(digits(value))).otherwise(False)),
+             (2, "[0-9][ -]?[0-9]", lambda value: F.when(F.length(digits(value)).between(14, 19), luhn(digits(value))).otherwise(False)),
              (1, r"[0-9]\.[0-9]", lambda value: F.rlike(value, F.lit(rf"\A{_BYTE}(?:\.{_BYTE}){{3}}\z")))]
     rows = rows.withColumn("pii_text", text)
     for kind, sign, hide in steps:

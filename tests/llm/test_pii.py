@@ -82,3 +82,9 @@ def test_masking_keeps_columns_rows_and_clean_texts(spark):
     assert by_id[1].text == "<EMAIL>, <PHONE>, <CARD>, <IP>, 300.1.1.1" and by_id[1].n_chars == len(by_id[1].text)
     assert by_id[2].text is None and by_id[3].text == "clean 12" and by_id[3].n_chars == 8 and by_id[4].text == "<EMAIL> " * 3000
     assert pii.without_personal_data(frame.limit(0)).collect() == []
+
+
+def test_cards_of_parted_digits_are_masked(spark):
+    rows = [(1, "pay 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1 now"), (2, "pay 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 now"), (3, "1-2 and 3")]
+    got = pii.without_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == {1: "pay <CARD> now", 2: "pay <CARD> now", 3: "1-2 and 3"}
