@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from sealroute.llm import sketch as S
 from sealroute.llm.common import drop_clashes, keep, work
@@ -60,14 +59,6 @@ def _full_sets(width: int):
     return measure.asNondeterministic()
 
 
-@F.arrow_udf(DoubleType())
-def _agreement(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Share of equal coordinates of two sketches."""
-    shares = [float(np.mean(np.frombuffer(a.as_py(), np.uint32) == np.frombuffer(b.as_py(), np.uint32)))
-              for a, b in zip(left, right)]
-    return pa.array(shares, pa.float64())
-
-
 def _buckets(classes: DataFrame) -> DataFrame:
     """(bucket, digest, n, members, center) of every class in a bucket that it shares."""
     step = 4 * S.BAND
@@ -77,19 +68,14 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return rows.join(shared, "bucket")
 
 
-def _small_pairs(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of small buckets whose sketches do not rule the link out (the estimate is five deviations below)."""
+def _small_pairs(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of small buckets whose sizes do not rule the link out."""
     rows = buckets.where(F.col("members") <= SMALL)
     left = rows.select("bucket", F.col("digest").alias("u"), F.col("n").alias("un"))
     right = rows.select("bucket", F.col("digest").alias("v"), F.col("n").alias("vn"))
-    pairs = left.join(right, "bucket").where(
+    return left.join(right, "bucket").where(
         (F.col("u") < F.col("v")) & (100 * F.col("un") >= percent * F.col("vn"))
         & (100 * F.col("vn") >= percent * F.col("un"))).select("u", "v").distinct()
-    share = percent / 100
-    least = share - 5 * (share * (1 - share) / S.SIZE) ** 0.5
-    one = classes.select(F.col("digest").alias("u"), F.col("sketch").alias("us"))
-    two = classes.select(F.col("digest").alias("v"), F.col("sketch").alias("vs"))
-    return pairs.join(one, "u").join(two, "v").where(_agreement("us", "vs") >= least).select("u", "v")
 
 
 def _differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -150,7 +136,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes = keep(measured.where("n > 0").groupBy("digest").agg(
         F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), folder, "classes")
     buckets = keep(_buckets(classes), folder, "buckets")
-    small = keep(_small_pairs(buckets, classes, percent), folder, "small")
+    small = keep(_small_pairs(buckets, percent), folder, "small")
     groups = keep(buckets.where(F.col("members") > SMALL).select("center", "digest", "n").distinct(), folder, "groups")
 
     wanted = small.select(F.col("u").alias("digest")).unionByName(small.select(F.col("v").alias("digest"))).unionByName(

@@ -104,6 +104,14 @@ def test_rows_are_chosen_by_row_and_not_by_id(spark):
         (3, "kept by the smaller id"), (5, "quite another text than that")], key=str)
 
 
+def test_every_pair_of_a_small_bucket_is_confirmed(spark):
+    """Sizes may rule a pair out, an estimate may not."""
+    rows = [(7, b"a", 10), (7, b"b", 9), (7, b"c", 7), (8, b"a", 10), (8, b"d", 8)]
+    buckets = spark.createDataFrame([(*row, 3) for row in rows], "bucket bigint, digest binary, n bigint, members bigint")
+    found = neardup._small_pairs(buckets, 80).collect()
+    assert sorted((bytes(r.u), bytes(r.v)) for r in found) == [(b"a", b"b"), (b"a", b"d")]
+
+
 def test_sketches_estimate_similarity():
     source = np.random.default_rng(5)
     base = source.integers(0, 2**63, 900, dtype=np.int64).astype(np.uint64)
