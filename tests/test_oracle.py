@@ -41,7 +41,7 @@ def test_query_equals_sql(spark, duck, name):
     assert len(got[1]) == len(expected[1])
     wrong = [pair for pair in zip(got[1], expected[1]) if pair[0] != pair[1]]
     assert not wrong, f"{len(wrong)} rows differ, first: {str(wrong[0])[:2000]}"
-    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
     types = {column[0]: str(column[1]) for column in result.description}
     assert {column: kinds[kind] for column, kind in frame.dtypes} == types
 
