@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealroute.llm import chat, decontaminate, language, lines, mixing, neardup, pii, quality, toxicity, urls
+from sealroute.llm import (
+    chat, decontaminate, language, lines, merkle, mixing, neardup, pii, quality, toxicity, urls, whitening,
+)
 from sealroute.llm.common import documents, held_out, keep, table, work
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +85,17 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_rules(documents(spark, sf_dir, "doc_id", "source", "text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    docs = documents(spark, sf_dir, *merkle.FIELDS)
+    return merkle.manifest(docs, {"text": F.when(chosen, merkle.lower_ascii(text)).otherwise(text)})
+
+
 #: The first and the second half of a URL's rule, as `urls.SITE_RULES` has them.
 _RULES = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in urls.SITE_RULES)
 
@@ -197,6 +210,59 @@ failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base
 SELECT *, NOT base_failed AND n_words - n_line_words >= 0.2 * n_words AS kept FROM failed
 """
 
+_VALUE = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_VALUE.format(name) for name in ("doc_id", "source", "lang", "n_chars")) + " || {})"
+#: A bit of CRC-32, and a byte of it.
+_CRC_BIT = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_CRC32 = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({{}}::VARCHAR, ''), lambda b: ascii(b)::BIGINT)),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda c, i: {_CRC_BIT})), 4294967295::BIGINT)"""
+
+OP13_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, {_LEAF.format(_VALUE.format("text"))} AS h,
+    CASE WHEN {_CRC32.format("doc_id")} % 5 = 0 THEN {_LEAF.format(_VALUE.format(_ASCII_LOWER.format("text")))}
+      ELSE {_LEAF.format(_VALUE.format("text"))} END AS seen
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS place,
+    count(*) OVER (PARTITION BY source) AS n FROM leaves),
+nodes(source, level, place, n, h) AS (
+  SELECT source, 0, place, n, h FROM placed
+  UNION ALL SELECT source, level + 1, place // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY place))
+  FROM nodes WHERE n > 1 GROUP BY source, level, place // 16, n),
+subroots AS (
+  SELECT source, h, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS place, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+tops(level, place, n, h) AS (
+  SELECT 0, place, n, h FROM subroots
+  UNION ALL SELECT level + 1, place // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY place))
+  FROM tops WHERE n > 1 GROUP BY level, place // 16, n),
+beside AS (
+  SELECT a.source, a.level, a.place, coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS before,
+    coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS after
+  FROM nodes a JOIN nodes b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.place // 16 = b.place // 16
+  WHERE a.n > 1 GROUP BY ALL),
+above AS (
+  SELECT a.level, a.place, coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS before,
+    coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS after
+  FROM tops a JOIN tops b ON a.level = b.level AND a.place // 16 = b.place // 16 WHERE a.n > 1 GROUP BY ALL),
+climbed(doc_id, source, h, level, place, n, proof, folded) AS (
+  SELECT doc_id, source, h, 0, place, n, '', seen FROM placed
+  UNION ALL SELECT c.doc_id, c.source, c.h, c.level + 1, c.place // 16, (c.n + 15) // 16, c.proof || b.before || b.after,
+    sha256(b.before || c.folded || b.after)
+  FROM climbed c JOIN beside b ON c.source IS NOT DISTINCT FROM b.source AND c.level = b.level AND c.place = b.place
+  WHERE c.n > 1),
+reached(doc_id, h, subroot, level, place, n, proof, folded) AS (
+  SELECT c.doc_id, c.h, s.h, 0, s.place, s.n, c.proof, c.folded
+  FROM climbed c JOIN subroots s ON c.source IS NOT DISTINCT FROM s.source WHERE c.n = 1
+  UNION ALL SELECT r.doc_id, r.h, r.subroot, r.level + 1, r.place // 16, (r.n + 15) // 16, r.proof || a.before || a.after,
+    sha256(a.before || r.folded || a.after)
+  FROM reached r JOIN above a ON r.level = a.level AND r.place = a.place WHERE r.n > 1)
+SELECT r.doc_id, r.h AS leaf, r.subroot, t.h AS root, sha256(r.proof) AS proof_sha256, r.folded AS folded_root,
+  r.folded = t.h AS verified
+FROM reached r CROSS JOIN (SELECT h FROM tops WHERE n = 1) t WHERE r.n = 1
+"""
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_chat_formatting": (op1_chat_formatting, OP1_SQL),
     "op2_decontamination": (op2_decontamination, OP2_SQL),
@@ -208,4 +274,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_mixing": (op8_mixing, None),
     "op9_near_duplicates": (op9_near_duplicates, OP9_SQL),
     "op10_line_rules": (op10_line_rules, OP10_SQL),
+    "op11_whitening": (op11_whitening, None),
+    "op13_merkle_manifest": (op13_merkle_manifest, OP13_SQL),
 }
