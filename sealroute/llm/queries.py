@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealroute.llm import (
-    chat, decontaminate, language, lines, merkle, mixing, neardup, pii, quality, toxicity, urls, whitening,
+    chat, decontaminate, language, lines, merkle, mixing, neardup, pii, quality, repeats, toxicity, urls, whitening,
 )
 from sealroute.llm.common import documents, held_out, keep, table, work
 
@@ -89,6 +89,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -275,5 +280,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op9_near_duplicates": (op9_near_duplicates, OP9_SQL),
     "op10_line_rules": (op10_line_rules, OP10_SQL),
     "op11_whitening": (op11_whitening, None),
+    "op12_repeats": (op12_repeats, None),
     "op13_merkle_manifest": (op13_merkle_manifest, OP13_SQL),
 }
