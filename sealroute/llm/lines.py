@@ -1,7 +1,7 @@
 """Quality rules: repetition inside a text, and lines that many documents of a host share.
 
-A line counts once a document; lines of a host in more documents than the host's limit are removed, and documents that
-are left with too little are rejected. Counts are combined before they are shuffled, and a line's key is a hash of host
+A line counts once a document; lines in more documents of a host than the limit are removed, and documents that are
+left with too little are rejected. Counts are combined before they are shuffled, and a line's key is a hash of host
 and normalised line, so a common line is one counter and not a group of rows.
 """
 
@@ -15,9 +15,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sealroute.llm.common import drop_clashes, keep, work
+from sealroute.llm.common import carried, keep, new_length, restored, work
 from sealroute.llm.sketch import word_hashes
+from sealroute.operators.keyed import attach_exceptions
 
+#: Documents of a host that may share a line, and the share of a document's words that must be left.
+LEAST, REMAINING = 8, 0.5
 SYMBOLS = b"#*$%&|<>"
 _SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
@@ -85,34 +88,42 @@ def line_key(host: Column, line: Column) -> Column:
     return F.xxhash64(host.isNull(), F.coalesce(host, F.lit("")), line)
 
 
-def common_lines(rows: DataFrame, least: int, percent: float) -> DataFrame:
-    """Keys of the lines that more than ``least`` documents of their host hold, and more than ``percent`` of them.
+def common_lines(rows: DataFrame, least: int) -> DataFrame:
+    """Keys of the lines that more than ``least`` different documents of their host hold.
 
-    ``rows`` has host and lines, a row a document.
+    ``rows`` has row, id, host and lines. Rows of one id are one document; a row without an id is a document of its
+    own. Ids that stand on several rows are few as a rule: only their lines are made distinct before they are counted,
+    spread by line and id, so neither a common line nor a common id is one task's.
     """
-    sizes = rows.groupBy("host").agg(F.count("*").alias("documents"))
-    counts = rows.select("host", F.explode("lines.line").alias("line")).groupBy(
-        line_key(F.col("host"), F.col("line")).alias("key"), "host").agg(F.count("*").alias("held")).where(F.col("held") > least)
-    found = counts.join(sizes.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
-    return found.where(100 * F.col("held") > percent * F.col("documents")).select("key")
+    repeated = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    marked = attach_exceptions(rows, repeated, "id", "row")
+    lines = marked.select(F.explode("lines.line").alias("line"), "host", F.when(F.col("n") > 1, F.col("id")).alias("id"))
+    keys = lines.select(line_key(F.col("host"), F.col("line")).alias("key"), "id")
+    once = keys.where("id is null").select("key")
+    shared = keys.where("id is not null").distinct().select("key")
+    return once.unionAll(shared).groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > least).select("key")
 
 
-def line_rules(docs: DataFrame, host: str = "source", least: int = 50, percent: float = 1.0,
-               remaining: float = 0.2) -> DataFrame:
+def _held(rows: DataFrame) -> DataFrame:
+    return rows.select("row", F.explode("lines").alias("one"), "host").select(
+        "row", line_key(F.col("host"), F.col("one.line")).alias("key"), "one.*")
+
+
+def line_rules(docs: DataFrame, host: str = "source", least: int = LEAST, remaining: float = REMAINING) -> DataFrame:
     """(doc_id, counts, base_failed, n_line_words, kept) of every document.
 
-    A line is removed if more than ``least`` documents of its host hold it and more than ``percent`` of the host's
-    documents do; n_line_words are the words in such lines. A document is rejected if base_failed (under 50 words, or
-    more than half of them in repeated 3-word windows) or if less than ``remaining`` of its words are left. Null and
-    empty texts have no words and fail; a null host is a host of its own; repeated rows count each.
+    A line is removed if more than ``least`` documents of its host hold it, whatever the host's size; n_line_words are
+    the words in such lines. A document is rejected if base_failed (under 50 words, or more than half of them in
+    repeated 3-word windows) or if less than ``remaining`` of its words are left. Null and empty texts have no words
+    and fail; a null host is a host of its own. Rows that repeat an id are one document where documents are counted,
+    and are judged each by its own text; a row without an id counts as one document.
     """
     folder = work(docs, "lines")
     rows = keep(docs.select("doc_id", F.col(host).cast("string").alias("host"), "text").withColumn(
         "row", F.monotonically_increasing_id()).withColumn("m", _measured()).select("row", "doc_id", "host", "m.*"),
         folder, "measured")
-    held = rows.select("row", F.explode("lines").alias("one"), "host").select(
-        "row", line_key(F.col("host"), F.col("one.line")).alias("key"), F.col("one.words").alias("words"))
-    removed = held.join(common_lines(rows, least, percent), "key").groupBy("row").agg(F.sum("words").alias("n_line_words"))
+    common = common_lines(rows.select("row", F.col("doc_id").alias("id"), "host", "lines"), least)
+    removed = _held(rows).join(common, "key").groupBy("row").agg(F.sum("words").alias("n_line_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = rows.join(removed, "row", "left").withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0).cast("bigint")))
     out = out.withColumn("base_failed", failed).withColumn(
@@ -120,17 +131,15 @@ def line_rules(docs: DataFrame, host: str = "source", least: int = 50, percent:
     return out.select("doc_id", *RESULTS)
 
 
-def without_common_lines(docs: DataFrame, host: str = "source", least: int = 50, percent: float = 1.0,
-                         remaining: float = 0.2) -> DataFrame:
+def without_common_lines(docs: DataFrame, host: str = "source", least: int = LEAST, remaining: float = REMAINING) -> DataFrame:
     """The documents that the rules keep, without the removed lines; same columns (``n_chars`` counted anew)."""
     folder = work(docs, "common-lines")
-    marked = drop_clashes(docs, "row", "m", "gone").withColumn("row", F.monotonically_increasing_id()).withColumn("m", _measured())
-    rows = keep(marked, folder, "rows")
-    of = F.col(host).cast("string")
-    keys = common_lines(rows.select(of.alias("host"), F.col("m.lines").alias("lines")), least, percent)
-    held = rows.select("row", F.explode("m.lines").alias("one"), of.alias("host")).select(
-        "row", line_key(F.col("host"), F.col("one.line")).alias("key"), "one.*")
-    gone = held.join(keys, "key").groupBy("row").agg(F.collect_list("line").alias("gone"), F.sum("words").alias("gone_words"))
+    needed = tuple(dict.fromkeys(("doc_id", host, "text")))
+    rows = carried(docs, *needed).withColumn("row", F.monotonically_increasing_id()).withColumn("m", _measured())
+    rows = keep(rows, folder, "rows")
+    found = rows.select("row", F.col("doc_id").alias("id"), F.col(host).cast("string").alias("host"), "m.lines")
+    gone = _held(found).join(common_lines(found, least), "key").groupBy("row").agg(
+        F.collect_list("line").alias("gone"), F.sum("words").alias("gone_words"))
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, lines: pa.Array) -> pa.Array:
@@ -146,7 +155,6 @@ def without_common_lines(docs: DataFrame, host: str = "source", least: int = 50,
     words, again = F.col("m.n_words"), F.col("m.n_repeat_words")
     left = words - F.coalesce("gone_words", F.lit(0))
     kept = rows.join(gone, "row", "left").where((words >= 50) & (100 * again <= 50 * words) & (left >= remaining * words))
-    out = kept.withColumn("text", cut("text", "gone"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*[name for name in docs.columns if name.lower() not in ("row", "m", "gone")])
+    out = kept.withColumn("cut", cut("text", "gone"))
+    length = new_length(F.col("gone").isNotNull(), F.col("cut"), docs.columns)
+    return out.select(*restored(docs.columns, needed, text=F.col("cut"), **length))

@@ -201,18 +201,18 @@ lines AS (
   SELECT doc_id, source, line, {_PLAIN_WORDS.format("line")} AS held,
     array_to_string({_PLAIN_WORDS.format(_ASCII_LOWER.format("line"))}, ' ') AS norm FROM split),
 copies AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE len(held) > 0 GROUP BY doc_id),
-sizes AS (SELECT source, count(*) AS documents FROM docs GROUP BY source),
 common AS (
-  SELECT source, norm FROM lines JOIN sizes USING (source) WHERE len(held) > 0
-  GROUP BY source, norm, documents HAVING count(DISTINCT doc_id) > 50 AND 100 * count(DISTINCT doc_id) > documents),
-gone AS (SELECT doc_id, sum(len(held)) AS n FROM lines SEMI JOIN common USING (source, norm) GROUP BY doc_id),
+  SELECT source, norm FROM lines WHERE len(held) > 0 GROUP BY source, norm
+  HAVING count(DISTINCT doc_id) + count(*) FILTER (doc_id IS NULL) > {lines.LEAST}),
+gone AS (SELECT doc_id, sum(len(held)) AS n FROM lines l SEMI JOIN common c
+  ON l.source IS NOT DISTINCT FROM c.source AND l.norm = c.norm GROUP BY doc_id),
 counted AS (
   SELECT d.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(c.n, 0) AS n_dup_lines,
     coalesce(r.n, 0) AS n_repeat_words, coalesce(g.n, 0)::BIGINT AS n_line_words
   FROM docs d LEFT JOIN copies c USING (doc_id) LEFT JOIN repeated r USING (doc_id) LEFT JOIN gone g USING (doc_id)),
 failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
-SELECT *, NOT base_failed AND n_words - n_line_words >= 0.2 * n_words AS kept FROM failed
+SELECT *, NOT base_failed AND n_words - n_line_words >= {lines.REMAINING} * n_words AS kept FROM failed
 """
 
 _VALUE = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR, '-')"

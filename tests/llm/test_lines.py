@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 from sealroute.llm import lines
 
@@ -30,10 +30,12 @@ def normal(line):
     return " ".join(WORD.findall("".join(c.lower() if c < "\x80" else c for c in line)))
 
 
-def expected(rows, least, percent, remaining):
-    sizes = Counter(host for _, _, host in rows)
-    held = Counter((host, line) for _, text, host in rows for line in {normal(one) for one in (text or "").split("\n") if WORD.search(one)})
-    common = {(host, line) for (host, line), count in held.items() if count > least and 100 * count > percent * sizes[host]}
+def expected(rows, least, remaining):
+    held = defaultdict(set)
+    for row, (key, text, host) in enumerate(rows):
+        for line in {normal(one) for one in (text or "").split("\n") if WORD.search(one)}:
+            held[host, line].add(("row", row) if key is None else ("id", key))
+    common = {place for place, documents in held.items() if len(documents) > least}
     out = []
     for key, text, host in rows:
         found = base(text)
@@ -63,8 +65,8 @@ def result(spark, rows, **options):
 
 def test_random_lines(spark):
     rows = grown(1)
-    want = expected(rows, 20, 5.0, 0.5)
-    assert result(spark, rows, least=20, percent=5.0, remaining=0.5) == want
+    want = expected(rows, 20, 0.5)
+    assert result(spark, rows, least=20, remaining=0.5) == want
     assert {row[-1] for row in want} == {True, False} and any(row[-1] is False and not row[-2 - 1] for row in want)
 
 
@@ -72,10 +74,29 @@ def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, None, "a"), (2, "", None), (3, " \n\t", "a"), (None, "x y", "a"), (4, long, "a"), (4, long, "a"), (5, "z " * 50_000, "a"),
             (6, "one\n" * 5000, "a"), (7, "a b c a b c", None)]
-    assert result(spark, rows) == expected(rows, 50, 1.0, 0.2)
+    assert result(spark, rows) == expected(rows, lines.LEAST, lines.REMAINING)
     assert result(spark, []) == []
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    body = " ".join(f"w{i}" for i in range(60))
+    same = [(1, f"one line\n{body}", "a")] * 60
+    assert {row[-2] for row in result(spark, same, least=5)} == {0}
+    apart = same + [(key, f"one line\n{body}", "a") for key in range(10, 15)]
+    assert result(spark, apart, least=5) == expected(apart, 5, 0.5)
+    assert {row[-2] for row in result(spark, apart, least=5)} == {62}
+    unnamed = [(None, f"own {key}\none line\n{body} {key}", None) for key in range(40)] + [(None, "one line", "a")]
+    assert result(spark, unnamed, least=30) == expected(unnamed, 30, 0.5)
+    assert {row[-2] for row in result(spark, unnamed, least=30)} == {0, 2}
+
+
+def test_registered_query_removes_lines(spark):
+    from sealroute.llm.queries import QUERIES
+
+    rows = QUERIES["op10_line_rules"][0](spark, "/root/testdata/sf0.01").collect()
+    assert sum(row.n_line_words > 0 for row in rows) > 20
+
+
 def test_common_lines_are_cut(spark):
     own = [" ".join(f"d{key}x{i}" for i in range(60)) for key in range(12)]
     rows = [(key, f"Menu of home\n{own[key]}\nMENU  of home", "h", 1, "clash") for key in range(12)]
