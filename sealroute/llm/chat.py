@@ -95,13 +95,14 @@ def render(examples: DataFrame, turns: DataFrame) -> DataFrame:
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of each conversation's turns, which come one after the other; one row is held at a time."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    kinds = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], names)
 
     current, state, done = None, None, []
     for batch in batches:
+        kinds[0] = batch.schema.field("conv_id").type
         columns = [batch.column(name).to_pylist() for name in ("conv_id", "piece", "start", "loss_start", "loss_stop")]
         for conv, piece, start, begin, stop in zip(*columns):
             if state is None or conv != current:
@@ -135,6 +136,7 @@ def digests(turns: DataFrame, examples: DataFrame) -> DataFrame:
                             F.col("loss_start").alias("mask_start"), F.col("loss_stop").alias("mask_stop"))
     read = turns.join(masks, F.col("conv_id").eqNullSafe(F.col("of_conv")) & (F.col("start") == F.col("of_start")), "left")
     rows = read.select("conv_id", "piece", "start", F.col("mask_start").alias("loss_start"), F.col("mask_stop").alias("loss_stop"))
+    kind = turns.schema["conv_id"].dataType.simpleString()
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "start").mapInArrow(
-        _digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
+        _digest, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
                  "formatted_chars bigint, n_examples bigint")
