@@ -100,11 +100,18 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sampled(labelled: DataFrame, docs: DataFrame, label: str, rows: int) -> DataFrame:
-    """(rank, label, text) of at most ``rows`` labelled documents of the training part, by the hash of their id."""
-    chosen = labelled.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
+    """(rank, label, text) of at most ``rows`` labelled texts of the training part, by the hash of their id.
+
+    An id's different texts count each, so repeated ids do not widen the sample.
+    """
+    ids = labelled.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
         "doc_id", F.xxhash64("doc_id").alias("rank"), F.col(label).cast("int").alias("label")).distinct().orderBy(
         "rank", "doc_id", "label").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("rank", "label", "text")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("print"))
+    narrow = texts.drop("text").join(F.broadcast(ids), "doc_id").distinct()
+    chosen = narrow.orderBy("rank", "doc_id", "label", "print").limit(rows)
+    return texts.join(F.broadcast(chosen), ["doc_id", "print"]).dropDuplicates(["doc_id", "label", "print"]).select(
+        "rank", "label", "text")
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> QualityModel:
