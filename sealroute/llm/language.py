@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealroute.llm import features as X
-from sealroute.llm.common import attach, drop_clashes, held_out
+from sealroute.llm.common import attach, carried, drop_clashes, held_out, keep, restored, work
+from sealroute.operators.keyed import fits_broadcast
 
 LONGEST = 3
 BUCKETS = 1 << 15
@@ -141,8 +142,10 @@ def train_language(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel | N
     texts = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("print")).where(
         F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
     known = texts.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    each = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("known"))
+    each = keep(known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("known")), work(docs, "language"), "each")
     most = max(1, rows // max(1, each.count()))
+    # Beside a table that was checked to be small the ids are thinned where they are read; they meet by language after.
+    each = F.broadcast(each) if fits_broadcast(each) else each
     # The smallest hashes of a language are among twice as many as are wanted, so few ids of it are ranked.
     thinned = known.select("doc_id", "lang", "print", F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES)).alias("rank")).join(
         each, "lang").where(F.col("rank") * F.col("known") <= F.lit(2 * (most + 20) * _HASHES)).drop("known")
@@ -225,6 +228,6 @@ def identified(docs: DataFrame, least: float = 0.1) -> DataFrame:
     They have a letter, a score from ``least`` on, and are like their language: ``LIKE`` times the likeness that all
     but ``RARE`` of the language's training texts reach. A language with one training text rejects nothing as unlike.
     """
-    found = _predicted(docs, train_language(docs)).where(
+    found = _predicted(carried(docs, "text"), train_language(docs)).where(
         (F.col("lang_pred.lang") != UNKNOWN) & (F.col("lang_pred.score") >= least) & F.col("lang_pred.alike"))
-    return _named(found).select(*docs.columns)
+    return found.select(*restored(docs.columns, ("text",)))
