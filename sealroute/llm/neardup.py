@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealroute.llm import sketch as S
-from sealroute.llm.common import drop_clashes, keep, work
+from sealroute.llm.common import carried, keep, restored, work
 from sealroute.llm.components import components
 
 #: Largest bucket whose pairs are all compared; a row then has at most this many partners.
@@ -132,19 +132,23 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     folder = work(docs, "neardup")
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    measured = keep(rows.select("id", _sketches(width)("text").alias("m")).select("id", "m.*"), folder, "measured")
+    # Texts are found again by two hashes of theirs: an id may stand on any number of rows.
+    place = F.struct(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    measured = keep(rows.select("id", place.alias("place"), _sketches(width)("text").alias("m")).select(
+        "id", "place", "m.*"), folder, "measured")
     classes = keep(measured.where("n > 0").groupBy("digest").agg(
-        F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), folder, "classes")
+        F.min("id").alias("id"), F.min("place").alias("place"), F.any_value("n").alias("n"),
+        F.any_value("sketch").alias("sketch")), folder, "classes")
     buckets = keep(_buckets(classes), folder, "buckets")
     small = keep(_small_pairs(buckets, percent), folder, "small")
     groups = keep(buckets.where(F.col("members") > SMALL).select("center", "digest", "n").distinct(), folder, "groups")
 
     wanted = small.select(F.col("u").alias("digest")).unionByName(small.select(F.col("v").alias("digest"))).unionByName(
         groups.select("digest")).distinct()
-    sources = classes.join(wanted, "digest").select("id", F.col("digest").alias("wanted"))
-    sets = keep(rows.join(sources, rows["id"].eqNullSafe(sources["id"])).select(
-        "wanted", _full_sets(width)("text").alias("s")).where("wanted = s.digest").select("s.*").dropDuplicates(
-        ["digest"]), folder, "sets")
+    sources = classes.join(wanted, "digest").select("place.*")
+    texts = rows.select("text", place.alias("place")).select("text", "place.*").join(sources, ["k1", "k2"], "left_semi")
+    once = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    sets = keep(once.select(_full_sets(width)("text").alias("s")).select("s.*"), folder, "sets")
 
     sure, indexed = _large_pairs(keep(_differences(groups, sets), folder, "differences"), percent)
     pairs = small.unionByName(sure).unionByName(indexed).distinct()
@@ -170,12 +174,12 @@ def deduplicate(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame
 
     Rows are compared whatever their ids: unrelated texts under one id, or under no id, all stay. Of a group the row
     with the smallest id stays, one without an id only if no row of the group has any; of several rows with that id the
-    first read stays. Rows without words all stay. Any further columns pass through; ``kept_id`` is taken for the work
-    and dropped.
+    first read stays. Rows without words all stay. Any further columns pass through.
     """
     folder = work(docs, "dedup")
     # A row's key must not change between the readings below, so it is written with the row.
-    rows = keep(drop_clashes(docs, "kept_id").withColumn("kept_id", F.monotonically_increasing_id()), folder, "rows")
+    needed = ("doc_id", "text")
+    rows = keep(carried(docs, *needed).withColumn("kept_id", F.monotonically_increasing_id()), folder, "rows")
     keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "kept_id").alias("key"), "text")
     kept = near_duplicates(keyed, "key", width=width, percent=percent).where("kept").select("key.kept_id")
-    return rows.join(kept, "kept_id").drop("kept_id")
+    return rows.join(kept, "kept_id").select(*restored(docs.columns, needed))
