@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealroute.llm.automaton import Automaton, words
-from sealroute.llm.common import drop_clashes, keep, work
+from sealroute.llm.common import carried, drop_clashes, keep, new_length, restored, work
 
 #: Item words in one automaton: about 100 MB in a Python worker.
 BLOCK_WORDS = 100_000
@@ -121,9 +121,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, perce
 
     ``n_chars`` is counted anew where a span was cut.
     """
-    kept = find_contamination(docs, benchmark, window, percent).where("not contaminated")
+    kept = find_contamination(carried(docs, "text"), benchmark, window, percent).where("not contaminated")
     cut = F.when(F.col("n_hit") > 0, without_spans("text", "hits", least)).otherwise(F.col("text"))
-    out = kept.withColumn("text", cut)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    length = new_length(F.col("n_hit") > 0, F.col("text"), docs.columns)
+    return kept.withColumn("text", cut).select(*restored(docs.columns, ("text",), **length))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealroute.llm.common import drop_clashes, keep, work
+from sealroute.llm.common import carried, drop_clashes, keep, restored, work
 
 WEIGHTS = (5, 2, 1)
 #: Most words that a source's target or a document may have, as a multiple of its own.
@@ -112,13 +112,14 @@ def _round(groups: DataFrame, folder: str, limit: int) -> DataFrame:
 def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """Every row with source_size, target, rate, copies and taken (words: copies times size).
 
-    ``sized`` has doc_id, source and size; further columns pass through, those with the name of a result or beginning
-    with ``mix_`` are replaced. Documents without words count as size 0; a null source is a source of its own, the last.
+    ``sized`` has doc_id, source and size; further columns pass through, those with the name of a result are replaced.
+    Documents without words count as size 0; a null source is a source of its own, the last.
     Repeated rows share a source's copies as other documents do. Without any word every target is 0.
     """
     folder = work(sized, "mixing")
-    own = [name for name in RESULTS if name != "size"]
-    rows = drop_clashes(sized, *own, "mix_source", "mix_cell", "mix_rank").withColumn(
+    needed = ("doc_id", "source", "size")
+    names = drop_clashes(sized, *[name for name in RESULTS if name != "size"]).columns
+    rows = carried(sized.select(*[F.col(f"`{name}`") for name in names]), *needed).withColumn(
         "mix_source", F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source"))).withColumn(
         "mix_cell", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)))
     cells = keep(rows.groupBy("source", *_KEYS, "mix_cell").agg(F.count("*").alias("n")), folder, "cells")
@@ -140,11 +141,14 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT
     extra = (F.col("mix_before") + F.col("mix_rank") <= F.col("given") % F.col("n")).cast("bigint")
     out = ranked.join(shares, [*_KEYS, "mix_cell"]).withColumn(
         "copies", F.floor(F.col("given") / F.col("n")) + extra).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("mix_source", "mix_cell", "mix_rank", "mix_before", "given", "n")
+    return out.select(*restored(names, needed), *[name for name in RESULTS if name != "size"])
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """The documents that the mix takes, with copies beside their own columns."""
-    sized = keep(drop_clashes(docs, *RESULTS).withColumn("size", word_count("text")), work(docs, "sized"), "sized")
-    own = [name for name in docs.columns if name.lower() not in RESULTS]
-    return mix(sized, weights, limit).where("copies > 0").select(*own, "copies", "taken")
+    """The documents that the mix takes, with copies and taken beside their own columns; these two replace columns of
+    their names, no other does."""
+    names = drop_clashes(docs, "copies", "taken").columns
+    needed = ("doc_id", "source", "text")
+    sized = keep(carried(docs.select(*[F.col(f"`{name}`") for name in names]), *needed).withColumn(
+        "size", word_count("text")), work(docs, "sized"), "sized")
+    return mix(sized, weights, limit).where("copies > 0").select(*restored(names, needed), "copies", "taken")

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealroute.llm.common import drop_clashes, keep, work
+from sealroute.llm.common import carried, keep, new_length, restored, work
 
 KINDS = ("email", "ip", "card", "phone", "id")
 #: Plain forms: [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ ; [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+) ;
@@ -175,10 +175,12 @@ def without_personal_data(docs: DataFrame) -> DataFrame:
     kind's mark stays. ``n_chars`` is counted anew where a text changed. Null texts stay null.
     """
     folder = work(docs, "pii-mask")
-    names = drop_clashes(docs, "pii_values", "pii_of").columns
-    found = personal_data(docs).select("doc_id", F.explode("found").alias("one")).where("one.kind = 4")
-    values = keep(found.groupBy(F.col("doc_id").alias("pii_of")).agg(F.collect_set("one.value").alias("pii_values")), folder, "values")
-    rows = docs.select(*names).join(values, F.col("doc_id").eqNullSafe(F.col("pii_of")), "left").drop("pii_of")
+    # Values go back to the texts they were found in, whatever the ids of the rows: equal texts hold equal values.
+    key = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")]
+    found = personal_data(docs.select(F.struct(*key).alias("doc_id"), "text"))
+    one = found.select("doc_id.*", F.explode("found").alias("one")).where("one.kind = 4")
+    values = keep(one.groupBy("k1", "k2").agg(F.collect_set("one.value").alias("pii_values")), folder, "values")
+    rows = carried(docs, "text").select("*", *key).join(values, ["k1", "k2"], "left")
 
     def digits(value: Column) -> Column:
         return F.regexp_replace(value, "[^0-9]", "")
@@ -193,6 +195,5 @@ def without_personal_data(docs: DataFrame) -> DataFrame:
     core = lambda value: F.regexp_replace(F.regexp_replace(value, r"\A[^\p{L}\p{N}]+", ""), r"[^\p{L}\p{N}]++\z", "")
     rows = rows.withColumn("pii_text", F.when(F.col("pii_values").isNotNull(), _masked(
         F.col("pii_text"), 4, lambda value: F.array_contains("pii_values", core(value)))).otherwise(F.col("pii_text")))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.col("pii_text") != text, F.length("pii_text").cast("bigint")).otherwise(F.col("n_chars")))
-    return rows.withColumn("text", F.col("pii_text")).select(*names)
+    length = new_length(F.col("pii_text") != text, F.col("pii_text"), docs.columns)
+    return rows.select(*restored(docs.columns, ("text",), text=F.col("pii_text"), **length))

@@ -1,0 +1,56 @@
+"""Stages give the caller's columns back as they came, whatever they are called."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from sealroute.llm import decontaminate, language, lines, mixing, neardup, pii
+
+#: Every name that a stage uses inside, and those of its results.
+NAMES = (
+    "n_words n_hit n_items items hits contaminated score lang_pred alike pii_text pii_values pii_of k1 k2 kept_id id row m gone "
+    "gone_words lines host key one cut size source_size target rate copies taken n given mix_source mix_cell mix_rank mix_before "
+    "carried_row spans place digest sketch tokens kept component_id").split()
+WORDS = "the of and to in is was that for with on as by at from this are be or an".split()
+
+
+def made(spark):
+    draw = random.Random(5)
+    text = [" ".join(draw.choices(WORDS, k=120)) + f" number {i}" for i in range(24)]
+    rows = [(i, text[i], ("en", "de")[i % 2], f"s{i % 3}", len(text[i]), *[f"{name}-{i}" for name in NAMES]) for i in range(24)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{name} string" for name in NAMES)
+    return spark.createDataFrame(rows, schema)
+
+
+def decontaminated(docs):
+    benchmark = docs.sparkSession.createDataFrame([(1, "number seven is here")], "item_id int, text string")
+    return decontaminate.decontaminate(docs, benchmark)
+
+
+@pytest.mark.parametrize("stage", [
+    language.identified, neardup.deduplicate, decontaminated, pii.without_personal_data, lines.without_common_lines, mixing.mixed])
+def test_columns_of_the_caller(spark, stage):
+    docs = made(spark)
+    found = stage(docs)
+    added = ["copies", "taken"] if stage is mixing.mixed else []
+    assert found.columns == [name for name in docs.columns if name not in added] + added
+    rows = found.collect()
+    assert rows
+    for row in rows:
+        assert all(row[name] == f"{name}-{row.doc_id}" for name in NAMES if name not in added)
+
+
+@pytest.mark.parametrize("names", [["n", "given"], ["mix_cell"], ["mix_rank", "mix_before"]])
+def test_mix_keeps_names_of_its_own(spark, names):
+    frame = spark.createDataFrame([(i, "s", i, *["x"] * len(names)) for i in range(9)],
+                                  "doc_id bigint, source string, size bigint, " + ", ".join(f"{name} string" for name in names))
+    assert {row[name] for row in mixing.mix(frame).collect() for name in names} == {"x"}
+
+
+def test_values_stay_with_the_texts_they_were_found_in(spark):
+    base = [(None, f"Contact badge id: 4412{i}77 now or mail a{i}@b.com", "s") for i in range(4)]
+    frame = spark.createDataFrame(base, "doc_id bigint, text string, source string")
+    got = [row.text for row in pii.without_personal_data(frame).collect()]
+    assert all("<EMAIL>" in text for text in got) and len(got) == 4
