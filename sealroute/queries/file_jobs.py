@@ -6,6 +6,7 @@ import secrets
 from contextlib import contextmanager
 from datetime import datetime, timezone
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sealroute.operators.codec import DECRYPT_FAILED, AesProvider, payload_partitions
@@ -52,6 +53,31 @@ def folder_scan(spark, sf):
         return kept(spark, list_folders(landed_documents(spark, sf, root), "batch").select("batch", "name", "length"))
 
 
+def job_commits(spark, sf):
+    with scratch(spark, "commits") as root:
+        return kept(spark, _job_commits(spark, sf, root))
+
+
+def _job_commits(spark, sf, root):
+    """What lies in a folder after three jobs: all documents, new content for a third of them, and a job of which one
+    row fails. Staged files that a job left behind would be rows too."""
+    files = payload_landing(spark, sf).withColumn("path", F.concat("batch", F.lit("/"), F.substring_index("path", "/", -1)))
+    files.select("path", "content").write.format("landing").mode("append").save(root)
+    newer = files.where("doc_id % 3 = 0").withColumn("content", F.concat(F.lit(b"new "), "content"))
+    newer.select("path", "content").write.format("landing").mode("append").save(root)
+    last = files.agg(F.max("doc_id")).first()[0]
+    failing = files.select("path", F.when(F.col("doc_id") != last, b"of the failed job").alias("content"))
+    try:
+        failing.write.format("landing").mode("append").save(root)
+    except PySparkException:
+        pass
+    else:
+        raise RuntimeError("a job with a row without content has succeeded")
+    found = list_folders(spark.createDataFrame([(root, "")], "root string, folder string"), "folder", recursive=True, temporary=True)
+    opened = read_payload(unsettled(found.where("path is not null").repartition(payload_partitions(found), "path")))
+    return opened.select(F.ltrim("path", F.lit("/")).alias("path"), F.sha2("content", 256).alias("sha256"))
+
+
 def payload_read(spark, sf):
     """Every file of every batch's folder, opened in tasks."""
     with scratch(spark, "read") as root:
@@ -206,6 +232,9 @@ SELECT {CAPPED_SQL} FROM summary"""
 QUERIES = {
     "folder_scan": (folder_scan, f"""WITH {LANDING_SQL}
 SELECT batch, file_name AS name, length FROM landing"""),
+    "job_commits": (job_commits, f"""WITH {LANDING_SQL}
+SELECT batch || '/' || file_name AS path,
+  sha256(CASE WHEN doc_id % 3 = 0 THEN 'new '::BLOB || content ELSE content END) AS sha256 FROM landing"""),
     "payload_read": (payload_read, f"""WITH {LANDING_SQL}
 SELECT batch, file_name AS name, sha256(content) AS sha256, NULL::VARCHAR AS message FROM landing"""),
     "decrypt_outputs": (decrypt_outputs, f"""WITH {LANDING_SQL},

@@ -20,7 +20,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType, TimestampType
 
-from sealroute.sources.storage import locate, walk, write_file
+from sealroute.sources.commit import commit, discard, new_job, stage
+from sealroute.sources.storage import locate, walk
 
 MANIFEST = StructType([
     StructField("path", StringType()),
@@ -82,27 +83,24 @@ class LandingStreamReader(DataSourceStreamReader):
 
 
 class LandingWriter(DataSourceWriter):
-    """One row, one named file. Each task finishes its files one by one, so the driver has
-    nothing to rename and a repeated task writes the same files again. Every file is whole or
-    absent, but a job that fails leaves the files it had finished; run it again to complete it.
-    A row without content is refused: an empty file has empty content."""
+    """One row, one named file, all of a job's files or none: see `sealroute.sources.commit`.
+
+    No file has its name before every task has succeeded, and a job that fails leaves nothing. A row without content
+    is refused: an empty file has empty content."""
 
     def __init__(self, folder: str):
         self.folder = folder.rstrip("/")
+        self.job = new_job()
 
     def write(self, rows: Iterable) -> WriterCommitMessage:
-        for row in rows:
-            filesystem, path = locate(self.folder, row["path"])
-            if row["content"] is None:
-                raise ValueError(f"no content for {row['path']}")
-            write_file(filesystem, path, bytes(row["content"]))
-        return WriterCommitMessage()
+        return stage(self.folder, self.job, (
+            (row["path"], None if row["content"] is None else bytes(row["content"])) for row in rows))
 
     def commit(self, messages: list) -> None:
-        pass
+        commit(self.folder, self.job, messages)
 
     def abort(self, messages: list) -> None:
-        pass
+        discard(self.folder, self.job)
 
 
 class LandingSource(DataSource):
@@ -131,7 +129,9 @@ class LandingSource(DataSource):
         return LandingWriter(self.options["path"])
 
 
-def list_folders(requests: DataFrame, folder: str, recursive: bool = False, tasks: int | None = None) -> DataFrame:
+def list_folders(
+    requests: DataFrame, folder: str, recursive: bool = False, tasks: int | None = None, temporary: bool = False
+) -> DataFrame:
     """One row per file in each request's folder, with the request's own columns carried along.
 
     Every folder is listed inside a task, so no listing passes through the driver. ``root`` is
@@ -153,7 +153,7 @@ def list_folders(requests: DataFrame, folder: str, recursive: bool = False, task
             yield (*values, None, None, None, None, None, str(error))
             return
         try:
-            for info in walk(filesystem, start, recursive):
+            for info in walk(filesystem, start, recursive, temporary):
                 if info.type != pafs.FileType.Directory:
                     yield (*values, *_entry(info, base + info.path[len(start):])[:4], None, None)
         except OSError as error:

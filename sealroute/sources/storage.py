@@ -32,13 +32,18 @@ def locate(root: str | None, path: str) -> tuple[pafs.FileSystem, str]:
     return _filesystem(path)
 
 
-def walk(filesystem: pafs.FileSystem, folder: str, recursive: bool) -> Iterator[pafs.FileInfo]:
-    """Entries below ``folder``, one directory listing at a time, hidden and empty files included."""
+def walk(
+    filesystem: pafs.FileSystem, folder: str, recursive: bool, temporary: bool = False
+) -> Iterator[pafs.FileInfo]:
+    """Entries below ``folder``, one directory listing at a time, hidden and empty files included.
+
+    What running jobs have staged is left out unless ``temporary``.
+    """
     pending = [folder]
     while pending:
         current = pending.pop()
         for info in filesystem.get_file_info(pafs.FileSelector(current, recursive=False)):
-            if info.base_name.startswith(TEMP_PREFIX):
+            if info.base_name.startswith(TEMP_PREFIX) and not temporary:
                 continue
             yield info
             if recursive and info.type == pafs.FileType.Directory:
