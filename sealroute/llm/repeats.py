@@ -26,9 +26,9 @@ from sealroute.llm.rlbwt import build_index, matching_statistics
 
 LENGTH = 400
 PIECE = 32
-#: Differing contexts of one piece that an index may hold, and the bytes after which an index is closed.
+#: Differing contexts of one piece that an index may hold, and the bytes after which an index is closed: it sorts faster in cache.
 MOST = 4096
-INDEX_BYTES = 2 << 20
+INDEX_BYTES = 256 << 10
 #: String starts that are hashed at once, of short and of very long texts alike.
 CHUNK = 1 << 19
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
