@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import secrets
 from contextlib import contextmanager
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sealroute.operators.codec import DECRYPT_FAILED, AesProvider, payload_partitions
-from sealroute.plans.decrypt_job import decrypt_files
+from sealroute.plans.decrypt_job import decrypt_files, open_files, route_files
 from sealroute.plans.encrypt_job import encrypt_files
 from sealroute.queries.files import STAMP, joined_lists
 from sealroute.queries.jobs import CAPPED_SQL, ENCRYPT_RESULT_SQL, sealed_landing, staged_requests, unsettled
@@ -19,6 +20,7 @@ from sealroute.session import attach, keep, work_folder
 from sealroute.sources.landing import list_folders
 from sealroute.sources.payloads import read_payload
 from sealroute.sources.storage import exists, locate
+from sealroute.sources.tree import list_tree, name_pages
 from sealroute.streaming.decrypt_stream import stream_folders
 
 AT = datetime.fromisoformat(STAMP).replace(tzinfo=timezone.utc)
@@ -78,6 +80,24 @@ def _job_commits(spark, sf, root):
     return opened.select(F.ltrim("path", F.lit("/")).alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
+def tree_scan(spark, sf):
+    """The listing of a tree with a deep branch, a wide level and one flat folder, in small shares and, as of a store
+    that lists by name, in ranges of names."""
+    with scratch(spark, "tree") as root:
+        files = payload_landing(spark, sf)
+        deep = F.concat(F.lit("deep"), F.repeat(F.lit("/down"), F.expr("cast(doc_id div 3 % 40 as int)")))
+        place = F.when(F.col("doc_id") % 3 == 0, deep).when(
+            F.col("doc_id") % 3 == 1, F.concat(F.lit("wide/"), F.expr("doc_id % 50").cast("string"))).otherwise(F.lit("flat"))
+        name = F.substring_index("path", "/", -1)
+        files.select(F.concat(place, F.lit("/"), name).alias("path"), "content").write.format("landing").mode("append").save(root)
+        folder = spark.createDataFrame([(root, "")], "root string, folder string")
+        levels = list_tree(folder, "folder", share=200, folders=4)
+        ranges = list_tree(folder, "folder", share=200, folders=4, page=50, pages=name_pages)
+        found = levels.withColumn("way", F.lit("levels")).unionAll(ranges.withColumn("way", F.lit("ranges")))
+        return kept(spark, found.select(
+            "way", F.ltrim("path", F.lit("/")).alias("path"), "name", "length", "listing_error", "storage_error"))
+
+
 def payload_read(spark, sf):
     """Every file of every batch's folder, opened in tasks."""
     with scratch(spark, "read") as root:
@@ -194,6 +214,21 @@ def decrypt_on_files(spark, sf):
         return joined_lists(decrypt_files(landed_batches(spark, sf, root, keys), keys, AesProvider(), at=AT).summary)
 
 
+def decrypt_resume(spark, sf):
+    """The summary of a run that is broken off when half of its files were moved, and finished by the next call.
+
+    Files that arrive in between belong to the run after it."""
+    keys, journal = run_keys(spark), work_folder(attach(spark), "journal")
+    with scratch(spark, "resumed") as root:
+        requests = landed_batches(spark, sf, root, keys)
+        opened = open_files(requests, keys, AesProvider(), at=AT, journal=journal)
+        half = replace(opened, results=opened.results.where(F.pmod(F.xxhash64("path"), F.lit(2)) == 0))
+        route_files(half).write.format("noop").mode("overwrite").save()
+        late = requests.select(F.concat("batch", F.lit("/late.csv.pgp")).alias("path"), F.lit(b"late").alias("content"))
+        late.write.format("landing").mode("append").save(root)
+        return joined_lists(decrypt_files(requests, keys, AesProvider(), journal=journal).summary)
+
+
 def stream_polls(spark, sf):
     """The same files found and decrypted by a stream that polls the folders of standing requests."""
     keys, folder = run_keys(spark), work_folder(attach(spark), "polls")
@@ -235,6 +270,12 @@ SELECT batch, file_name AS name, length FROM landing"""),
     "job_commits": (job_commits, f"""WITH {LANDING_SQL}
 SELECT batch || '/' || file_name AS path,
   sha256(CASE WHEN doc_id % 3 = 0 THEN 'new '::BLOB || content ELSE content END) AS sha256 FROM landing"""),
+    "tree_scan": (tree_scan, f"""WITH {LANDING_SQL},
+placed AS (
+  SELECT CASE doc_id % 3 WHEN 0 THEN 'deep' || repeat('/down', (doc_id // 3 % 40)::INTEGER) WHEN 1 THEN 'wide/' || (doc_id % 50)
+    ELSE 'flat' END || '/' || file_name AS path, file_name AS name, length FROM landing)
+SELECT way, path, name, length, NULL::VARCHAR AS listing_error, NULL::VARCHAR AS storage_error
+FROM placed, (VALUES ('levels'), ('ranges')) AS ways(way)"""),
     "payload_read": (payload_read, f"""WITH {LANDING_SQL}
 SELECT batch, file_name AS name, sha256(content) AS sha256, NULL::VARCHAR AS message FROM landing"""),
     "decrypt_outputs": (decrypt_outputs, f"""WITH {LANDING_SQL},
@@ -250,5 +291,6 @@ UNION ALL SELECT store::VARCHAR, 'errors', stem || ending, NULL FROM files WHERE
     "encrypt_errors": (encrypt_errors, ENCRYPT_ERRORS_SQL),
     "encrypt_files": (encrypt_on_files, ENCRYPT_RESULT_SQL),
     "decrypt_files": (decrypt_on_files, DECRYPT_SQL),
+    "decrypt_resume": (decrypt_resume, DECRYPT_SQL),
     "stream_polls": (stream_polls, DECRYPT_SQL),
 }

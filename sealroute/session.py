@@ -8,10 +8,12 @@ import uuid
 from pathlib import Path
 from weakref import WeakSet
 
+from pyarrow.fs import FileSelector
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 from sealroute.sources.landing import LandingSource
+from sealroute.sources.storage import exists, locate
 
 _shipped: set[str] = set()
 _attached: WeakSet[SparkSession] = WeakSet()
@@ -50,3 +52,29 @@ def keep(table: DataFrame, folder: str, name: str) -> DataFrame:
     """Write a table once and continue from the written rows, so nothing upstream runs again."""
     table.write.mode("overwrite").parquet(f"{folder}/{name}")
     return table.sparkSession.read.schema(table.schema).parquet(f"{folder}/{name}")
+
+
+def done(folder: str, name: str) -> bool:
+    """Whether a table of this name was written to the end."""
+    return exists(*locate(None, f"{folder}/{name}/_SUCCESS"))
+
+
+def keep_once(table: DataFrame, folder: str, name: str) -> DataFrame:
+    """Like ``keep``, but a table that an earlier run wrote to the end is read and not made again."""
+    if not done(folder, name):
+        return keep(table, folder, name)
+    return table.sparkSession.read.schema(table.schema).parquet(f"{folder}/{name}")
+
+
+def journal_run(journal: str, last_table: str) -> str:
+    """The folder of the run that a journal is at: the last one if it was broken off, else a new one.
+
+    A run is over when its ``last_table`` was written to the end.
+    """
+    base = journal.rstrip("/")
+    filesystem, inner = locate(None, base)
+    found = filesystem.get_file_info(FileSelector(inner, allow_not_found=True))
+    numbers = [int(info.base_name.removeprefix("run-")) for info in found if info.base_name.startswith("run-")]
+    last = max(numbers, default=0)
+    over = not numbers or done(f"{base}/run-{last:06d}", last_table)
+    return f"{base}/run-{last + over:06d}"

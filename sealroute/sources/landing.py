@@ -32,6 +32,7 @@ MANIFEST = StructType([
 ])
 PAYLOAD = "path string, content binary"
 BATCH_ROWS = 4096
+POLL_TASKS = 1000
 
 
 def _entry(info: pafs.FileInfo, path: str) -> tuple:
@@ -40,9 +41,9 @@ def _entry(info: pafs.FileInfo, path: str) -> tuple:
 
 
 class FolderPartition(InputPartition):
-    def __init__(self, folder: str):
-        super().__init__(folder)
-        self.folder = folder
+    def __init__(self, *folders: str):
+        super().__init__(folders)
+        self.folders = folders
 
 
 class LandingReader(DataSourceReader):
@@ -54,19 +55,22 @@ class LandingReader(DataSourceReader):
         return [FolderPartition(folder) for folder in self.folders]
 
     def read(self, partition: FolderPartition) -> Iterator[tuple]:
-        filesystem, folder = locate(None, partition.folder.rstrip("/"))
-        for info in walk(filesystem, folder, self.recursive):
-            yield _entry(info, partition.folder.rstrip("/") + info.path[len(folder):])
+        for name in partition.folders:
+            filesystem, folder = locate(None, name.rstrip("/"))
+            for info in walk(filesystem, folder, self.recursive):
+                yield _entry(info, name.rstrip("/") + info.path[len(folder):])
 
 
 class LandingStreamReader(DataSourceStreamReader):
     """Each trigger is one poll of the folders: a micro-batch holds what lies there now.
 
-    Offsets only number the polls. The job that consumes a batch moves its files away, so a batch
-    that is run again finds what is still unprocessed, and nothing depends on file times.
+    Folders are listed in tasks, at most ``POLL_TASKS`` of them; a folder that is not there yet is empty. Offsets only
+    number the polls. The job that consumes a batch moves its files away, so a batch that is run again finds what is
+    still unprocessed, and nothing depends on file times.
     """
 
     def __init__(self, folders: list[str], recursive: bool):
+        self.folders = folders
         self.reader = LandingReader(folders, recursive)
 
     def initialOffset(self) -> dict:
@@ -76,10 +80,15 @@ class LandingStreamReader(DataSourceStreamReader):
         return {"poll": time.time_ns() // 1_000_000}
 
     def partitions(self, start: dict, end: dict) -> list[FolderPartition]:
-        return self.reader.partitions()
+        tasks = min(len(self.folders), POLL_TASKS)
+        return [FolderPartition(*self.folders[task::tasks]) for task in range(tasks)]
 
     def read(self, partition: FolderPartition) -> Iterator[tuple]:
-        return self.reader.read(partition)
+        for folder in partition.folders:
+            try:
+                yield from self.reader.read(FolderPartition(folder))
+            except FileNotFoundError:
+                continue
 
 
 class LandingWriter(DataSourceWriter):
