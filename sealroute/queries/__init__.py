@@ -10,6 +10,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, tuple[Query, str | None]]:
-    from sealroute.queries import armor, file_jobs, files, jobs, requests, streams
+    from sealroute.queries import armor, blocks, file_jobs, files, jobs, requests, streams
 
-    return {**files.QUERIES, **requests.QUERIES, **armor.QUERIES, **jobs.QUERIES, **file_jobs.QUERIES, **streams.QUERIES}
+    return {**files.QUERIES, **requests.QUERIES, **armor.QUERIES, **jobs.QUERIES, **file_jobs.QUERIES, **streams.QUERIES, **blocks.QUERIES}
