@@ -15,8 +15,9 @@ from sealroute.plans.decrypt_job import decrypt_files, open_files, route_files
 from sealroute.plans.encrypt_job import encrypt_files
 from sealroute.queries.files import STAMP, joined_lists
 from sealroute.queries.jobs import CAPPED_SQL, ENCRYPT_RESULT_SQL, sealed_landing, staged_requests, unsettled
-from sealroute.queries.landing import LANDING_SQL, SUMMARY_SQL, landing, payload_landing, run_keys
+from sealroute.queries.landing import LANDING_SQL, SUMMARY_SQL, landing, payload_landing, read, run_keys
 from sealroute.session import attach, keep, work_folder
+from sealroute.sources.dated import DAY, load_days
 from sealroute.sources.landing import list_folders
 from sealroute.sources.payloads import read_payload
 from sealroute.sources.storage import exists, locate
@@ -184,6 +185,34 @@ def _encrypt_errors(spark, sf, root):
                        F.coalesce("logged", F.lit(0)).alias("logged"))
 
 
+def encrypt_outputs(spark, sf):
+    with scratch(spark, "replaced") as root:
+        return kept(spark, _encrypt_outputs(spark, sf, root))
+
+
+def _encrypt_outputs(spark, sf, root):
+    """What an encrypt run leaves in folders that were not empty: requests with several staged files, some in a folder
+    below, system files beside them, an older output, and a file below the output folder.
+
+    An output's hash is that of its plain text, so it is opened first.
+    """
+    files, requests = staged_requests(spark, sf)
+    below = F.regexp_replace("path", "/([^/]*)$", "/deep/$1")
+    staged = files.select(F.when(F.col("doc_id") % 5 == 0, below).otherwise(F.col("path")).alias("path"), "content")
+    old = [requests.select(F.concat(F.lit("out/"), "request_id", F.lit(name)).alias("path"), F.lit(text).alias("content"))
+           for name, text in (("/old.csv.pgp", b"old"), ("/keep/deep.txt", b"deep"))]
+    secret = secrets.token_hex(16)
+    key = spark.createDataFrame([("keys/a.asc", secret.encode())], "path string, content binary")
+    for rows in (staged, *old, key):
+        rows.write.format("landing").mode("append").save(root)
+    encrypt_files(requests.withColumn("root", F.lit(root)), AesProvider(), at=AT)
+    named = spark.createDataFrame([(root, folder) for folder in ("staging", "out", "sent")], "root string, folder string")
+    found = list_folders(named, "folder", recursive=True).filter("path is not null")
+    read = read_payload(unsettled(found.repartition(payload_partitions(found), "path")))
+    opened = AesProvider().decrypt(read.withColumn("key_id", F.lit("a")), spark.createDataFrame([("a", secret)], "key_id string, material string"))
+    return opened.select("path", "length", F.sha2(F.coalesce("plaintext", "content"), 256).alias("sha256"))
+
+
 def encrypt_on_files(spark, sf):
     """The encrypt job on the documents, staged per request as files."""
     with scratch(spark, "staging") as root:
@@ -229,6 +258,18 @@ def decrypt_resume(spark, sf):
         return joined_lists(decrypt_files(requests, keys, AesProvider(), journal=journal).summary)
 
 
+def dated_loads(spark, sf):
+    """Events archived by their day, then a load of some events of some days, twice: those days alone are replaced."""
+    with scratch(spark, "dated") as root:
+        rows = read(spark, sf, "events").select("event_id", "ts", "event_type", F.lit(1).alias("load"))
+        load_days(rows, f"{root}/events", F.col("ts"))
+        late = rows.where("day(ts) % 7 = 0 and event_id % 2 = 0").withColumns({"event_type": F.lit("late"), "load": F.lit(2)})
+        for _ in range(2):
+            load_days(late, f"{root}/events", F.col("ts"))
+        schema = "event_id bigint, event_type string, load int, " + ", ".join(f"{name} string" for name in DAY)
+        return kept(spark, spark.read.schema(schema).parquet(f"{root}/events"))
+
+
 def stream_polls(spark, sf):
     """The same files found and decrypted by a stream that polls the folders of standing requests."""
     keys, folder = run_keys(spark), work_folder(attach(spark), "polls")
@@ -237,6 +278,19 @@ def stream_polls(spark, sf):
     return joined_lists(spark.read.parquet(f"{folder}/summary").drop("epoch"))
 
 
+ENCRYPT_OUTPUTS_SQL = f"""WITH {LANDING_SQL},
+staged AS (SELECT source || '/' || (doc_id // 60) AS request_id, source, length, sha256(content) AS sha256,
+  CASE WHEN doc_id % 5 = 0 THEN 'deep/' ELSE '' END || file_name AS name, NOT starts_with(file_name, '_') AS data FROM landing),
+picked AS (SELECT request_id, source, arg_max(name, name) FILTER (data) AS pick, arg_max(length, name) FILTER (data) AS size,
+    arg_max(sha256, name) FILTER (data) AS hash FROM staged GROUP BY request_id, source),
+states AS (SELECT *, coalesce(size, 0) > 0 AS done FROM picked)
+SELECT 'staging/' || request_id || '/' || name AS path, length, sha256 FROM staged JOIN states USING (request_id)
+  WHERE NOT done OR (data AND name <> pick)
+UNION ALL SELECT 'out/' || request_id || '/keep/deep.txt', 4, sha256('deep') FROM states
+UNION ALL SELECT 'out/' || request_id || '/old.csv.pgp', 3, sha256('old') FROM states WHERE NOT done
+UNION ALL SELECT 'out/' || request_id || '/' || source || '_20260417143015.csv.pgp', size + 28, hash FROM states WHERE done
+UNION ALL SELECT 'sent/' || request_id || '/2026/04/17/' || source || '_20260417143015.csv', size, hash FROM states WHERE done"""
+
 ENCRYPT_ERRORS_SQL = f"""WITH {LANDING_SQL},
 staged AS (SELECT source || '/' || (doc_id // 60) AS request_id, doc_id // 60 % 4 AS kind, file_name, length,
   NOT starts_with(file_name, '_') AS data FROM landing),
@@ -289,6 +343,11 @@ SELECT store::VARCHAR AS store, 'processed' AS folder, stem || '.csv' AS name, s
 UNION ALL SELECT store::VARCHAR, 'archive', '20260417143015123456_' || stem || ending, NULL FROM files WHERE good
 UNION ALL SELECT store::VARCHAR, 'errors', stem || ending, NULL FROM files WHERE NOT good"""),
     "encrypt_errors": (encrypt_errors, ENCRYPT_ERRORS_SQL),
+    "encrypt_outputs": (encrypt_outputs, ENCRYPT_OUTPUTS_SQL),
+    "dated_loads": (dated_loads, """WITH days AS (SELECT *, strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month,
+  strftime(ts, '%d') AS day FROM events)
+SELECT event_id, event_type, 1 AS load, year, month, day FROM days WHERE extract('day' FROM ts) % 7 <> 0
+UNION ALL SELECT event_id, 'late', 2, year, month, day FROM days WHERE extract('day' FROM ts) % 7 = 0 AND event_id % 2 = 0"""),
     "encrypt_files": (encrypt_on_files, ENCRYPT_RESULT_SQL),
     "decrypt_files": (decrypt_on_files, DECRYPT_SQL),
     "decrypt_resume": (decrypt_resume, DECRYPT_SQL),
