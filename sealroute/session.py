@@ -31,6 +31,8 @@ def attach(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(shutil.make_archive(str(bundle), "zip", package.parent, package.name))
         _shipped.add(application)
     spark.dataSource.register(LandingSource)
+    # The source tests filters itself, which Spark only asks of it with this setting.
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     _attached.add(spark)
     return spark
 

@@ -8,15 +8,19 @@ after the files have been spread over the cluster.
 from __future__ import annotations
 
 import json
+import operator
 import time
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage,
+    DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In,
+    InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith,
+    WriterCommitMessage,
 )
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType, TimestampType
 
@@ -46,19 +50,63 @@ class FolderPartition(InputPartition):
         self.folders = folders
 
 
+#: Filters that are tested while a folder is listed; a missing value passes none but the test for it.
+TESTS = {
+    EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt,
+    LessThanOrEqual: operator.le, In: lambda held, values: held in values, StringStartsWith: str.startswith,
+    StringEndsWith: str.endswith, StringContains: operator.contains,
+}
+
+
 class LandingReader(DataSourceReader):
+    """Lists folders, one task each, and keeps only the entries that the filters on name, length and kind pass."""
+
     def __init__(self, folders: list[str], recursive: bool):
         self.folders = folders
         self.recursive = recursive
+        self.filters: list[Filter] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for one in filters:
+            inner = one.child if isinstance(one, Not) else one
+            if type(inner) in (*TESTS, IsNull, IsNotNull) and inner.attribute in (("name",), ("length",), ("is_dir",)):
+                self.filters.append(one)
+            else:
+                yield one
+
+    def passes(self, info: pafs.FileInfo) -> bool:
+        is_dir = info.type == pafs.FileType.Directory
+        held = {("name",): info.base_name, ("length",): None if is_dir else info.size, ("is_dir",): is_dir}
+
+        def test(one: Filter) -> bool:
+            value = held[one.attribute]
+            if isinstance(one, (IsNull, IsNotNull)):
+                return (value is None) == isinstance(one, IsNull)
+            return value is not None and TESTS[type(one)](value, one.value)
+
+        def passed(one: Filter) -> bool:
+            if not isinstance(one, Not):
+                return test(one)
+            known = isinstance(one.child, (IsNull, IsNotNull)) or held[one.child.attribute] is not None
+            return known and not test(one.child)
+
+        return all(map(passed, self.filters))
 
     def partitions(self) -> list[FolderPartition]:
         return [FolderPartition(folder) for folder in self.folders]
 
-    def read(self, partition: FolderPartition) -> Iterator[tuple]:
+    def entries(self, partition: FolderPartition) -> Iterator[tuple]:
         for name in partition.folders:
             filesystem, folder = locate(None, name.rstrip("/"))
             for info in walk(filesystem, folder, self.recursive):
-                yield _entry(info, name.rstrip("/") + info.path[len(folder):])
+                if self.passes(info):
+                    yield _entry(info, name.rstrip("/") + info.path[len(folder):])
+
+    def read(self, partition: FolderPartition) -> Iterator[pa.RecordBatch]:
+        entries = self.entries(partition)
+        while rows := list(islice(entries, BATCH_ROWS)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, field.type) for column, field in zip(zip(*rows), _MANIFEST_ARROW)], schema=_MANIFEST_ARROW)
 
 
 class LandingStreamReader(DataSourceStreamReader):
@@ -86,7 +134,7 @@ class LandingStreamReader(DataSourceStreamReader):
     def read(self, partition: FolderPartition) -> Iterator[tuple]:
         for folder in partition.folders:
             try:
-                yield from self.reader.read(FolderPartition(folder))
+                yield from self.reader.entries(FolderPartition(folder))
             except FileNotFoundError:
                 continue
 
@@ -192,6 +240,10 @@ def list_folders(
     return spread.mapInArrow(run, schema)
 
 
+_MANIFEST_ARROW = pa.schema([
+    pa.field("path", pa.string()), pa.field("name", pa.string()), pa.field("length", pa.int64()),
+    pa.field("modified", pa.timestamp("us", tz="UTC")), pa.field("is_dir", pa.bool_()),
+])
 _ADDED_ARROW = [
     pa.field("path", pa.string()), pa.field("name", pa.string()), pa.field("length", pa.int64()),
     pa.field("modified", pa.timestamp("us", tz="UTC")), pa.field("listing_error", pa.string()),
