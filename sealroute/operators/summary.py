@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealroute.functions.text import list_entry
+from sealroute.operators.ranking import ranked
 from sealroute.operators.requests import batch_code
+from sealroute.session import attach, work_folder
+
+# The size of quantile sketches, and the error that goes with it.
+SKETCH_K, SKETCH_ERROR = 800, 0.005
 
 # Status of a file and the list it is reported in.
 LISTS = {"ok": "processed_files", "skipped": "skipped_files", "error": "error_files"}
@@ -53,6 +58,40 @@ def list_entries(results: DataFrame, batch: str = "batch") -> DataFrame:
     return results.select(batch, which.alias("list"), _entry().alias("entry"))
 
 
+def list_pages(results: DataFrame, batch: str = "batch", page_size: int = 1000) -> DataFrame:
+    """The lists in pages ``(batch, list, page, entries)`` of at most ``page_size`` sorted entries, pages from zero.
+
+    For batches without a cap: the entries are ranked over all tasks, so neither a row nor a task holds a whole batch.
+    """
+    entries = list_entries(results, batch)
+    placed = ranked(entries, [batch, "list"], ["entry"], work_folder(attach(results.sparkSession), "pages"))
+    page = F.floor(F.col("place") / page_size).cast("bigint").alias("page")
+    return placed.groupBy(batch, "list", page).agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+
+
+def profile(results: DataFrame, value: str, batch: str = "batch") -> DataFrame:
+    """Count, least, largest, total and a quantile sketch of a whole-number column of each batch.
+
+    Profiles of parts, runs or epochs can be put together by ``merge_profiles``: the sketch then has the error that
+    one of all rows would have, at most ``SKETCH_ERROR`` of the rows in the rank of a quantile (99 in 100 times).
+    """
+    return results.groupBy(batch).agg(
+        F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("largest"),
+        F.sum(value).cast("bigint").alias("total"), F.kll_sketch_agg_bigint(F.col(value).cast("bigint"), F.lit(SKETCH_K)).alias("sketch"))
+
+
+def merge_profiles(profiles: DataFrame, batch: str = "batch") -> DataFrame:
+    """One profile a batch out of several; the sketches are merged, not the rows read again."""
+    return profiles.groupBy(batch).agg(
+        F.sum("n").alias("n"), F.min("least").alias("least"), F.max("largest").alias("largest"),
+        F.sum("total").cast("bigint").alias("total"), F.kll_merge_agg_bigint("sketch", F.lit(SKETCH_K)).alias("sketch"))
+
+
+def quantile(share: float, sketch: Column | str = "sketch") -> Column:
+    """The value below which about ``share`` of a profile's rows lie; null for a profile without any."""
+    return F.when(F.col("n") > 0, F.kll_sketch_get_quantile_bigint(sketch, F.lit(float(share))))
+
+
 def byte_totals(results: DataFrame, batch: str = "batch") -> DataFrame:
     """Bytes in and out and the number of opened files per batch."""
     return results.groupBy(batch).agg(

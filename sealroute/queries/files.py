@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from sealroute.operators.files import (
 )
 from sealroute.operators.requests import MAX_FILES, too_many
 from sealroute.operators.routing import mark_collisions, plan_routes
-from sealroute.operators.summary import byte_totals, count_batches, list_entries, summarise
+from sealroute.operators.summary import (
+    SKETCH_ERROR, byte_totals, count_batches, list_entries, list_pages, merge_profiles, profile, quantile, summarise,
+)
 from sealroute.queries.landing import (
     CLASSIFIED_SQL, CODE_SQL, LANDING_SQL, RESULTS_SQL, SIZE_CAP, SUMMARY_SQL, by_rule, landing, read, with_targets,
 )
@@ -54,6 +58,32 @@ def batch_entries(spark, sf):
     return list_entries(by_rule(classify(listing(spark, sf))))
 
 
+def entry_pages(spark, sf):
+    """The name lists of whole folders, which have no cap, in pages of 50 entries."""
+    results = by_rule(classify(listing(spark, sf).withColumn("batch", F.col("folder"))))
+    return list_pages(results, page_size=50).select("batch", "list", "page", F.array_join("entries", "|").alias("entries"))
+
+
+def size_profiles(spark, sf):
+    """Sizes of the files of each folder, profiled in four parts and merged; whether the quantiles have the ranks that
+    the sketch promises, counted on all files."""
+    files = listing(spark, sf).select("folder", F.col("length").alias("size"), "path")
+    parts = [profile(files.where(F.pmod(F.xxhash64("path"), F.lit(4)) == part), "size", "folder") for part in range(4)]
+    merged = merge_profiles(reduce(DataFrame.unionAll, parts), "folder")
+    shares = {"half": 0.5, "most": 0.9}
+    known = merged.select("folder", "n", "least", "largest", "total", *[quantile(share).alias(name) for name, share in shares.items()])
+    places = files.join(known, "folder").groupBy("folder").agg(*[
+        F.struct(F.count_if(F.col("size") < F.col(name)).alias("below"), F.count_if(F.col("size") <= F.col(name)).alias("up")).alias(f"at_{name}")
+        for name in shares])
+
+    def right(name):
+        slack = SKETCH_ERROR * F.col("n") + 1
+        return (F.col(f"at_{name}.below") <= shares[name] * F.col("n") + slack) & (F.col(f"at_{name}.up") >= shares[name] * F.col("n") - slack)
+
+    return known.join(places, "folder").select(
+        "folder", "n", "least", "largest", "total", *[right(name).cast("int").alias(f"{name}_right") for name in shares])
+
+
 def batch_cap(spark, sf):
     files = listing(spark, sf)
     totals = batch_totals(files, "folder").withColumn("rejected", too_many(F.col("total"), MAX_FILES).cast("int"))
@@ -170,6 +200,14 @@ SELECT *, {CODE_SQL} AS code FROM summary WHERE total <= 500"""),
     "batch_entries": (batch_entries, f"""WITH {RESULTS_SQL}
 SELECT batch, CASE status WHEN 'ok' THEN 'processed_files' WHEN 'skipped' THEN 'skipped_files' ELSE 'error_files' END
   AS list, CASE status WHEN 'error' THEN name || ': ' || message ELSE name END AS entry FROM results"""),
+    "entry_pages": (entry_pages, f"""WITH {RESULTS_SQL},
+entries AS (SELECT folder AS batch, CASE status WHEN 'ok' THEN 'processed_files' WHEN 'skipped' THEN 'skipped_files' ELSE 'error_files' END
+  AS list, CASE status WHEN 'error' THEN name || ': ' || message ELSE name END AS entry FROM results),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY batch, list ORDER BY entry) - 1) // 50 AS page FROM entries)
+SELECT batch, list, page, string_agg(entry, '|' ORDER BY entry) AS entries FROM placed GROUP BY batch, list, page"""),
+    "size_profiles": (size_profiles, f"""WITH {LANDING_SQL}
+SELECT folder, count(*) AS n, min(length) AS least, max(length) AS largest, sum(length)::BIGINT AS total,
+  1 AS half_right, 1 AS most_right FROM landing GROUP BY folder"""),
     "batch_cap": (batch_cap, f"""WITH {LANDING_SQL}
 SELECT folder, count(*) AS total, (count(*) > 500)::INTEGER AS rejected,
   CASE WHEN count(*) > 500 THEN 0 ELSE count(*) END::BIGINT AS accepted FROM landing GROUP BY folder"""),

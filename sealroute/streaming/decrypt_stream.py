@@ -8,16 +8,17 @@ that is run again replaces its rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sealroute.operators.codec import Provider
 from sealroute.operators.files import MAX_FILE_BYTES
 from sealroute.operators.keys import KeyTable
 from sealroute.operators.routing import mark_collisions
 from sealroute.plans.decrypt_job import decrypt_files, decrypt_table
-from sealroute.session import attach
+from sealroute.session import attach, keep
 
 
 def _start(stream: DataFrame, process, folder: str, available_now: bool, every: str) -> StreamingQuery:
@@ -30,6 +31,22 @@ def _start(stream: DataFrame, process, folder: str, available_now: bool, every:
     )
 
 
+CORRUPT = "_corrupt_record"
+
+
+def name_broken(requests: DataFrame, corrupt: str) -> DataFrame:
+    """Requests of which unreadable lines (``corrupt``) have no value but a batch of their own, made of the line.
+
+    Lines that are equal are told apart by a number.
+    """
+    again = F.row_number().over(Window.partitionBy(corrupt).orderBy(corrupt))
+    broken = requests.where(F.col(corrupt).isNotNull()).withColumn("batch", F.concat(
+        F.lit("broken-"), F.left(F.sha2(corrupt, 256), F.lit(16)), F.lit("-"), again.cast("string")))
+    values = [name for name in requests.columns if name not in ("batch", corrupt)]
+    nulled = broken.withColumns({name: F.lit(None).cast(requests.schema[name].dataType) for name in values})
+    return requests.where(F.col(corrupt).isNull()).unionByName(nulled)
+
+
 def stream_requests(
     spark: SparkSession, inbox: str, schema: StructType | str, keys: DataFrame | KeyTable, provider: Provider,
     folder: str, *,
@@ -37,14 +54,21 @@ def stream_requests(
 ) -> StreamingQuery:
     """Run the decrypt job for the requests in each JSON file that arrives in ``inbox``.
 
-    Summaries go to ``folder``/summary. ``options`` are those of ``decrypt_files``.
+    Summaries go to ``folder``/summary, the requests as they were read to ``folder``/requests. A line that is no JSON
+    record counts as a request without values, as an unreadable body does: it is answered in a summary row of its own,
+    under a name made of the line. ``options`` are those of ``decrypt_files``.
     """
     attach(spark)
     keys = KeyTable.of(keys)
-    requests = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(inbox)
+    known = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    read = StructType([*known.fields, StructField(CORRUPT, StringType())])
+    requests = spark.readStream.schema(read).option("maxFilesPerTrigger", max_files).option(
+        "columnNameOfCorruptRecord", CORRUPT).json(inbox)
 
     def process(batch: DataFrame, epoch: int) -> None:
-        run = decrypt_files(batch, keys, provider, **options)
+        # Read once: which columns a later step asks for must not decide which lines count as broken.
+        read = keep(name_broken(batch, CORRUPT), f"{folder}/requests", f"epoch={epoch}")
+        run = decrypt_files(read.drop(CORRUPT), keys, provider, **options)
         run.summary.write.mode("overwrite").parquet(f"{folder}/summary/epoch={epoch}")
 
     return _start(requests, process, folder, available_now, every)
