@@ -17,7 +17,7 @@ TABLES = ("documents", "benchmark", "pages", "conversations", "labels")
 
 def test_every_operator_and_the_pipeline_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(queries())
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "language_id", "near_dedup", "decontamination", "personal_data", "mixing"]
 
