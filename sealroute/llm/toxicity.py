@@ -48,17 +48,35 @@ class ChainModel:
         return np.array(before)
 
 
+def _plain(piece: str) -> str:
+    """A piece with a space in place of whatever is neither letter nor digit: a word counts without its punctuation."""
+    return piece.translate(_PLAIN) if piece.isascii() else "".join(c if c.isalnum() else " " for c in piece)
+
+
+def _buckets(text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The buckets of the words and those of all n-grams, by piece of the text."""
+    for piece in X.pieces(text):
+        points = X.code_points(_plain(piece))
+        yield X.word_buckets(X.word_values(points), BUCKETS), np.concatenate([X.ngrams(points, size, BUCKETS) for size in SIZES])
+
+
 def held_buckets(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct buckets of a text's words, those of all its features, and the values of the latter."""
-    words, rest = [np.empty(0, np.int64)], []
-    for piece in X.pieces(text):
-        # A word counts without its punctuation.
-        points = X.code_points("".join(c if c.isalnum() else " " for c in piece) if not piece.isascii() else
-                               piece.translate(_PLAIN))
-        words.append(X.word_buckets(X.word_values(points), BUCKETS))
-        rest += [X.ngrams(points, size, BUCKETS) for size in SIZES]
-    every, counts = np.unique(np.concatenate([*words, *rest]), return_counts=True)
-    return np.unique(np.concatenate(words)), every, np.log2(1 + counts).astype(np.float32)
+    found = list(_buckets(text))
+    words = np.concatenate([np.empty(0, np.int64), *(one for one, _ in found)])
+    every, counts = np.unique(np.concatenate([words, *(rest for _, rest in found)]), return_counts=True)
+    return np.unique(words), every, np.log2(1 + counts).astype(np.float32)
+
+
+def held_chosen(text: str | None, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen features (by ``place`` of a bucket, -1 if not chosen) that a text holds, and their values."""
+    counts = np.zeros(width, np.int64)
+    for both in _buckets(text):
+        for buckets in both:
+            at = place[buckets]
+            counts += np.bincount(at[at >= 0], minlength=width)
+    held = np.flatnonzero(counts)
+    return held, np.log2(1 + counts[held]).astype(np.float32)
 
 
 _PLAIN = {code: " " for code in range(128) if not chr(code).isalnum()}
@@ -82,45 +100,77 @@ def _logistic(rows: list[np.ndarray], values: list[np.ndarray], extra: np.ndarra
     return weight
 
 
-def fit_chain(words: list[np.ndarray], held: list[np.ndarray], values: list[np.ndarray], label: np.ndarray,
-              folds: int = FOLDS) -> ChainModel:
-    """Select features, derive the severity categories from the label, and train the chain."""
-    toxic = label == 1
-    positive, negative = max(1, toxic.sum()), max(1, (~toxic).sum())
+def _frequency(rows: list[np.ndarray], picked: np.ndarray) -> np.ndarray:
+    """How many of the picked rows hold each bucket."""
+    return np.bincount(np.concatenate([np.empty(0, np.int64), *(rows[i] for i in np.flatnonzero(picked))]), minlength=BUCKETS)
 
-    def frequency(rows: list[np.ndarray], mask: np.ndarray) -> np.ndarray:
-        return np.bincount(np.concatenate([np.empty(0, np.int64), *(row for row, one in zip(rows, mask) if one)]),
-                           minlength=BUCKETS)
 
+@dataclass(frozen=True)
+class _View:
+    """What some rows teach before any model: targets by category (of these rows), features, and all rows by them."""
+
+    targets: list[np.ndarray]
+    chosen: np.ndarray
+    rows: list[np.ndarray]
+    values: list[np.ndarray]
+
+
+def _view(words: list[np.ndarray], held: list[np.ndarray], values: list[np.ndarray], toxic: np.ndarray, seen: np.ndarray) -> _View:
+    """Severity words and features selected from the ``seen`` rows alone."""
+    inside, outside = seen & toxic, seen & ~toxic
+    positive, negative = max(1, inside.sum()), max(1, outside.sum())
     # Words of at least five toxic texts, fifty times as frequent there as elsewhere.
-    telling = frequency(words, toxic)
-    telling = (telling >= 5) & (telling / positive > 50 * frequency(words, ~toxic) / negative)
+    telling = _frequency(words, inside)
+    telling = (telling >= 5) & (telling / positive > 50 * _frequency(words, outside) / negative)
     known = np.array([int(telling[row].sum()) for row in words])
     targets = [np.where(toxic & (known >= least), 1.0, 0.0) for _, least in SEVERITY] + [toxic.astype(float)]
 
-    inside, outside = frequency(held, toxic), frequency(held, ~toxic)
-    share, other = inside / positive, outside / negative
-    both = (inside + outside) / (positive + negative)
-    gain = np.where(inside >= 3, (share - other) ** 2 / np.maximum(both * (1 - both), 1e-12), 0)
+    found, other = _frequency(held, inside), _frequency(held, outside)
+    both = (found + other) / (positive + negative)
+    gain = np.where(found >= 3, (found / positive - other / negative) ** 2 / np.maximum(both * (1 - both), 1e-12), 0)
     order = np.argsort(-gain, kind="stable")[:FEATURES]
     chosen = np.sort(order[gain[order] > 0])
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
-    values = [value[place[row] >= 0] for row, value in zip(held, values)]
-    rows = [place[row][place[row] >= 0] for row in held]
-
-    fold = np.arange(len(rows)) % folds
-    earlier = np.zeros((len(rows), 0))
-    weights = []
-    for target in targets:
-        unseen = np.zeros(len(rows))
-        for part in range(folds):
+    return _View(targets, chosen, [place[row][place[row] >= 0] for row in held],
+                 [value[place[row] >= 0] for row, value in zip(held, values)])
+
+
+def out_of_fold(words: list[np.ndarray], held: list[np.ndarray], values: list[np.ndarray], label: np.ndarray,
+                folds: int = FOLDS) -> np.ndarray:
+    """Probability of each category (columns) for each row, from models that learned nothing from that row.
+
+    Features, severity words and weights of a fold come from the other folds; equal rows share a fold.
+    """
+    toxic = label == 1
+    first: dict[bytes, int] = {}
+    fold = np.array([first.setdefault(row.tobytes() + value.tobytes(), i) for i, (row, value) in enumerate(zip(held, values))],
+                    np.int64) % folds
+    views = [_view(words, held, values, toxic, fold != part) for part in range(folds)]
+    earlier = np.zeros((len(held), 0))
+    for category in range(len(CATEGORIES)):
+        unseen = np.zeros(len(held))
+        for part, view in enumerate(views):
             train, test = np.flatnonzero(fold != part), np.flatnonzero(fold == part)
-            weight = _logistic([rows[i] for i in train], [values[i] for i in train], earlier[train], target[train], len(chosen))
-            unseen[test] = [weight[rows[i]] @ values[i] + earlier[i] @ weight[len(chosen) : -1] + weight[-1] for i in test]
-        weights.append(_logistic(rows, values, earlier, target, len(chosen)))
+            width = len(view.chosen)
+            weight = _logistic([view.rows[i] for i in train], [view.values[i] for i in train], earlier[train],
+                               view.targets[category][train], width)
+            unseen[test] = [weight[view.rows[i]] @ view.values[i] + earlier[i] @ weight[width:-1] + weight[-1] for i in test]
         earlier = np.column_stack([earlier, 1 / (1 + np.exp(-np.clip(unseen, -500, 500)))])
-    return ChainModel(CATEGORIES, chosen, tuple(weights))
+    return earlier
+
+
+def fit_chain(words: list[np.ndarray], held: list[np.ndarray], values: list[np.ndarray], label: np.ndarray,
+              folds: int = FOLDS) -> ChainModel:
+    """Select features, derive the severity categories from the label, and train the chain on all rows.
+
+    Each category reads the out-of-fold probabilities of those before it.
+    """
+    earlier = out_of_fold(words, held, values, label, folds)
+    view = _view(words, held, values, label == 1, np.ones(len(held), bool))
+    weights = tuple(_logistic(view.rows, view.values, earlier[:, :category], target, len(view.chosen))
+                    for category, target in enumerate(view.targets))
+    return ChainModel(CATEGORIES, view.chosen, weights)
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,0 +1,192 @@
+"""Trained models against plain versions of their arithmetic: features, training steps and scores."""
+
+from __future__ import annotations
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from sealroute.llm import quality, toxicity
+
+WHOLE, ODD, STIR = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+TEXTS = [None, "", " \n", "a", "You ARE, frankly, über-bad!", "the the the end", "naïve — 12 3", "x" * 40, "tab\tand\nline  two"]
+
+
+def stir(value):
+    value = (value ^ (value >> 32)) * STIR & WHOLE
+    return value ^ (value >> 29)
+
+
+def plain_grams(text, size, buckets):
+    for i in range(len(text) - size + 1):
+        part = text[i : i + size]
+        if " " in (part[1:-1] if size > 2 else "" if part != "  " else " "):
+            continue
+        rolled = size
+        for c in part:
+            rolled = (rolled * ODD + ord(c)) & WHOLE
+        yield stir(rolled) & (buckets - 1)
+
+
+def plain_words(text):
+    for word in text.split():
+        yield stir(sum(stir(ord(c) + 7) * pow(ODD, i, 1 << 64) for i, c in enumerate(" " + word)) & WHOLE)
+
+
+def spaced(text):
+    found = " ".join((text or "").lower().split())
+    return f" {found} " if found else ""
+
+
+def plain_quality(text):
+    text = spaced(text)
+    values, buckets = list(plain_words(text)), quality.BUCKETS
+    found = Counter((value >> 20) & (buckets - 1) for value in values)
+    found.update(1 if a == b else stir((a * ODD + b) & WHOLE) & (buckets - 1) for a, b in zip(values, values[1:]))
+    for size in quality.SIZES:
+        found.update(plain_grams(text, size, buckets))
+    return found
+
+
+def plain_toxicity(text):
+    text = spaced("".join(c if c.isalnum() else " " for c in text or ""))
+    words = Counter((value >> 20) & (toxicity.BUCKETS - 1) for value in plain_words(text))
+    every = Counter(words)
+    for size in toxicity.SIZES:
+        every.update(plain_grams(text, size, toxicity.BUCKETS))
+    return words, every
+
+
+def test_quality_scores_are_softmax_of_the_mean_vector(spark):
+    source = np.random.default_rng(5)
+    model = quality.QualityModel(source.normal(size=(quality.BUCKETS, 4)).astype(np.float32),
+                                 source.normal(size=(4, 2)).astype(np.float32), np.array([0.1, -0.2], np.float32))
+    frame = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
+    got = {row.doc_id: row.score for row in quality.score_quality(frame, model).collect()}
+    for key, text in enumerate(TEXTS):
+        found = plain_quality(text)
+        mean = sum((count * model.vectors[at].astype(float) for at, count in found.items()), np.zeros(4)) / max(1, found.total())
+        odds = [math.exp(mean @ model.weights[:, c] + model.bias[c]) for c in (0, 1)]
+        assert got[key] == pytest.approx(odds[1] / sum(odds), abs=1e-5)
+
+
+def test_quality_descends_as_plain_steps_do():
+    rows = [(np.array(places), np.array(shares, np.float32), label) for places, shares, label in (
+        ([1, 5, 9], [0.5, 0.25, 0.25], 1), ([2, 5], [0.5, 0.5], 0), ([1, 7], [0.75, 0.25], 1), ([2, 8, 9], [0.25, 0.25, 0.5], 0))]
+    model = quality.descend(rows, size=3, epochs=4, rate=0.3, seed=2)
+    source = np.random.default_rng(2)
+    vectors = source.uniform(-1 / 3, 1 / 3, (quality.BUCKETS, 3)).astype(np.float32)[:10].astype(float).tolist()
+    weights, bias, step = [[0.0, 0.0] for _ in range(3)], [0.0, 0.0], 0
+    for _ in range(4):
+        for at in source.permutation(4):
+            places, shares, label = rows[at]
+            rate = 0.3 * (1 - step / 16)
+            step += 1
+            mean = [sum(float(s) * vectors[p][d] for p, s in zip(places, shares)) for d in range(3)]
+            odds = [math.exp(sum(mean[d] * weights[d][c] for d in range(3)) + bias[c]) for c in (0, 1)]
+            error = [odds[c] / sum(odds) - (label == c) for c in (0, 1)]
+            back = [sum(weights[d][c] * error[c] for c in (0, 1)) for d in range(3)]
+            for c in (0, 1):
+                bias[c] -= rate * error[c]
+                for d in range(3):
+                    weights[d][c] -= rate * mean[d] * error[c]
+            for p, s in zip(places, shares):
+                for d in range(3):
+                    vectors[p][d] -= rate * len(places) * float(s) * back[d]
+    assert np.allclose(model.vectors[:10], vectors, atol=1e-5) and np.allclose(model.weights, weights, atol=1e-5)
+    assert np.allclose(model.bias, bias, atol=1e-5)
+
+
+def test_toxicity_features_and_scores(spark):
+    source = np.random.default_rng(6)
+    every = sorted(set().union(*(plain_toxicity(text)[1] for text in TEXTS)))
+    chosen = np.array(every[::2])
+    weights = tuple(source.normal(size=len(chosen) + before + 1) for before in range(3))
+    model = toxicity.ChainModel(toxicity.CATEGORIES, chosen, weights)
+    frame = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
+    got = {row.doc_id: row for row in toxicity.score_toxicity(frame, model).collect()}
+    for key, text in enumerate(TEXTS):
+        words, found = plain_toxicity(text)
+        one, rest, values = toxicity.held_buckets(text)
+        assert list(one) == sorted(words) and list(rest) == sorted(found)
+        assert values == pytest.approx([math.log2(1 + found[at]) for at in sorted(found)], rel=1e-6)
+        before = []
+        for weight in weights:
+            linear = weight[-1] + sum(weight[i] * math.log2(1 + found[at]) for i, at in enumerate(chosen) if at in found)
+            linear += sum(weight[len(chosen) + i] * p for i, p in enumerate(before))
+            before.append(1 / (1 + math.exp(-linear)))
+        row = got[key]
+        assert [row.p_severe, row.p_marked, row.p_toxic] == pytest.approx(before, abs=1e-6) and row.score == row.p_toxic
+
+
+def test_toxicity_pieces_of_a_long_text_count_together():
+    text = "bad word " * 60_000
+    _, every, values = toxicity.held_buckets(text)
+    place = np.full(toxicity.BUCKETS, -1)
+    place[every[1:]] = np.arange(len(every) - 1)
+    held, value = toxicity.held_chosen(text, place, len(every) - 1)
+    assert len(text) > 2 * 1 << 18 and list(held) == list(range(len(every) - 1)) and np.array_equal(value, values[1:])
+
+
+def noise(rows=500, seed=8):
+    source = random.Random(seed)
+    held = [np.array(sorted(source.sample(range(3000), 40))) for _ in range(rows)]
+    return held, [np.ones(len(row)) for row in held], np.array([int(source.random() < 0.4) for _ in range(rows)])
+
+
+def ranked_right(score, label):
+    """The share of (toxic, other) pairs of which the toxic one scores higher."""
+    inside, outside = score[label == 1], score[label == 0]
+    return np.mean(inside[:, None] > outside[None, :])
+
+
+def test_unseen_probabilities_of_noise_are_chance():
+    held, values, label = noise()
+    assert abs(ranked_right(toxicity.out_of_fold(held, held, values, label)[:, -1], label) - 0.5) < 0.08
+    # Features that tell are found from the other folds, amid six times as many features as rows.
+    told = [np.r_[row, 4000:4010] if one else row for row, one in zip(held, label)]
+    assert ranked_right(toxicity.out_of_fold(told, told, [np.ones(len(row)) for row in told], label)[:, -1], label) > 0.9
+
+
+def test_copies_of_a_row_share_a_fold():
+    held, values, label = noise(100)
+    label = np.r_[label, label, label]
+    score = toxicity.out_of_fold(held * 3, held * 3, values * 3, label)[:, -1]
+    assert np.allclose(score[:100], score[100:200]) and abs(ranked_right(score, label) - 0.5) < 0.2
+
+
+def test_each_fold_selects_and_fits_as_plain_sums_do(monkeypatch):
+    monkeypatch.setattr(toxicity, "FEATURES", 25)
+    held, values, label = noise(60, seed=9)
+    held = [row % 90 for row in held]
+    held = [np.unique(row) for row in held]
+    values = [1 + (row % 3) / 2 for row in held]
+    seen = np.arange(60) % 5 != 2
+    view = toxicity._view(held, held, values, label == 1, seen)
+    inside = [set(held[i]) for i in range(60) if seen[i] and label[i]]
+    outside = [set(held[i]) for i in range(60) if seen[i] and not label[i]]
+
+    def gain(at):
+        a, b = sum(at in row for row in inside), sum(at in row for row in outside)
+        both = (a + b) / (len(inside) + len(outside))
+        return (a / len(inside) - b / len(outside)) ** 2 / (both * (1 - both)) if a >= 3 else 0
+
+    best = sorted(sorted(range(90)), key=lambda at: -gain(at))[:25]
+    assert list(view.chosen) == sorted(best)
+    dense = np.zeros((60, len(view.chosen) + 1))
+    for i in range(60):
+        for at, value in zip(held[i], values[i]):
+            if at in best:
+                dense[i, sorted(best).index(at)] = value
+    extra = np.linspace(0, 1, 60)[:, None]
+    got = toxicity._logistic(view.rows, view.values, extra, label.astype(float), len(view.chosen), rounds=40)
+    columns = np.column_stack([dense[:, :-1], extra, np.ones(60)])
+    weight, squares = np.zeros(columns.shape[1]), np.full(columns.shape[1], 1e-8)
+    for _ in range(40):
+        slope = columns.T @ (1 / (1 + np.exp(-columns @ weight)) - label) / 60 + np.r_[1e-4 * weight[:-1], 0]
+        squares += slope**2
+        weight -= 0.5 * slope / np.sqrt(squares)
+    assert np.allclose(got, weight)
