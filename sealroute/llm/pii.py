@@ -1,10 +1,11 @@
 """Personal data: fixed base patterns, and identifiers found by bootstrapped contexts, in DataFrame operations only.
 
 The base patterns' matches are the seeds. Their contexts (the two words before, the word on either side) are candidate
-patterns; tokens with a digit or an at sign in such contexts are candidate instances. On the graph of patterns and
-instances, a pattern's confidence is the scores of its instances over their number, and an instance's score follows from
-its confident patterns; both are recomputed in turn. Instances that score high enough are identifiers that no base
-pattern knows.
+patterns; tokens with a digit or an at sign in such contexts, or neighbouring groups of digits together, are candidate
+instances. On the graph of patterns and instances, a pattern's confidence is the scores of its instances over their
+number, and an instance's score follows from its confident patterns; both are recomputed in turn until neither moves.
+Instances that score high enough are identifiers that no base pattern knows, and count as seeds of further patterns
+from then on.
 
 Patterns are written so that the regular expression engine neither recurses nor starts twice in one run of characters;
 they match what the plain forms beside them match.
@@ -19,22 +20,28 @@ from pyspark.sql import functions as F
 
 from sealroute.llm.common import carried, keep, new_length, restored, work
 
+#: Not white space; a token of digits with their usual signs; the same with what ends a clause.
+_INK = r"[^\x20\x09-\x0D]"
+_GROUP = r"[(.+-]*+[0-9][0-9().-]*+"
+_LAST = rf"{_GROUP}[,;:!?\"']*+(?!{_INK})"
+
 KINDS = ("email", "ip", "card", "phone", "id")
 #: Plain forms: [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ ; [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+) ;
-#: [0-9]([\x20-]?[0-9])+ ; \+[0-9][\x20().0-9-]+[0-9] ; a run without white space that holds a digit or @.
+#: [0-9]([\x20-]?[0-9])+ ; \+[0-9][\x20().0-9-]+[0-9] ; groups of digits with one space between, else a run without
+#: white space that holds a digit or @.
 PATTERNS = (
     r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     r"[0-9](?:[\x20-]?[0-9])++",
     r"\+[0-9][\x20().0-9-]+[0-9]",
-    r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+",
+    rf"(?<!{_INK})(?:{_GROUP}(?!{_INK})(?:(?:\x20{_GROUP}(?!{_INK}))++(?:\x20{_LAST})?+|\x20{_LAST})|[^\x20\x09-\x0D0-9@]*+[0-9@]{_INK}*+)",
 )
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Characters of context that are looked at on either side.
 CONTEXT = 48
-ROUNDS, SMOOTHING = 3, 1.0
-#: Seeds that a pattern needs, its least confidence, an instance's least score, and its least characters and digits.
-SEEDS, CONFIDENT, ACCEPTED, SHORTEST, DIGITS = 4, 0.7, 0.8, 6, 3
+SMOOTHING, STILL = 1.0, 0.005
+#: Seeds that a pattern needs, its least confidence, and an instance's least score.
+SEEDS, CONFIDENT, ACCEPTED = 4, 0.7, 0.8
 
 
 def _bound(text: Column, kind: int, use: Callable[[Column], Column]) -> Column:
@@ -109,29 +116,38 @@ def _unknown(spans: DataFrame) -> DataFrame:
     head = F.length(F.regexp_extract("value", r"\A[^\p{L}\p{N}]*", 0))
     core = F.regexp_replace(F.regexp_replace("value", r"\A[^\p{L}\p{N}]+", ""), r"[^\p{L}\p{N}]++\z", "")
     trimmed = free.drop("reach", "following").withColumn("core", core).withColumn("start", F.col("start") + head)
-    return trimmed.withColumn("stop", F.col("start") + F.length("core")).withColumn("value", F.col("core")).drop("core").where(
-        (F.length("value") >= SHORTEST) & (F.length(F.regexp_replace("value", "[^0-9]", "")) >= DIGITS))
+    return trimmed.withColumn("stop", F.col("start") + F.length("core")).withColumn("value", F.col("core")).drop("core").where("value != ''")
+
 
+def discover(seeds: DataFrame, unknown: DataFrame, folder: str) -> DataFrame:
+    """(value, score) of the unknown instances that score high enough, from the graph of patterns and instances.
 
-def discover(seeds: DataFrame, unknown: DataFrame, folder: str, rounds: int = ROUNDS) -> DataFrame:
-    """(value, score) of the unknown instances that score high enough, from the graph of patterns and instances."""
+    A pattern's confidence is its base seeds and its other instances' scores over the number of all its instances and
+    ``SMOOTHING``; with at least ``SEEDS`` seeds, base or accepted, and a confidence of ``CONFIDENT`` it is trusted. An
+    instance's score is one less the product of its trusted patterns' doubts. Scores only rise, so the rounds end: when no
+    score rose by more than ``STILL``.
+    """
     known = _contexts(seeds).select("pattern", "value", F.lit(True).alias("seed"))
     others = _contexts(unknown).select("pattern", "value", F.lit(False).alias("seed"))
     edges = keep(known.unionByName(others).groupBy("pattern", "value").agg(F.max("seed").alias("seed")), folder, "edges")
-    useful = edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count("*").alias("all")).where(
-        (F.col("seeds") >= SEEDS) & (F.col("all") > F.col("seeds"))).drop("seeds", "all")
-    graph = keep(edges.join(useful, "pattern"), folder, "graph")
-    # What seeds add to a pattern never changes, so only the few unknown instances travel.
-    fixed = keep(graph.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count("*").alias("all")), folder, "fixed")
-    open_edges = keep(graph.where("not seed").select("pattern", "value"), folder, "open")
-    scores = open_edges.select("value").distinct().withColumn("score", F.lit(0.0))
-    for step in range(rounds):
-        gained = open_edges.join(scores, "value").groupBy("pattern").agg(F.sum("score").alias("gained"))
-        confidence = fixed.join(gained, "pattern").select(
+    # A pattern of fewer instances than it needs seeds is never trusted, one without unknown instances tells nothing.
+    fixed = keep(edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count("*").alias("all")).where(
+        (F.col("all") >= SEEDS) & (F.col("all") > F.col("seeds"))), folder, "fixed")
+    # What seeds add to a pattern never changes, so only unknown instances travel, and of them those with a score.
+    open_edges = keep(edges.where("not seed").join(fixed, "pattern", "left_semi").select("pattern", "value"), folder, "open")
+    scores = open_edges.select("value", F.lit(0.0).alias("score")).limit(0)
+    step, risen = 0, 1.0
+    while risen > STILL:
+        gained = open_edges.join(scores, "value").groupBy("pattern").agg(
+            F.sum("score").alias("gained"), F.count_if(F.col("score") >= ACCEPTED).alias("sure"))
+        confidence = fixed.join(gained, "pattern", "left").na.fill(0).where(F.col("seeds") + F.col("sure") >= SEEDS).select(
             "pattern", ((F.col("seeds") + F.col("gained")) / (F.col("all") + SMOOTHING)).alias("confidence"))
-        trusted = confidence.where(F.col("confidence") >= CONFIDENT)
-        scores = keep(open_edges.join(trusted, "pattern").groupBy("value").agg(
+        trusted = keep(confidence.where(F.col("confidence") >= CONFIDENT), folder, f"trusted-{step}")
+        after = keep(open_edges.join(trusted, "pattern").groupBy("value").agg(
             (1 - F.exp(F.sum(F.ln(1 - F.col("confidence"))))).alias("score")), folder, f"scores-{step}")
+        before = scores.withColumnRenamed("score", "before")
+        risen = after.join(before, "value", "left").agg(F.max(F.col("score") - F.coalesce("before", F.lit(0.0)))).first()[0] or 0.0
+        scores, step = after, step + 1
     return scores.where(F.col("score") >= ACCEPTED)
 
 

@@ -1,0 +1,137 @@
+"""Discovered identifiers against a plain version of the bootstrap: candidates, contexts, scores, generations."""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+import unicodedata
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
+from sealroute.llm import pii
+from tests.llm.test_pii import PLAIN, valid
+
+SCHEMA = "doc_id bigint, text string"
+GROUP = re.compile(r"[(.+-]*[0-9][0-9().-]*")
+LAST = re.compile(r"[(.+-]*[0-9][0-9().-]*[,;:!?\"']*")
+
+
+def candidates(text):
+    """(start, stop) of whole tokens with a digit or an at sign; neighbouring groups of digits are one."""
+    tokens = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    found, i = [], 0
+    while i < len(tokens):
+        def follows(j, shape):
+            return j < len(tokens) and text[tokens[j - 1][1] : tokens[j][0]] == " " and shape.fullmatch(text[slice(*tokens[j])])
+
+        j = i
+        if GROUP.fullmatch(text[slice(*tokens[i])]):
+            while follows(j + 1, GROUP):
+                j += 1
+            j += bool(follows(j + 1, LAST))
+        start, stop = tokens[i][0], tokens[j][1]
+        if re.search("[0-9@]", text[start:stop]):
+            found.append((start, stop))
+        i = j + 1
+    return found
+
+
+def with_contexts(text, matches):
+    """(start, stop, the patterns around it) of each match; words beyond the neighbouring matches do not count."""
+    edges = [0, *(at for match in matches for at in match), len(text)]
+    for n, (start, stop) in enumerate(matches):
+        before, after = text[edges[2 * n] : start][-48:].lower().split(), text[stop : edges[2 * n + 3]][:48].lower().split()
+        left = ["^", "^", *before]
+        yield start, stop, (f"left {left[-2]} {left[-1]}", f"around {left[-1]} {(after + ['$'])[0]}")
+
+
+def core(text, start, stop):
+    letters = [i for i in range(start, stop) if unicodedata.category(text[i])[0] in "LN"]
+    return (letters[0], letters[-1] + 1) if letters else (start, start)
+
+
+def plain_discovery(texts):
+    """The accepted values, and each text's discovered (start, stop)."""
+    edges, places = defaultdict(dict), []
+    for text in texts:
+        base = []
+        for kind, pattern in PLAIN.items():
+            raw = [(m.start(), m.end()) for m in re.finditer(pattern, text)]
+            for start, stop, around in with_contexts(text, raw):
+                if valid(kind, text[start:stop]):
+                    base.append((start, stop))
+                    for one in around:
+                        edges[one][text[start:stop]] = True
+        own = []
+        for start, stop, around in with_contexts(text, candidates(text)):
+            if any(a < stop and b > start for a, b in base):
+                continue
+            start, stop = core(text, start, stop)
+            if start < stop:
+                own.append((start, stop))
+                for one in around:
+                    edges[one].setdefault(text[start:stop], False)
+        places.append(own)
+    scores, risen = {}, 1.0
+    while risen > pii.STILL:
+        doubt = defaultdict(lambda: 1.0)
+        for held in edges.values():
+            seeds = sum(held.values())
+            gained = [scores.get(value, 0.0) for value, seed in held.items() if not seed]
+            confidence = (seeds + sum(gained)) / (len(held) + pii.SMOOTHING)
+            if seeds + sum(one >= pii.ACCEPTED for one in gained) >= pii.SEEDS and confidence >= pii.CONFIDENT:
+                for value in (value for value, seed in held.items() if not seed):
+                    doubt[value] *= 1 - confidence
+        after = {value: 1 - one for value, one in doubt.items()}
+        risen = max((one - scores.get(value, 0.0) for value, one in after.items()), default=0.0)
+        scores = after
+    accepted = {value for value, score in scores.items() if score >= pii.ACCEPTED}
+    return accepted, [[span for span in own if text[slice(*span)] in accepted] for text, own in zip(texts, places)]
+
+
+def discovered(spark, texts):
+    found = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), SCHEMA))
+    rows = found.select("doc_id", F.filter("found", lambda one: one["kind"] == 4).alias("found")).collect()
+    return {row.doc_id: [(one.start, one.stop) for one in row.found] for row in rows}
+
+
+def generations():
+    texts = [f"Dear all, my badge is a{i}b@mail.example.com thanks" for i in range(60)]
+    texts += [f"Dear all, my badge is KX-{i} thanks" for i in range(12)] + [f"the login code KX-{i} works" for i in range(12)]
+    texts += [f"the login code @q{i} works" for i in range(2)] + ["the login code @ann works"]
+    return texts + ["the login code 555 867 5309 works", "a page of 12 works", "in the year 2024", "the login code works"]
+
+
+def test_accepted_identifiers_are_seeds_of_further_patterns(spark):
+    texts = generations()
+    got = discovered(spark, texts)
+    assert [texts[60][slice(*span)] for span in got[60]] == ["KX-0"] and [texts[72][slice(*span)] for span in got[72]] == ["KX-0"]
+    # No base match is near a login code: its pattern comes from accepted badges.
+    assert [[texts[i][slice(*span)] for span in got[i]] for i in range(84, 91)] == [["q0"], ["q1"], ["ann"], ["555 867 5309"], [], [], []]
+    masked = pii.without_personal_data(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
+    assert {row.doc_id: row.text for row in masked}[87] == "the login code <ID> works"
+    assert plain_discovery(texts)[1] == [got[i] for i in range(len(texts))]
+
+
+def test_discovery_matches_the_plain_version(spark):
+    source = random.Random(11)
+    places = [("my card is", "please"), ("write to", "today"), ("call", "or"), ("our code", "is"), ("see", "page"), ("in", "of"), ("é", "\n")]
+    shapes = [lambda: f"u{source.randint(1, 99)}@mail.example.org", lambda: f"+1 555 010 {source.randint(1000, 1050)}",
+              lambda: f"KX-{source.randint(1, 25)}", lambda: f"({source.randint(100, 110)}) 55 {source.randint(1, 3)},",
+              lambda: f"@h{source.randint(1, 9)}", lambda: str(source.randint(1, 40)), lambda: f"10.0.0.{source.randint(1, 300)}"]
+    liking = [source.choices(range(1, 30), k=len(shapes)) for _ in places]
+    liking[0], liking[1], liking[2] = [40, 0, 9, 3, 2, 0, 1], [50, 5, 2, 0, 6, 1, 0], [0, 40, 8, 5, 0, 2, 0]
+    liking[3] = [0, 0, 50, 1, 4, 0, 0]
+    texts = []
+    for _ in range(900):
+        parts = []
+        for _ in range(source.randint(1, 3)):
+            at = source.randrange(len(places))
+            parts.append(f"{places[at][0]} {source.choices(shapes, liking[at])[0]()} {places[at][1]}")
+        texts.append(source.choice([" and ", ". ", "\n"]).join(parts))
+    accepted, want = plain_discovery(texts)
+    got = discovered(spark, texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert len(accepted) > 10 and any("@" not in value and " " in value for value in accepted)
