@@ -225,9 +225,8 @@ def score_toxicity(docs: DataFrame, model: ChainModel | None, threshold: float =
         for texts in batches:
             out = []
             for text in texts.to_pylist():
-                _, buckets, values = held_buckets(text)
-                held = place[buckets]
-                out.append(model.probabilities(held[held >= 0], values[held >= 0]) if model is not None else np.zeros(len(CATEGORIES)))
+                out.append(np.zeros(len(CATEGORIES)) if model is None else model.probabilities(
+                    *held_chosen(text, place, len(model.chosen))))
             yield pa.array(out, pa.list_(pa.float64()))
 
     names = [f"p_{name}" for name in CATEGORIES]
