@@ -81,3 +81,22 @@ def test_naming_may_be_broken_off_and_repeated(tmp_path):
     commit.publish(writer.folder, writer.job, task.attempt)
     commit.discard(writer.folder, writer.job)
     assert tree(tmp_path) == {f"f{i}": f"f{i}".encode() for i in range(9)}
+
+
+def test_files_are_named_in_tasks_all_or_none(spark, tmp_path):
+    put(tmp_path, {"old.csv": b"old"})
+    made = [(f"d{i % 3}/f{i}", b"x" * i) for i in range(40)]
+    assert commit.save_files(spark.createDataFrame([*made, ("old.csv", b"new")], PAYLOAD).repartition(6), str(tmp_path)) == 41
+    assert tree(tmp_path) == dict(made) | {"old.csv": b"new"} and not list(tmp_path.glob(".*"))
+    with pytest.raises(PySparkException, match="no content for late"):
+        commit.save_files(spark.createDataFrame([("d0/f0", b"other"), ("late", None)], PAYLOAD), str(tmp_path))
+    assert tree(tmp_path) == dict(made) | {"old.csv": b"new"} and not list(tmp_path.glob(".*"))
+    assert commit.save_files(spark.createDataFrame([], PAYLOAD), str(tmp_path / "new")) == 0
+
+
+def test_a_named_job_that_is_broken_off_is_finished(spark, tmp_path):
+    rows_of = spark.createDataFrame([("a/1", b"1"), ("a/2", b"2")], PAYLOAD)
+    rows_of.write.format("landing").option("job", "named").mode("append").save(str(tmp_path))
+    assert not (tmp_path / "a").exists()
+    assert [(row.job, row.files) for row in commit.recover_jobs(spark, str(tmp_path)).collect()] == [("named", 2)]
+    assert tree(tmp_path) == {"a/1": b"1", "a/2": b"2"}
