@@ -6,27 +6,30 @@ import uuid
 
 import pytest
 
+from sealroute.plans import decrypt_job
 from sealroute.queries import file_jobs
 
 SF = "/root/testdata/sf0.001"
 
 
+def marked(frame, folder):
+    """The frame in one task that leaves a file in ``folder`` each time it runs."""
+    def run(batches, to=str(folder)):
+        with open(f"{to}/{uuid.uuid4().hex}", "w"):
+            yield from batches
+
+    return frame.coalesce(1).mapInArrow(run, frame.schema)
+
+
 @pytest.mark.parametrize("name", ["payload_read", "encrypt_outputs"])
 def test_a_listing_is_walked_once(spark, tmp_path, monkeypatch, name):
     """A listing that is opened is also counted, which must not walk the folders again."""
     walks = tmp_path / "walks"
     walks.mkdir()
 
-    def marked(frame):
-        def run(batches, to=str(walks)):
-            with open(f"{to}/{uuid.uuid4().hex}", "w"):
-                yield from batches
-
-        return frame.coalesce(1).mapInArrow(run, frame.schema)
-
     for lister in ("list_folders", "list_tree"):
         plain = getattr(file_jobs, lister)
-        monkeypatch.setattr(file_jobs, lister, lambda *args, plain=plain, **options: marked(plain(*args, **options)))
+        monkeypatch.setattr(file_jobs, lister, lambda *args, plain=plain, **options: marked(plain(*args, **options), walks))
     assert file_jobs.QUERIES[name][0](spark, SF).count() > 0
     assert len(list(walks.iterdir())) == 1
 
@@ -42,3 +45,16 @@ def test_no_tree_is_walked_by_one_task(spark, monkeypatch):
     monkeypatch.setattr(file_jobs, "list_folders", flat)
     for name in ("job_commits", "decrypt_outputs", "encrypt_errors", "encrypt_outputs"):
         assert file_jobs.QUERIES[name][0](spark, SF).count() > 0
+
+
+def test_contested_files_are_moved_once(spark, tmp_path, monkeypatch):
+    """Routing reads what became of contested destinations several times, which must not move the files again."""
+    plain = decrypt_job.apply_moves
+
+    def counted(rows, source, target, replace, output, **options):
+        moved = plain(rows, source, target, replace, output, **options)
+        return marked(moved, tmp_path) if output == "publish_error" else moved
+
+    monkeypatch.setattr(decrypt_job, "apply_moves", counted)
+    assert file_jobs.QUERIES["decrypt_outputs"][0](spark, SF).count() > 0
+    assert len(list(tmp_path.iterdir())) == 1
