@@ -32,6 +32,8 @@ def _start(stream: DataFrame, process, folder: str, available_now: bool, every:
 
 
 CORRUPT = "_corrupt_record"
+# Bytes of request files that a micro-batch takes.
+POLL_BYTES = 64 << 20
 
 
 def name_broken(requests: DataFrame, corrupt: str) -> DataFrame:
@@ -50,10 +52,14 @@ def name_broken(requests: DataFrame, corrupt: str) -> DataFrame:
 def stream_requests(
     spark: SparkSession, inbox: str, schema: StructType | str, keys: DataFrame | KeyTable, provider: Provider,
     folder: str, *,
-    available_now: bool = True, every: str = "30 seconds", max_files: int = 100, **options,
+    available_now: bool = True, every: str = "30 seconds", max_files: int | None = None, **options,
 ) -> StreamingQuery:
     """Run the decrypt job for the requests in each JSON file that arrives in ``inbox``.
 
+    A micro-batch takes the oldest ``POLL_BYTES`` of files, as many as these are: a run has about thirty Spark jobs
+    whatever its size, so a backlog of small files must not take one for each few of them. ``max_files`` counts files
+    instead.
+
     Summaries go to ``folder``/summary, the requests as they were read to ``folder``/requests. A line that is no JSON
     record counts as a request without values, as an unreadable body does: it is answered in a summary row of its own,
     under a name made of the line. ``options`` are those of ``decrypt_files``.
@@ -62,8 +68,8 @@ def stream_requests(
     keys = KeyTable.of(keys)
     known = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     read = StructType([*known.fields, StructField(CORRUPT, StringType())])
-    requests = spark.readStream.schema(read).option("maxFilesPerTrigger", max_files).option(
-        "columnNameOfCorruptRecord", CORRUPT).json(inbox)
+    limit = ("maxBytesPerTrigger", POLL_BYTES) if max_files is None else ("maxFilesPerTrigger", max_files)
+    requests = spark.readStream.schema(read).option(*limit).option("columnNameOfCorruptRecord", CORRUPT).json(inbox)
 
     def process(batch: DataFrame, epoch: int) -> None:
         # Read once: which columns a later step asks for must not decide which lines count as broken.

@@ -28,6 +28,18 @@ def test_requests_arriving_as_files_run_the_job(spark, keys, tmp_path):
     assert (tmp_path / "done/a/x.csv").read_bytes() == b"fine"
 
 
+def test_a_backlog_of_small_request_files_is_one_run_and_answers_every_line(spark, keys, tmp_path):
+    inbox, folder = tmp_path / "inbox", str(tmp_path / "stream")
+    put(inbox, {f"{number}.json": json.dumps({"batch": f"b{number}"}).encode() for number in range(130)})
+    stream_requests(spark, str(inbox), REQUEST, keys, AesProvider(), folder).awaitTermination()
+    summary = spark.read.parquet(f"{folder}/summary").collect()
+    assert sorted(r.batch for r in summary) == sorted(f"b{number}" for number in range(130))
+    assert {(r.code, r.epoch) for r in summary} == {(400, 0)}
+    folder = str(tmp_path / "counted")
+    stream_requests(spark, str(inbox), REQUEST, keys, AesProvider(), folder, max_files=100).awaitTermination()
+    assert spark.read.parquet(f"{folder}/summary").select("epoch").distinct().count() == 2
+
+
 def test_polled_folders_run_the_job_for_those_with_files(spark, keys, tmp_path):
     sealed = seal(spark, keys, {"good": b"fine"})["good"]
     put(tmp_path, {"inbound/a/x.csv.pgp": sealed, "inbound/a/_SUCCESS": b""})
