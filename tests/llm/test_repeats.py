@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sealroute.llm import repeats, rlbwt
 
@@ -127,6 +128,32 @@ def test_equal_strings_have_equal_pieces():
     assert all(len(pieces) == 1 for pieces in filed.values())
 
 
+def test_no_piece_is_one_tasks(spark, monkeypatch):
+    """Contexts of near copies have pieces in common; neither finding nor joining them brings a piece to one task."""
+    draw = random.Random(5)
+    base = words(draw, 60)
+    texts = [words(draw, draw.randint(1, 9)) + base + words(draw, draw.randint(1, 9)) for _ in range(400)]
+    texts += [base] * 400
+    monkeypatch.setattr(repeats, "MOST", 20)
+
+    def dealt(rows, pieces):
+        # A scan packs small files into one task; here the rows come from several.
+        out = of_pieces(rows.repartition(8), pieces)
+        found = out.withColumn("task", F.spark_partition_id()).groupBy("task", "piece").count().agg(F.max("count")).first()[0]
+        spread.append((found, out.groupBy("piece").count().agg(F.max("count")).first()[0]))
+        return out
+
+    of_pieces, spread = repeats._of_pieces, []
+    monkeypatch.setattr(repeats, "_of_pieces", dealt)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = list(enumerate(texts))
+        assert result(spark, rows) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(spread) == 2 and all(in_task <= 0.6 * in_all for in_task, in_all in spread)
+
+
 def test_registered_query(spark):
     from sealroute.llm.queries import QUERIES
 
