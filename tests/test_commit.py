@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from datetime import timedelta
 
 import pytest
+from pyarrow.fs import LocalFileSystem
 from pyspark.errors import PySparkException
 from pyspark.sql import Row
 
 from sealroute.sources import commit
 from sealroute.sources.landing import LandingWriter
+from sealroute.sources.storage import name_file
 from tests.test_decrypt_job import put, tree
 
 PAYLOAD = "path string, content binary"
@@ -100,3 +103,17 @@ def test_a_named_job_that_is_broken_off_is_finished(spark, tmp_path):
     assert not (tmp_path / "a").exists()
     assert [(row.job, row.files) for row in commit.recover_jobs(spark, str(tmp_path)).collect()] == [("named", 2)]
     assert tree(tmp_path) == {"a/1": b"1", "a/2": b"2"}
+
+
+def test_a_name_that_was_given_halfway_is_ended(tmp_path):
+    source, target, files = tmp_path / "0", tmp_path / "to/a", LocalFileSystem()
+    for content in (b"new", b"newer"):
+        source.write_bytes(content)
+        name_file(files, str(source), str(target))
+        assert target.read_bytes() == content and not source.exists()
+    os.link(target, source)
+    name_file(files, str(source), str(target))
+    assert target.read_bytes() == b"newer" and not source.exists()
+    name_file(files, str(source), str(target))
+    with pytest.raises(FileNotFoundError):
+        name_file(files, str(source), str(tmp_path / "b"))
