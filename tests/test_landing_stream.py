@@ -79,3 +79,39 @@ def test_destinations_across_micro_batches(spark, keys, tmp_path, higher_decrypt
     assert sorted((row.path, row.epoch, row.status, row.wins_dest) for row in files) == [
         ("inbound/a/g.csv.pgp", 2, "ok", True), ("inbound/a/x.csv.pgp", 2, "ok", not higher_decrypts),
         ("inbound/b/x.csv.pgp", 1, "ok" if higher_decrypts else "error", higher_decrypts)]
+
+
+def test_state_is_asked_and_told_once_for_all_files_of_a_destination():
+    calls, listing = [], [(f"{n}/x", 5, 1) for n in range(50)]
+
+    class Counted(Map):
+        def __getattribute__(self, name):
+            if name != "held":
+                calls.append(name)
+            return super().__getattribute__(name)
+
+    state, settle = Counted(), Settle(timedelta(hours=1))
+    settle.init(SimpleNamespace(getMapState=lambda *args: state))
+    handed = []
+    for at in range(3):
+        rows = [SimpleNamespace(batch="b", root="r", path=path, name="x", length=length, modified=pd.Timestamp(time, unit="s"))
+                for path, length, time in listing]
+        timer = SimpleNamespace(getCurrentProcessingTimeInMs=lambda at=at: 1000 * at)
+        handed.append(len(list(settle.handleInputRows(("c",), iter(rows), timer))))
+    assert handed == [0, 50, 0]
+    # The third poll finds nothing new and writes nothing.
+    assert calls == ["iterator", "updateValue", "iterator", "updateValue", "iterator"]
+
+
+def test_a_file_s_state_expires_by_itself():
+    state, settle = Map(), Settle(timedelta(seconds=10))
+    settle.init(SimpleNamespace(getMapState=lambda *args: state))
+
+    def poll(at, *paths):
+        rows = [SimpleNamespace(batch="b", root="r", path=path, name="x", length=1, modified=pd.Timestamp(1, unit="s")) for path in paths]
+        timer = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 1000 * at)
+        return [(row.path, row.first_seen, row.before) for row in settle.handleInputRows(("c",), iter(rows), timer)]
+
+    assert [poll(0, "b"), poll(1, "b"), poll(5, "a"), poll(6, "a")] == [[], [("b", 0, [])], [], [("a", 5000, ["b"])]]
+    # The other file was last changed at 1 s; what is kept of the destination was written later.
+    assert [poll(10, "b"), poll(11, "b"), poll(12, "b")] == [[], [], [("b", 11_000, [])]]
