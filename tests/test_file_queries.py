@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 import pytest
 
@@ -58,3 +59,26 @@ def test_contested_files_are_moved_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(decrypt_job, "apply_moves", counted)
     assert file_jobs.QUERIES["decrypt_outputs"][0](spark, SF).count() > 0
     assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_encrypt_outputs_takes_whole_requests_in_rounds(spark, monkeypatch):
+    """The files and folders of all requests at once would fill a disk; a round has a bounded number of them."""
+    whole = sorted(map(str, file_jobs.QUERIES["encrypt_outputs"][0](spark, SF).select("path", "length", "sha256").collect()))
+    plain, runs, roots = file_jobs.encrypt_files, [], []
+
+    def counted(requests, *args, **options):
+        rows = requests.select("request_id", "root").collect()
+        runs.append([row.request_id for row in rows])
+        roots.append(Path(rows[0].root))
+        # What an earlier round made has gone, and only this round's requests have files.
+        assert not any(root.exists() for root in roots[:-1])
+        held = {"/".join(path.relative_to(roots[-1] / "staging").parts[:2]) for path in roots[-1].glob("staging/*/*")}
+        assert held == set(runs[-1])
+        return plain(requests, *args, **options)
+
+    monkeypatch.setattr(file_jobs, "encrypt_files", counted)
+    monkeypatch.setattr(file_jobs, "ROUND_ENTRIES", 700)
+    found = file_jobs.QUERIES["encrypt_outputs"][0](spark, SF).select("path", "length", "sha256").collect()
+    assert sorted(map(str, found)) == whole
+    assert len(runs) > 1 and len(set(sum(runs, []))) == len(sum(runs, []))
+    assert max(map(len, runs)) < len(sum(runs, []))
